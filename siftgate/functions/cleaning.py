@@ -12,11 +12,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from siftgate.functions.text import java_pattern, let, remove, strip
+from siftgate.functions.text import java_pattern, let, rare, remove, strip
 from siftgate.options import SanitizeOptions
 
 # --- fixed values: what each step removes -------------------------------------------------------
-ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{feff}\x{2060}-\x{2064}]"
+ZERO_WIDTH_SET = r"\x{200b}-\x{200f}\x{feff}\x{2060}-\x{2064}"
 SCRIPT = r"(?is)<script[^>]*>.*?</script>"
 STYLE = r"(?is)<style[^>]*>.*?</style>"
 TAG = r"<[^>]+>"
@@ -36,7 +36,7 @@ DECODE_ROUNDS = 4
 
 
 def strip_zero_width(c: Column) -> Column:
-    return remove(c, ZERO_WIDTH)
+    return remove(c, rare(ZERO_WIDTH_SET))
 
 
 def strip_scripts(c: Column) -> Column:
@@ -63,15 +63,15 @@ def strip_hidden_css(c: Column) -> Column:
 
 
 def strip_control(c: Column) -> Column:
-    return remove(c, f"[{CONTROL_SET}]")
+    return remove(c, rare(CONTROL_SET))
 
 
 def strip_bidi(c: Column) -> Column:
-    return remove(c, f"[{BIDI_SET}]")
+    return remove(c, rare(BIDI_SET))
 
 
 def strip_emoji_smuggling(c: Column) -> Column:
-    return remove(c, f"[{EMOJI_SET}]")
+    return remove(c, rare(EMOJI_SET))
 
 
 def strip_patterns(c: Column, patterns: tuple[str, ...]) -> Column:
@@ -155,7 +155,7 @@ def strip_hidden(c: Column, o: SanitizeOptions) -> Column:
         )
         if on
     ]
-    return remove(c, f"[{''.join(sweeps)}]") if sweeps else c
+    return remove(c, rare("".join(sweeps))) if sweeps else c
 
 
 def finish(c: Column, o: SanitizeOptions) -> Column:
