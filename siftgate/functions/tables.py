@@ -28,7 +28,7 @@ def read_span(span: str) -> tuple[str, str | None]:
     if len(raw) < _LIMITS.min_bytes:
         return "", "too_short"
     text = raw.decode("utf-8", "replace")
-    good = sum(ch != "�" and (ch.isprintable() or ch in "\n\r\t") for ch in text)
+    good = sum(ch != "\ufffd" and (ch.isprintable() or ch in "\n\r\t") for ch in text)
     if good / len(text) < _LIMITS.min_printable:
         return "", f"low_printable_ratio:{good / len(text):.2f}"
     return text, None

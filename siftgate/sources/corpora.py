@@ -107,7 +107,7 @@ def probe_payloads(exported: DataFrame) -> DataFrame:
     ``text``, a conversation counts by its last turn; prompts without text drop.
     """
     rows = exported.select(
-        F.substring_index("name", ".", 1).alias("family"),
+        F.split_part("name", F.lit("."), F.lit(-2)).alias("family"),
         F.substring_index("name", ".", -1).alias("class"),
         "active",
         F.posexplode("prompts").alias("index", "p"),
@@ -164,12 +164,13 @@ def parse_registry(lines: DataFrame, value: str = "value") -> DataFrame:
     )
 
 
-def load_registry(spark: SparkSession, path: str) -> DataFrame:
-    return parse_registry(spark.read.option("wholetext", True).text(path))
+def load_registry(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
+    """Registry objects, one per line, or one (possibly indented) object per file."""
+    return parse_registry(spark.read.option("wholetext", whole_file).text(path))
 
 
 def save_registry(registry: DataFrame, path: str) -> None:
-    """One JSON object per partition; the loader reads them all."""
+    """One JSON object per line."""
     registry.select(
         F.to_json(F.create_map("source_name", "token")).alias("value")
     ).write.mode("overwrite").text(path)
