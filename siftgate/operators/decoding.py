@@ -23,14 +23,16 @@ def expand_variants(
 ) -> DataFrame:
     """Child table ``(id, ord, label, text, depth, skipped, skip_reason)``."""
     rows = with_variants(df.select(id, text), text, options)
-    return rows.select(id, F.posexplode("variants").alias("ord", "v")).select(id, "ord", "v.*")
+    # outer: a plain explode would have the optimizer test the array, and so build it, twice
+    flat = rows.select(id, F.posexplode_outer("variants").alias("ord", "v"))
+    return flat.where(F.col("v").isNotNull()).select(id, "ord", "v.*")
 
 
 def base64_candidates(df: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Base64-shaped runs with their offsets: ``(id, n, start, end, span)``."""
     require_string(df, text)
-    found = df.select(id, F.posexplode(D.spans(F.col(text))).alias("n", "s"))
-    return found.select(id, "n", "s.start", "s.end", "s.span")
+    found = df.select(id, F.posexplode_outer(D.spans(F.col(text))).alias("n", "s"))
+    return found.where(F.col("s").isNotNull()).select(id, "n", "s.start", "s.end", "s.span")
 
 
 def decode_candidates(

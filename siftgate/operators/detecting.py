@@ -128,8 +128,8 @@ def explode_windows(
         "variant_ord",
         "variant_label",
         F.size("_w").alias("n_windows"),
-        F.posexplode("_w").alias("_i", "text"),
-    ).select(
+        F.posexplode_outer("_w").alias("_i", "text"),  # outer: see decoding.expand_variants
+    ).where(F.col("_i").isNotNull()).select(
         id,
         "variant_ord",
         "variant_label",

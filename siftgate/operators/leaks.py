@@ -229,13 +229,23 @@ def leak_check(
     )
 
 
+def hit_rows(hits: DataFrame, id: str = "doc_id") -> DataFrame:
+    """One row per hit: ``(id, ord, source_name, token, kind)``.
+
+    The outer form is deliberate: a plain explode makes the optimizer add ``size(hits) > 0`` below
+    the matcher, which then runs twice.
+    """
+    rows = hits.select(id, F.explode_outer("hits").alias("h")).where(F.col("h").isNotNull())
+    return rows.select(id, "h.*")
+
+
 def leak_report(hits: DataFrame, id: str = "doc_id") -> DataFrame:
     """Per source: documents leaked, first document, and how often each form was used.
 
     ``hits`` comes from :func:`leak_hits`; counts combine before the shuffle, so one token that
     leaks into a third of the corpus costs one row per task.
     """
-    flat = hits.select(id, F.explode("hits").alias("h")).select(id, "h.*")
+    flat = hit_rows(hits, id)
     kinds = [F.count_if(F.col("kind") == k).alias(k) for k in K.KINDS]
     return flat.groupBy("source_name").agg(
         F.count(F.lit(1)).alias("documents"), F.min(id).alias("first_doc"), *kinds

@@ -157,6 +157,8 @@ def sql_wrap(x: str, source: str, tag: str | None = None, prefix: str = "untrust
     )
 
 
+BODYLESS = "regexp_replace(source, '[^a-zA-Z0-9_\\-]', '', 'g')"  # a source as an identifier
+
 # --- decode-and-rescan in SQL -------------------------------------------------------------------
 
 D = __import__("siftgate.functions.decoding", fromlist=["x"])

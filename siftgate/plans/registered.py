@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftgate.plans import texts
+from siftgate.plans import detection, evaluation, leaks, texts
 
-PLANS = (texts.PLAN,)
+PLANS = (texts.PLAN, leaks.PLAN, detection.PLAN, evaluation.PLAN)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
