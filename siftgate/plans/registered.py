@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftgate.plans import detection, evaluation, leaks, texts
-
-PLANS = (texts.PLAN, leaks.PLAN, detection.PLAN, evaluation.PLAN)
+from siftgate.plans import detection, evaluation, leaks, logs, stores, texts
+
+PLANS = (
+    stores.PLAN,
+    texts.PLAN,
+    leaks.PLAN,
+    detection.PLAN,
+    evaluation.PLAN,
+    logs.PLAN,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
