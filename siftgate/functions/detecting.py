@@ -19,11 +19,7 @@ SCORE_TYPE = T.ArrayType(
 )
 
 
-def windows(
-    text: Column,
-    options: WindowOptions = WindowOptions(),
-    tokens: Callable[[Column], Column] = words,
-) -> Column:
+def windows(text: Column, options: WindowOptions = WindowOptions()) -> Column:
     """Overlapping token windows; the last one ends at the last token. Short text is one window."""
     window, step = options.window, options.window - options.overlap
 
@@ -37,7 +33,38 @@ def windows(
         )
 
     empty = F.array().cast("array<string>")
-    return F.when(text.isNotNull(), F.when(text == "", empty).otherwise(let(tokens(text), cut)))
+    return F.when(text.isNotNull(), F.when(text == "", empty).otherwise(let(words(text), cut)))
+
+
+@dataclass(frozen=True)
+class TokenizerWindows:
+    """Windows by a user tokenizer. ``load()`` runs once per Python worker and returns
+    ``(encode, decode)``: text to token ids and back."""
+
+    load: Callable[[], tuple[Callable[[str], list], Callable[[list], str]]]
+    options: WindowOptions = WindowOptions()
+
+    def windows(self, texts: Column) -> Column:
+        """``ARRAY<STRING>`` -> ``ARRAY<ARRAY<STRING>>``."""
+        load, size = self.load, self.options.window
+        step = size - self.options.overlap
+
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            encode, decode = load()
+
+            def cut(text: str) -> list[str]:
+                ids = encode(text)
+                if len(ids) <= size:
+                    return [text] if text else []
+                last = -(-(len(ids) - size) // step)
+                return [decode(ids[i * step : i * step + size]) for i in range(last + 1)]
+
+            for batch in batches:
+                rows = [None if r is None else [cut(t) for t in r] for r in batch.to_pylist()]
+                yield pa.array(rows, type=pa.list_(pa.list_(pa.string())))
+
+        run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+        return F.arrow_udf(run, T.ArrayType(T.ArrayType(T.StringType())))(texts)
 
 
 @dataclass(frozen=True)

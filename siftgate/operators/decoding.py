@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siftgate.functions import decoding as D
 from siftgate.functions.text import require_string
+from siftgate.operators.layout import settle
 from siftgate.options import DecodeOptions
 
 
@@ -15,14 +16,15 @@ def with_variants(
     df: DataFrame, text: str = "text", options: DecodeOptions = DecodeOptions(), out="variants"
 ) -> DataFrame:
     require_string(df, text)
-    return df.withColumn(out, D.variants(F.col(text), options))
+    return settle(df.withColumn(out, D.variants(F.col(text), options)), out)
 
 
 def expand_variants(
     df: DataFrame, id: str = "doc_id", text: str = "text", options: DecodeOptions = DecodeOptions()
 ) -> DataFrame:
     """Child table ``(id, ord, label, text, depth, skipped, skip_reason)``."""
-    rows = with_variants(df.select(id, text), text, options)
+    require_string(df, text)
+    rows = df.select(id, D.variants(F.col(text), options).alias("variants"))
     # outer: a plain explode would have the optimizer test the array, and so build it, twice
     flat = rows.select(id, F.posexplode_outer("variants").alias("ord", "v"))
     return flat.where(F.col("v").isNotNull()).select(id, "ord", "v.*")

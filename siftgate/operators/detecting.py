@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from siftgate.functions import detecting as X
 from siftgate.functions.detecting import DEFAULT_CHAIN, Detector
 from siftgate.functions.text import let
+from siftgate.operators.layout import settle
 from siftgate.options import INJECTION_LABELS, OptionError, WindowOptions
 
 LEDGER_TYPE = (
@@ -29,41 +30,68 @@ def run_chain(
     variants: str = "variants",
     detectors: Sequence[Detector] = DEFAULT_CHAIN,
     windows: WindowOptions = WindowOptions(),
-    tokens=X.words,
+    tokenizer: X.TokenizerWindows | None = None,
 ) -> DataFrame:
     """Add ``ledger`` (results up to and including the block) and ``block`` (its last entry, or
     null). Detector-major: a later variant under an earlier detector wins."""
     names = [d.name for d in detectors]
     if len(set(names)) != len(names):
         raise OptionError("detector names must be unique")
+    out = with_windows(df, variants, windows, tokenizer)
+    for index, detector in enumerate(detectors):
+        out = one_detector(out, index, detector)
+    return settle(finish_chain(out).drop("_live", "_flat"), "ledger", "block")
+
+
+def with_windows(df, variants, windows, tokenizer) -> DataFrame:
+    """Cut every accepted, non-empty variant into windows, once for all detectors."""
     live = F.filter(
         F.transform(
             F.col(variants),
-            lambda v, i: F.struct(i.alias("ord"), v["label"], v["text"], v["skipped"]),
+            lambda v, i: F.struct(
+                i.alias("ord"),
+                v["label"].alias("label"),
+                v["text"].alias("text"),
+                v["skipped"].alias("skipped"),
+            ),
         ),
         lambda v: ~v["skipped"] & (v["text"] != ""),
     )
-    out = df.withColumn(
-        "_live",
-        F.transform(
+    if tokenizer is None:
+        cut = F.transform(
             live,
             lambda v: F.struct(
                 v["ord"].alias("ord"),
                 v["label"].alias("label"),
-                X.windows(v["text"], windows, tokens).alias("w"),
+                X.windows(v["text"], windows).alias("w"),
             ),
-        ),
-    )
+        )
+        out = df.withColumn("_live", cut)
+    else:
+        out = df.withColumn("_kept", live)
+        out = out.withColumn("_w", tokenizer.windows(F.transform("_kept", lambda v: v["text"])))
+        cut = F.zip_with(
+            "_kept",
+            "_w",
+            lambda v, w: F.struct(v["ord"].alias("ord"), v["label"].alias("label"), w.alias("w")),
+        )
+        out = out.withColumn("_live", cut).drop("_kept", "_w")
     out = out.withColumn("_flat", F.flatten(F.transform("_live", lambda v: v["w"])))
-    out = out.withColumn("ledger", F.when(F.col(variants).isNotNull(), F.array().cast(LEDGER_TYPE)))
-    for index, detector in enumerate(detectors):
-        out = _one_detector(out, index, detector)
+    return fresh_ledger(out)
+
+
+def fresh_ledger(df: DataFrame) -> DataFrame:
+    return df.withColumn(
+        "ledger", F.when(F.col("_live").isNotNull(), F.array().cast(LEDGER_TYPE))
+    )
+
+
+def finish_chain(df: DataFrame) -> DataFrame:
     last = F.try_element_at("ledger", F.lit(-1))
-    out = out.withColumn("block", F.when(~last["passed"], last))
-    return out.drop("_live", "_flat", "_scores", "_open")
+    return df.withColumn("block", F.when(~last["passed"], last)).drop("_scores", "_open")
 
 
-def _one_detector(df: DataFrame, index: int, detector: Detector) -> DataFrame:
+def one_detector(df: DataFrame, index: int, detector: Detector) -> DataFrame:
     df = df.withColumn("_open", ~F.exists("ledger", lambda r: ~r["passed"]))
     df = df.withColumn("_scores", detector.scores(F.when(F.col("_open"), F.col("_flat"))))
 
@@ -110,18 +138,22 @@ def explode_windows(
     variants: DataFrame,
     id: str = "doc_id",
     windows: WindowOptions = WindowOptions(),
-    tokens=X.words,
+    tokenizer: X.TokenizerWindows | None = None,
 ) -> DataFrame:
     """``(id, variant_ord, variant_label, window_index, n_windows, text)`` from a variant table.
 
     Windows index from 1. Skipped and empty variants have none.
     """
     rows = variants.where(~F.col("skipped") & (F.col("text") != ""))
+    if tokenizer is None:
+        cut = X.windows(F.col("text"), windows)
+    else:
+        cut = F.get(tokenizer.windows(F.array("text")), F.lit(0))
     rows = rows.select(
         id,
         F.col("ord").alias("variant_ord"),
         F.col("label").alias("variant_label"),
-        X.windows(F.col("text"), windows, tokens).alias("_w"),
+        cut.alias("_w"),
     )
     return rows.select(
         id,

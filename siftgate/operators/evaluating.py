@@ -18,6 +18,7 @@ from siftgate.functions import cleaning
 from siftgate.functions.detecting import Detector
 from siftgate.functions.text import WS, fixed, require_string, strip
 from siftgate.operators import detecting as chain
+from siftgate.operators.layout import settle
 from siftgate.operators.leaks import leak_hits
 from siftgate.options import OptionError, SanitizeOptions, WindowOptions
 
@@ -65,7 +66,7 @@ def attack_verdicts(
     p = F.col(payload)
     out, skipped = attacks, F.lit("skipped")
     if sanitize is not None:
-        out = out.withColumn("_c", cleaning.cleaned(p, sanitize))
+        out = settle(out.withColumn("_c", cleaning.cleaned(p, sanitize)), "_c")
         removed = 1.0 - F.length("_c") / F.greatest(F.length(p), F.lit(1))
         san = (
             F.when(F.col("_c") == p, "exposed").when(removed > 0.5, "blocked").otherwise("reduced")
@@ -526,6 +527,7 @@ def sweep(
     detectors: dict[str, Detector],
     variants: str = "variants",
     windows: WindowOptions = WindowOptions(),
+    tokenizer=None,
 ) -> DataFrame:
     """Configurations x corpus from one scoring pass.
 
@@ -537,15 +539,15 @@ def sweep(
         if missing:
             raise OptionError(f"configuration {c.slug!r} names unknown detectors {sorted(missing)}")
     used = [r for r in detectors if any(r in c.detectors for c in configs)]
-    out = df
+    out = chain.with_windows(df, variants, windows, tokenizer)
     for i, role in enumerate(used):
-        out = chain.run_chain(out, variants, [detectors[role]], windows)
+        out = chain.finish_chain(chain.one_detector(chain.fresh_ledger(out), 0, detectors[role]))
         hit = F.struct(
             F.col("block.detector_name").alias("layer"),
             F.col("block.variant_label").alias("blocked_at_variant"),
         )
         out = out.withColumn(f"_d{i}", F.when(F.col("block").isNotNull(), hit))
-        out = out.drop("block", "ledger")
+        out = settle(out.drop("block", "ledger", "_scores", "_open"), f"_d{i}")
     rows = []
     for c in configs:
         first = F.coalesce(*[F.col(f"_d{used.index(r)}") for r in c.detectors])

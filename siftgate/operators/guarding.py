@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siftgate.functions import guarding
 from siftgate.functions.text import require_string
+from siftgate.operators.layout import settle
 from siftgate.operators.leaks import leak_check
 from siftgate.options import GuardOptions
 
@@ -29,7 +30,7 @@ def guard(
     found = guarding.injection_reason(F.col(text), options)
     if checks:
         found = F.coalesce(found, *checks)
-    out = df.withColumn("reason", found)
+    out = settle(df.withColumn("reason", found), "reason")
     leak = F.lit(None).cast("string")
     if registry is not None:
         out = leak_check(

@@ -9,6 +9,7 @@ slice. Either way the documents themselves are never shuffled to be matched.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,11 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftgate.functions import tokens as K
-from siftgate.functions.text import let, require_string
+from siftgate.functions.text import WHITESPACE, WS, let, require_string, strip
+from siftgate.operators.layout import settle
 from siftgate.options import OptionError
 
 INLINE_TOKENS = 64
-SLICE_BYTES = 8 * 1024 * 1024
+SLICE_BYTES = 2 * 1024 * 1024  # of needles; an automaton takes some fifty times that
 HIT_TYPE = T.ArrayType(
     T.StructType(
         [
@@ -70,41 +72,51 @@ def _inline(rows: list, text: Column, encoding_resistant: bool) -> Column:
     return F.when(text.isNotNull(), let(text, match))
 
 
+_BUILT: dict = {}
+
+
+def _machines(key: str, shared, encoding_resistant: bool):
+    """Automata of one slice; a reused Python worker keeps those of its latest slice."""
+    import ahocorasick
+
+    if key in _BUILT:
+        return _BUILT[key]
+    raw, low, tight = {}, {}, {}
+    for i, (_, _, token, folded, b64, hexed, back, squeezed, _) in enumerate(shared.value):
+        raw.setdefault(token, []).append((i, 0))
+        if encoding_resistant:
+            low.setdefault(folded, []).append((i, 1))
+            raw.setdefault(b64, []).append((i, 2))
+            low.setdefault(hexed, []).append((i, 3))
+            raw.setdefault(back, []).append((i, 4))
+            tight.setdefault(squeezed, []).append((i, 5))
+    machines = []
+    for needles in (raw, low, tight):
+        machine = ahocorasick.Automaton()
+        for needle, owners in needles.items():
+            if needle:
+                machine.add_word(needle, owners)
+        if len(machine):
+            machine.make_automaton()
+        machines.append(machine)
+    everywhere = tight.get("", [])  # a token made of separators squeezes to nothing
+    _BUILT.clear()
+    _BUILT[key] = machines, everywhere
+    return _BUILT[key]
+
+
 def _automaton_udf(spark, rows: list, encoding_resistant: bool):
     """A pandas UDF ``STRING -> hits`` over one broadcast slice of the registry."""
     shared = spark.sparkContext.broadcast([tuple(r) for r in rows])
+    key = uuid.uuid4().hex
     gap = re.compile("[" + re.escape(_gap_characters()) + "]+")
 
-    def build():
-        import ahocorasick
-
-        raw, low, tight = {}, {}, {}
-        for i, (_, _, token, folded, b64, hexed, back, squeezed, _) in enumerate(shared.value):
-            raw.setdefault(token, []).append((i, 0))
-            if encoding_resistant:
-                low.setdefault(folded, []).append((i, 1))
-                raw.setdefault(b64, []).append((i, 2))
-                low.setdefault(hexed, []).append((i, 3))
-                raw.setdefault(back, []).append((i, 4))
-                tight.setdefault(squeezed, []).append((i, 5))
-        machines = []
-        for needles in (raw, low, tight):
-            machine = ahocorasick.Automaton()
-            for needle, owners in needles.items():
-                if needle:
-                    machine.add_word(needle, owners)
-            if len(machine):
-                machine.make_automaton()
-            machines.append(machine)
-        everywhere = tight.get("", [])  # a token made of separators squeezes to nothing
-        return machines, everywhere
-
     def spaced(i: int, text: str) -> bool:
         between = "[" + re.escape(_gap_characters()) + "]{0,3}"
         return re.search(between.join(map(re.escape, shared.value[i][2])), text) is not None
 
     def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        (raw, low, tight), everywhere = build()
+        (raw, low, tight), everywhere = _machines(key, shared, encoding_resistant)
         for batch in batches:
             out = []
             for text in batch:
@@ -144,8 +156,6 @@ def _automaton_udf(spark, rows: list, encoding_resistant: bool):
 
 
 def _gap_characters() -> str:
-    from siftgate.functions.text import WHITESPACE
-
     return WHITESPACE + ".-_"
 
 
@@ -175,7 +185,8 @@ def leak_hits(
     if not few:
         return docs.withColumn("hits", F.when(F.col(text).isNotNull(), F.array().cast(HIT_TYPE)))
     if len(few) <= INLINE_TOKENS:
-        return docs.withColumn("hits", _inline(few, F.col(text), encoding_resistant))
+        found = docs.withColumn("hits", _inline(few, F.col(text), encoding_resistant))
+        return settle(found, "hits")
     spark = docs.sparkSession
     slices = _slices(forms)
     if len(slices) == 1:
@@ -303,8 +314,6 @@ def plant_comments(
 
 def registry_violation(requests: DataFrame) -> DataFrame:
     """Add ``violation``: why an upsert request is refused, or null."""
-    from siftgate.functions.text import WS, strip
-
     label = strip(F.col("label"))
     rule = (
         F.when(
@@ -324,8 +333,6 @@ def upsert_registry(registry: DataFrame, requests: DataFrame, seed: str) -> Data
     Latest-wins is a max over an ordered struct, so a label rotated a million times reduces
     map-side instead of being sorted in one task.
     """
-    from siftgate.functions.text import strip
-
     good = registry_violation(requests).where(F.col("violation").isNull())
     token = F.when(
         F.col("token").isNull(),

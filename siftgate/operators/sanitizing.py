@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftgate.functions import cleaning
 from siftgate.functions.text import require_string
+from siftgate.operators.layout import settle
 from siftgate.options import SanitizeOptions
 
 
@@ -29,7 +30,7 @@ def sanitize(
     df: DataFrame, text: str = "text", options: SanitizeOptions = SanitizeOptions()
 ) -> DataFrame:
     """Clean every row: adds ``cleaned, modified, len_before, len_after, verdict``."""
-    out = with_cleaned(df, text, "cleaned", options)
+    out = settle(with_cleaned(df, text, "cleaned", options), "cleaned")
     changed = F.col("cleaned") != F.col(text)
     return (
         out.withColumn("modified", changed)

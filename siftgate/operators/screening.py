@@ -14,6 +14,7 @@ from siftgate.functions import decoding as D
 from siftgate.functions import detecting as X
 from siftgate.operators import detecting as chain
 from siftgate.operators.judging import LAYER
+from siftgate.operators.layout import settle
 from siftgate.operators.sanitizing import with_cleaned
 from siftgate.options import OptionError, ScreenOptions
 
@@ -40,6 +41,7 @@ def screen(
     text: str = "text",
     source: str | Column = "external",
     label: Column | None = None,
+    tokenizer: X.TokenizerWindows | None = None,
 ) -> DataFrame:
     """Screen a table of untrusted texts; one output row per input row.
 
@@ -70,8 +72,9 @@ def screen(
         df = df.withColumn("_clean", F.col("_in"))
     df = df.withColumn("_variants", D.variants(F.col("_clean"), o.decode))
     df = df.withColumn("_spent", D.cap_exhausted(F.col("_variants")))
+    df = settle(df, "_clean", "_variants", "_spent")
     df = df.withColumn("_rescan", F.when(~F.col("_spent"), F.col("_variants")))
-    df = chain.run_chain(df, "_rescan", detectors, o.windows)
+    df = chain.run_chain(df, "_rescan", detectors, o.windows, tokenizer)
     judged = F.lit(False)
     if judge is not None:
         decision = judge.select(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from siftgate.functions import detecting as X
 from siftgate.functions.text import WS
 from siftgate.options import DEFAULT_INSTRUCTION
+from siftgate.operators.layout import spread
 
 AS_OF = datetime(2024, 1, 30, 12, 0, 0)
 AS_OF_US = (AS_OF - datetime(1970, 1, 1)).days * 86_400_000_000 + AS_OF.hour * 3_600_000_000
@@ -81,15 +82,20 @@ def payload(id: Column, plants=PLANTS) -> Column:
     return F.get(choices, F.pmod(id, F.lit(len(plants))).cast("int"))
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    return docs if docs.isStreaming else spread(docs, "doc_id")
+
+
 def planted(spark: SparkSession, sf: str) -> DataFrame:
     """``(doc_id, lang, source, text)`` with the payload appended."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    docs = documents(spark, sf)
     return docs.withColumn("text", F.concat("text", payload(F.col("doc_id"))))
 
 
 def heads(spark: SparkSession, sf: str) -> DataFrame:
     """Planted documents with the payload in front, so length limits do not hide it."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    docs = documents(spark, sf)
     return docs.withColumn("text", F.concat(payload(F.col("doc_id")), F.lit(" "), "text"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siftgate.functions import tokens as K
 from siftgate.functions.text import WS
 from siftgate.operators import leaks
-from siftgate.plans.inputs import SEED, Plan, registry, table, text_literal
+from siftgate.plans.inputs import SEED, Plan, documents, registry, table, text_literal
 
 PLAN = Plan()
 
@@ -36,7 +36,7 @@ LEAKY = (
 
 
 def leaky(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
+    docs = documents(spark, sf)
     token = K.generated_token(F.col("source"), "SIFT-CANARY", SEED)
     raw = token.cast("binary")
     form = F.pmod("doc_id", F.lit(8))
@@ -94,7 +94,7 @@ def _one_kind(name: str, kind: str):
     "ON contains(d.text, b.text)",
 )
 def exact(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf)
     out = leaks.leak_hits(docs, registry(spark, sf), encoding_resistant=False)
     return leaks.hit_rows(out).select("doc_id", "source_name")
 
@@ -134,7 +134,7 @@ def leak_check(spark, sf):
 )
 def leak_check_benchmark(spark, sf):
     """Passages as tokens: grows with the benchmark table, past 64 rows into the automaton path."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf)
     out = leaks.leak_check(docs, registry(spark, sf))
     return out.select("doc_id", "leaked", F.array_join("sources", ",").alias("sources"))
 

@@ -290,18 +290,28 @@ def rolling_metrics(spark, sf):
     return _edges(drained(spark, out, "rolling"), "total", "blocked", "modified")
 
 
-@PLAN.add(
-    "R5_incident_sessions",
-    f"WITH {LOG}, b AS (SELECT source_id, ts, epoch_us(ts) AS us FROM log WHERE verdict = 'blocked'), "
-    "g AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY source_id ORDER BY us) < 1800000000 "
-    "THEN 0 ELSE 1 END AS fresh FROM b), "
-    "s AS (SELECT *, sum(fresh) OVER (PARTITION BY source_id ORDER BY us) AS sid FROM g), "
-    "e AS (SELECT min(us) AS start_us, max(us) + 1800000000 AS end_us, source_id, count(*) AS blocked "
-    "FROM s GROUP BY source_id, sid) "
-    "SELECT * FROM e WHERE end_us <= (SELECT max(us) - 600000000 FROM b)",
-)
+def _sessions_sql(by: str) -> str:
+    part = f"PARTITION BY {by} " if by else ""
+    keys = f"{by}, " if by else ""
+    return (
+        f"WITH {LOG}, b AS (SELECT source_id, ts, epoch_us(ts) AS us FROM log WHERE verdict = 'blocked'), "
+        f"g AS (SELECT *, CASE WHEN us - lag(us) OVER ({part}ORDER BY us) < 1800000000 THEN 0 ELSE 1 END "
+        f"AS fresh FROM b), s AS (SELECT *, sum(fresh) OVER ({part}ORDER BY us) AS sid FROM g), "
+        f"e AS (SELECT {keys}min(us) AS start_us, max(us) + 1800000000 AS end_us, count(*) AS blocked "
+        f"FROM s GROUP BY {keys}sid) "
+        "SELECT * FROM e WHERE end_us <= (SELECT max(us) - 600000000 FROM b)"
+    )
+
+
+@PLAN.add("R5_incident_sessions", _sessions_sql(""))
 def incident_sessions(spark, sf):
     out = jobs.incident_sessions(streamed_log(spark, sf))
+    return _edges(drained(spark, out, "sessions"), "blocked")
+
+
+@PLAN.add("R5_incident_sessions_by_source", _sessions_sql("source_id"))
+def incident_sessions_by_source(spark, sf):
+    out = jobs.incident_sessions(streamed_log(spark, sf), by=["source_id"])
     return _edges(drained(spark, out, "sessions"), "source_id", "blocked")
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from siftgate.plans import detection, evaluation, leaks, logs, stores, texts
+from siftgate.sources.storage import ship
 
 PLANS = (
     stores.PLAN,
@@ -19,10 +21,18 @@ PLANS = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out: dict = {}
-    for plan in PLANS:
-        out.update(plan.queries)
-    return out
+    return {name: _shipped(run) for plan in PLANS for name, run in plan.queries.items()}
+
+
+def _shipped(run: Callable) -> Callable:
+    """Python workers import this package too, wherever the driver was started."""
+
+    @functools.wraps(run)
+    def go(spark: SparkSession, sf: str) -> DataFrame:
+        ship(spark)
+        return run(spark, sf)
+
+    return go
 
 
 def oracle_sql() -> dict[str, str]:

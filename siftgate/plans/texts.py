@@ -30,6 +30,7 @@ from siftgate.plans.inputs import (
     table,
     text_literal,
 )
+from siftgate.operators.layout import spread
 
 PLAN = Plan()
 UNCUT = SanitizeOptions(max_length=None)
@@ -95,7 +96,7 @@ def _unescape_sql(x: str, rounds: int = 4) -> str:
     "SELECT page_id, md5(c) AS digest, length(c) AS n FROM c",
 )
 def decode_encodings(spark, sf):
-    pages = table(spark, sf, "pages")
+    pages = spread(table(spark, sf, "pages").select("page_id", "html"), "page_id")
     rows = pages.select("page_id", cleaning.decode_encodings(F.col("html")).alias("c"))
     return rows.select("page_id", F.md5("c").alias("digest"), F.length("c").alias("n"))
 
@@ -130,7 +131,8 @@ def sanitize(spark, sf):
 )
 def sanitize_pages(spark, sf):
     options = SanitizeOptions(decode_encodings=True, max_length=None)
-    out = sanitizing.sanitize(table(spark, sf, "pages"), "html", options)
+    pages = spread(table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    out = sanitizing.sanitize(pages, "html", options)
     return out.select("page_id", F.md5("cleaned").alias("digest"), "modified", "len_after")
 
 

@@ -1,7 +1,9 @@
-"""Where jobs keep intermediate tables and checkpoints."""
+"""Where jobs keep intermediate tables, and how this package reaches the executors."""
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -17,3 +19,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not root:
         root = tempfile.mkdtemp(prefix="siftgate-")
     return f"{root.rstrip('/')}/siftgate/{name}-{uuid.uuid4().hex}"
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers (once per Spark application)."""
+    context = spark.sparkContext
+    if getattr(context, "_siftgate_shipped", False):
+        return
+    home = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    base = os.path.join(tempfile.mkdtemp(prefix="siftgate-"), "siftgate")
+    context.addPyFile(shutil.make_archive(base, "zip", home, "siftgate"))
+    context._siftgate_shipped = True

@@ -66,18 +66,27 @@ def rolling_metrics(
 
 
 def incident_sessions(
-    events: DataFrame, gap: str = "30 minutes", lateness: str = "10 minutes", ts: str = "ts"
+    events: DataFrame,
+    by: Sequence[str] = (),
+    gap: str = "30 minutes",
+    lateness: str = "10 minutes",
+    ts: str = "ts",
 ) -> DataFrame:
-    """Runs of blocked events less than ``gap`` apart.
+    """Runs of blocked events less than ``gap`` apart, over the whole stream or per ``by``.
 
-    Sessions are kept per source, which spreads the state; a global session would put the whole
-    stream's state into one task.
+    A stream-wide session has one key, so each task first merges its own rows into sessions and
+    only those reach the one state holder: its input is sessions per task, not events.
     """
+    events.sparkSession.conf.set(
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
+    )
     rows = blocked_only(events).withWatermark(ts, lateness)
-    out = rows.groupBy(F.session_window(ts, gap).alias("window"), "source_id").agg(
+    # "verdict" is constant here: a streaming session needs some key next to its window
+    keys = list(by) or ["verdict"]
+    out = rows.groupBy(F.session_window(ts, gap).alias("window"), *keys).agg(
         F.count(F.lit(1)).alias("blocked")
     )
-    return _edges(out)
+    return _edges(out if by else out.drop("verdict"))
 
 
 def running_totals(events: DataFrame) -> DataFrame:
