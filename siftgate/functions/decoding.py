@@ -19,6 +19,9 @@ SPAN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 UNPRINTABLE = r"[\p{C}\p{Z}\x{fffd}&&[^ \n\r\t]]"
 # ------------------------------------------------------------------------------------------------
 
+# The same runs for the JVM: looking behind keeps it from retrying every suffix of every word.
+JVM_SPAN = r"(?<![\w+/-])[\w+/-]{20,}={0,2}"
+SPANS_TYPE = "array<struct<start:int,end:int,span:string>>"
 VARIANT_TYPE = "struct<label:string,text:string,depth:int,skipped:boolean,skip_reason:string>"
 
 
@@ -32,8 +35,8 @@ def spans(text: Column) -> Column:
     Offsets are running sums over the gaps between runs, so a text is walked once however many
     runs it holds.
     """
-    found = F.regexp_extract_all(text, F.lit(f"({SPAN})"), F.lit(1))
-    gaps = F.transform(F.split(text, SPAN, -1), lambda g: F.length(g))
+    found = F.regexp_extract_all(text, F.lit(JVM_SPAN), F.lit(0))
+    gaps = F.transform(F.split(text, JVM_SPAN, -1), lambda g: F.length(g))
 
     def place(runs: Column, between: Column) -> Column:
         first = F.array(F.lit(0))  # seed; dropped below
@@ -55,16 +58,18 @@ def spans(text: Column) -> Column:
         )
 
     return let(found, lambda runs: F.when(F.size(runs) > 0, let(gaps, lambda b: place(runs, b)))
-               .otherwise(F.array().cast("array<struct<start:int,end:int,span:string>>")))
+               .otherwise(F.array().cast(SPANS_TYPE)))
 
 
 def base64_bytes(span: Column) -> Column:
     """Bytes of a span, or null. Both alphabets, missing or surplus padding tolerated."""
     core = F.translate(F.rtrim(span, F.lit("=")), "-_", "+/")
+    padded = lambda t: F.concat(t, F.repeat(F.lit("="), F.pmod(-F.length(t), F.lit(4))))
+    # one character over a multiple of four never decodes; saying so is cheaper than an exception
     return let(
         core,
-        lambda t: F.try_to_binary(
-            F.concat(t, F.repeat(F.lit("="), F.pmod(-F.length(t), F.lit(4)))), F.lit("base64")
+        lambda t: F.when(
+            F.pmod(F.length(t), F.lit(4)) != 1, F.try_to_binary(padded(t), F.lit("base64"))
         ),
     )
 
@@ -135,25 +140,32 @@ def _rotated(text, parent, depth) -> Column:
     )
 
 
-def first_pass(text: Column, o: DecodeOptions, found: Column | None) -> Column:
+def first_pass(text: Column, o: DecodeOptions, found: Column) -> Column:
     """Depth-1 variants: ROT13 of the text, then its base64 candidates in order."""
-    out = _rotated(text, None, 1)
-    if found is not None:
-        out = F.concat(out, _candidates(found, F.lit(0), None, 1, o))
-    return out
+    return F.concat(_rotated(text, None, 1), _candidates(found, F.lit(0), None, 1, o))
 
 
-def second_pass(used: Column, ones: Column, o: DecodeOptions) -> Column:
+def second_pass(used: Column, found: Column, ones: Column, o: DecodeOptions) -> Column:
     """Depth-2 variants of every accepted depth-1 variant.
 
-    Candidates share one budget per document, in order of discovery over both passes.
+    Candidates share one budget per document, in order of discovery over both passes. ROT13 twice
+    is the text itself, which is never kept again; and as ROT13 maps the base64 alphabet to itself,
+    the runs of the rotated text are the runs of the text, rotated.
     """
     parents = F.filter(ones, lambda v: ~v["skipped"] & (v["text"] != ""))
-    if not o.base64:
-        return F.flatten(F.transform(parents, lambda v: _rotated(v["text"], v["label"], 2)))
+    none = F.array().cast(f"array<{VARIANT_TYPE}>")
+
+    def runs(v: Column) -> Column:
+        rotated = F.transform(
+            found,
+            lambda s: F.struct(
+                s["start"].alias("start"), s["end"].alias("end"), rot13(s["span"]).alias("span")
+            ),
+        )
+        return F.when(v["label"] == "rot13", rotated).otherwise(spans(v["text"]))
 
     def expand(p: Column) -> Column:
-        with_spans = F.transform(p, lambda v: F.struct(v.alias("v"), spans(v["text"]).alias("f")))
+        with_spans = F.transform(p, lambda v: F.struct(v.alias("v"), runs(v).alias("f")))
 
         def number(ws: Column) -> Column:
             # at most candidate_cap + 1 parents, so the running total is a short loop
@@ -166,7 +178,9 @@ def second_pass(used: Column, ones: Column, o: DecodeOptions) -> Column:
                             F.slice(ws, 1, i), F.lit(0), lambda acc, u: acc + F.size(u["f"])
                         ),
                         lambda before: F.concat(
-                            _rotated(w["v"]["text"], w["v"]["label"], 2),
+                            F.when(w["v"]["label"] == "rot13", none).otherwise(
+                                _rotated(w["v"]["text"], w["v"]["label"], 2)
+                            ),
                             _candidates(w["f"], before, w["v"]["label"], 2, o),
                         ),
                     ),
@@ -196,18 +210,21 @@ def variants(text: Column, options: DecodeOptions = DecodeOptions()) -> Column:
     def build(t: Column) -> Column:
         original = F.array(_variant(F.lit("original"), t, 0))
 
-        def passes(found: Column | None) -> Column:
-            used = F.lit(0) if found is None else F.size(found)
-
+        def passes(found: Column) -> Column:
             def join(ones: Column) -> Column:
                 parts = [original, ones]
                 if o.max_depth >= 2:
-                    parts.append(second_pass(used, ones, o))
+                    parts.append(second_pass(F.size(found), found, ones, o))
                 return let(F.concat(*parts), dedupe)
 
             return let(first_pass(t, o, found), join)
 
-        body = let(spans(t), passes) if o.base64 else passes(None)
+        if o.max_depth < 1:
+            body = original
+        elif o.base64:
+            body = let(spans(t), passes)
+        else:  # ROT13 alone: a second pass could only give the text back
+            body = F.concat(original, _rotated(t, None, 1))
         return F.when(t.isNotNull(), F.when(t == "", original).otherwise(body))
 
     return let(text, build)

@@ -195,7 +195,7 @@ def verdict(scores: Column, detector: Detector) -> Column:
 
         return let(hit, assemble)
 
-    return F.when(scores.isNotNull(), let(scores, reduce))
+    return let(scores, lambda s: F.when(s.isNotNull(), reduce(s)))
 
 
 def block_reason(detector: str | Column, label, score, window_index, n_windows) -> Column:
