@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,31 +84,38 @@ def java_pattern(pattern: str) -> str:
 
 
 def fixed(value: Column, digits: int) -> Column:
-    """``%.{digits}f`` of a double in [0, 127], rounding the exact binary value half to even.
+    """``%.{digits}f`` of a double in [0, 128), rounding the exact binary value half to even.
 
-    JVM formatting rounds the *printed* decimal half up, which disagrees on ties such as 0.125.
+    JVM formatting rounds the *printed* decimal half up, which disagrees on ties such as 0.125. A
+    double times a power of two is exact, so the value is taken apart into whole numbers and the
+    rounding is done on those.
     """
-    unit = 2**56
-    scaled = (value * F.lit(float(unit))).cast("bigint").cast("decimal(38,0)") * F.lit(
-        10**digits
-    ).cast("decimal(6,0)")
+    high, low = 52, 53
+    wide = "decimal(38,0)"
+    unit = F.lit(Decimal(2 ** (high + low)))
+    half = F.lit(Decimal(2 ** (high + low - 1)))
 
-    def render(x: Column) -> Column:
-        whole = F.floor(x / F.lit(unit).cast("decimal(20,0)")).cast("bigint")
+    def whole(top: Column) -> Column:
+        upper = F.floor(top)
+        lower = ((top - upper) * F.lit(float(2**low))).cast("bigint").cast("decimal(16,0)")
+        exact = upper.cast("decimal(19,0)") * F.lit(Decimal(2**low)) + lower
+        return (exact.cast(wide) * F.lit(Decimal(10**digits))).cast(wide)
 
+    def render(x: Column) -> Column:
         def settle(q: Column) -> Column:
-            rest = x - q.cast("decimal(20,0)") * F.lit(unit).cast("decimal(20,0)")
-            half = F.lit(unit // 2).cast("decimal(20,0)")
+            rest = x - (q.cast("decimal(8,0)") * unit).cast(wide)
             up = (rest > half) | ((rest == half) & (F.pmod(q, F.lit(2)) == 1))
-            n = q + F.when(up, 1).otherwise(0)
-            if digits == 0:
-                return n.cast("string")
-            return F.concat(
-                F.floor(n / F.lit(10**digits)).cast("bigint").cast("string"),
-                F.lit("."),
-                F.lpad(F.pmod(n, F.lit(10**digits)).cast("string"), digits, "0"),
-            )
-
-        return let(whole, settle)
-
-    return let(scaled, render)
+            return let(q + F.when(up, 1).otherwise(0), show)
+
+        return let(F.call_function("div", x, unit), settle)
+
+    def show(n: Column) -> Column:
+        if digits == 0:
+            return n.cast("string")
+        return F.concat(
+            F.call_function("div", n, F.lit(10**digits)).cast("string"),
+            F.lit("."),
+            F.lpad(F.pmod(n, F.lit(10**digits)).cast("string"), digits, "0"),
+        )
+
+    return let(value * F.lit(float(2**high)), lambda top: let(whole(top), render))

@@ -83,7 +83,7 @@ def metrics(log: DataFrame, as_of: datetime, hours: float = 24, ts: str = "ts")
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.col("verdict") == "blocked").alias("blocked"),
     )
-    return out.select(
+    counted = out.select(
         F.when(F.col("_gl") == 0, "layer")
         .when(F.col("_gv") == 0, "verdict")
         .otherwise("all")
@@ -95,6 +95,14 @@ def metrics(log: DataFrame, as_of: datetime, hours: float = 24, ts: str = "ts")
         "total",
         "blocked",
     )
+    # grouping sets of an empty period give no total row at all; the report still has one
+    zero = F.lit(0).cast("long")
+    floor = log.sparkSession.range(1).select(
+        F.lit("all").alias("level"), F.lit("all").alias("key"), zero.alias("total"), zero.alias("blocked")
+    )
+    return counted.unionByName(floor).groupBy("level", "key").agg(
+        F.sum("total").alias("total"), F.sum("blocked").alias("blocked")
+    )
 
 
 def _spine(log: DataFrame, start: int, size: float, buckets: int) -> DataFrame:

@@ -21,8 +21,8 @@ def with_cleaned(
     head = F.col(text)
     if options.decode_encodings:
         head = cleaning.decode_encodings(head)
-    staged = df.withColumn(out, cleaning.strip_hidden(head, options))
-    staged = staged.withColumn(out, cleaning.normalize_nfkc(F.col(out)))
+    staged = settle(df.withColumn(out, cleaning.strip_hidden(head, options)), out)
+    staged = settle(staged.withColumn(out, cleaning.normalize_nfkc(F.col(out))), out)
     return staged.withColumn(out, cleaning.finish(F.col(out), options))
 
 

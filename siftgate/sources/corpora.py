@@ -166,7 +166,7 @@ def parse_registry(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def load_registry(spark: SparkSession, path: str, whole_file: bool = False) -> DataFrame:
     """Registry objects, one per line, or one (possibly indented) object per file."""
-    return parse_registry(spark.read.option("wholetext", whole_file).text(path))
+    return parse_registry(spark.read.text(path, wholetext=whole_file))
 
 
 def save_registry(registry: DataFrame, path: str) -> None:
