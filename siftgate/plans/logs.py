@@ -384,10 +384,12 @@ def late_events(spark, sf):
     # update mode repeats a window as it grows: the newest batch that names it stands
     emitted = spark.read.parquet(path)
     final = emitted.groupBy("start", "layer").agg(F.max("total").alias("total"))
-    counted = final.agg(F.sum("total").alias("counted"))
-    total = log.agg((F.count(F.lit(1)) * 2).alias("arrived"))
-    return counted.crossJoin(total).select(
-        "counted", (F.col("arrived") - F.col("counted")).alias("behind_watermark")
+    both = final.select(F.col("total").alias("counted"), F.lit(0).alias("arrived")).unionByName(
+        log.select(F.lit(0).alias("counted"), F.lit(2).alias("arrived"))
+    )
+    return both.agg(
+        F.sum("counted").alias("counted"),
+        (F.sum("arrived") - F.sum("counted")).alias("behind_watermark"),
     )
 
 

@@ -85,8 +85,8 @@ _step("T12_truncate_strip", lambda c: cleaning.truncate(c, 3000), sql_strip("lef
 
 def _unescape_sql(x: str, rounds: int = 4) -> str:
     for _ in range(rounds):
-        for entity, ch in (("&quot;", '"'), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-            x = f"replace({x}, '{entity}', '{ch}')"
+        for entity, ch in (("&quot", '"'), ("&middot", "·"), ("&copy", "©"), ("&amp", "&")):
+            x = f"regexp_replace({x}, '{entity};?', '{ch}', 'g')"
     return x
 
 

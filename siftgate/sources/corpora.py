@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgate.functions.text import require_string, strip
 from siftgate.options import BYTE_CAP, OptionError
 
+MAX_CONFIGURATIONS = 1000
 READERS = ("parquet", "json", "orc", "csv", "text")
 CORPUS_FIELDS = ("id", "category", "subject", "body")
 REPORT_SCHEMA = (
@@ -255,10 +256,13 @@ def store_results(results: DataFrame, store: str) -> None:
     ).parquet(store)
 
 
-def report_document(
-    results: DataFrame, schema: str, generated_at: str, order: Column | None = None
-) -> DataFrame:
-    """One JSON document over the (few) configuration rows, in input order ``ord``."""
+def report_document(results: DataFrame, schema: str, generated_at: str) -> DataFrame:
+    """One JSON document over the configuration rows, in input order ``ord``.
+
+    A report is one string, so its rows meet in one task: their number is checked first.
+    """
+    if results.limit(MAX_CONFIGURATIONS + 1).count() > MAX_CONFIGURATIONS:
+        raise OptionError(f"a report document holds at most {MAX_CONFIGURATIONS} configurations")
     fields = [c for c in results.columns if c != "ord"]
     rows = results.groupBy().agg(
         F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("c")))).alias("r")
