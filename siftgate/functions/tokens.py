@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from siftgate.functions.text import WS
+from siftgate.functions.text import WHITESPACE, WS
 
 # --- fixed values -------------------------------------------------------------------------------
 KINDS = ("exact", "casefold", "base64", "hex", "reversed", "spaced")
 GAP = rf"[{WS}.\-_]"
+GAP_CHARACTERS = WHITESPACE + ".-_"
 SHAPES = ("aws", "bearer", "password", "url", "mongo")
 # ------------------------------------------------------------------------------------------------
 
@@ -36,7 +37,7 @@ def spaced_pattern(token: Column) -> Column:
 
 def squeezed(text: Column) -> Column:
     """Drop every separator the spaced form may contain."""
-    return F.regexp_replace(text, f"{GAP}+", "")
+    return F.translate(text, GAP_CHARACTERS, "")
 
 
 def forms(ord: Column, source_name: Column, token: Column) -> Column:
