@@ -19,8 +19,10 @@ SPAN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 UNPRINTABLE = r"[\p{C}\p{Z}\x{fffd}&&[^ \n\r\t]]"
 # ------------------------------------------------------------------------------------------------
 
-# The same runs for the JVM: looking behind keeps it from retrying every suffix of every word.
-JVM_SPAN = r"(?<![\w+/-])[\w+/-]{20,}={0,2}"
+# The same runs for the JVM: looking behind keeps it from retrying every suffix of every word, and
+# a class of single characters is one table lookup where ranges are a chain of tests.
+_ONE = f"[{PLAIN}0123456789+/_\\-]"
+JVM_SPAN = f"(?<!{_ONE}){_ONE}{{20,}}={{0,2}}"
 SPANS_TYPE = "array<struct<start:int,end:int,span:string>>"
 VARIANT_TYPE = "struct<label:string,text:string,depth:int,skipped:boolean,skip_reason:string>"
 

@@ -32,6 +32,16 @@ def at(df: DataFrame, ts: str, when: datetime) -> Column:
     raise OptionError(f"column {ts!r} must be a timestamp, got {kind.simpleString()}")
 
 
+def since(df: DataFrame, ts: str, when: datetime, inclusive: bool = True) -> Column:
+    """Rows from ``when`` on. A log stored by UTC ``date`` folders is also cut by folder, which a
+    filter on the timestamp alone would not do."""
+    cutoff = at(df, ts, when)
+    rows = F.col(ts) >= cutoff if inclusive else F.col(ts) > cutoff
+    if "date" in df.columns and isinstance(df.schema["date"].dataType, T.DateType):
+        rows = (F.col("date") >= F.lit(when.date())) & rows
+    return rows
+
+
 def epoch_us(df: DataFrame, ts: str) -> Column:
     """Microseconds since the epoch (zone-less values are read as UTC)."""
     if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
@@ -48,7 +58,7 @@ def query_events(
     log: DataFrame,
     layer: str | None = None,
     verdict: str | None = None,
-    since: datetime | None = None,
+    start: datetime | None = None,
     until: datetime | None = None,
     limit: int = 100,
     offset: int = 0,
@@ -63,15 +73,15 @@ def query_events(
         out = out.where(F.col("layer") == layer)
     if verdict:
         out = out.where(F.col("verdict") == verdict)
-    if since:
-        out = out.where(F.col(ts) >= at(log, ts, since))
+    if start:
+        out = out.where(since(log, ts, start))
     if until:
         out = out.where(F.col(ts) <= at(log, ts, until))
     return out.orderBy(F.col(ts).desc(), F.col(id).desc()).offset(offset).limit(limit)
 
 
 def _recent(log: DataFrame, as_of: datetime, hours: float, ts: str) -> DataFrame:
-    return log.where(F.col(ts) >= at(log, ts, as_of - timedelta(hours=hours)))
+    return log.where(since(log, ts, as_of - timedelta(hours=hours)))
 
 
 def metrics(log: DataFrame, as_of: datetime, hours: float = 24, ts: str = "ts") -> DataFrame:
@@ -131,9 +141,7 @@ def timeseries(
     span = int(hours * 3600 * US)
     start = micros(as_of) - span
     size = span / buckets
-    rows = log.where(
-        (F.col(ts) >= at(log, ts, as_of - timedelta(hours=hours))) & (F.col(ts) < at(log, ts, as_of))
-    )
+    rows = _recent(log, as_of, hours, ts).where(F.col(ts) < at(log, ts, as_of))
     if layer:
         rows = rows.where(F.col("layer") == layer)
     slot = F.floor((epoch_us(log, ts) - F.lit(start)) / F.lit(size)).cast("int")
@@ -151,8 +159,8 @@ def timeseries(
 
 
 def prune(log: DataFrame, as_of: datetime, days: int = 30, ts: str = "ts") -> DataFrame:
-    """Events to keep. On a date-partitioned log the cutoff also prunes whole partitions."""
-    return log.where(F.col(ts) >= at(log, ts, as_of - timedelta(days=days)))
+    """Events to keep."""
+    return log.where(since(log, ts, as_of - timedelta(days=days)))
 
 
 def prune_counts(log: DataFrame, as_of: datetime, days: int = 30, ts: str = "ts") -> DataFrame:
@@ -224,7 +232,8 @@ def layer_sparks(log: DataFrame, as_of: datetime, ts: str = "ts") -> DataFrame:
     Ages run from ``as_of`` backwards: age 0 belongs to the last minute, fourteen is outside.
     """
     rows = log.where(
-        (F.col(ts) > at(log, ts, as_of - timedelta(minutes=14))) & (F.col(ts) <= at(log, ts, as_of))
+        since(log, ts, as_of - timedelta(minutes=14), inclusive=False)
+        & (F.col(ts) <= at(log, ts, as_of))
     )
     age = F.lit(micros(as_of)) - epoch_us(log, ts)
     counts = rows.groupBy(
@@ -242,8 +251,8 @@ def layer_sparks(log: DataFrame, as_of: datetime, ts: str = "ts") -> DataFrame:
 
 def incident(log: DataFrame, as_of: datetime, ts: str = "ts") -> DataFrame:
     """Whether anything was blocked in the last thirty minutes, and how much."""
-    cutoff = at(log, ts, as_of - timedelta(minutes=30))
-    recent = log.where((F.col("verdict") == "blocked") & (F.col(ts) > cutoff))
+    window = since(log, ts, as_of - timedelta(minutes=30), inclusive=False)
+    recent = log.where((F.col("verdict") == "blocked") & window)
     return recent.agg(F.count(F.lit(1)).alias("blocked_recent")).select(
         (F.col("blocked_recent") > 0).alias("incident"), "blocked_recent"
     )
@@ -256,7 +265,7 @@ def latest(log: DataFrame, n: int = 500, ts: str = "ts", id: str = "id") -> Data
 def layer_counts(
     log: DataFrame, as_of: datetime, hours: float = 24, ts: str = "ts"
 ) -> DataFrame:
-    rows = log.where(F.col(ts) > at(log, ts, as_of - timedelta(hours=hours)))
+    rows = log.where(since(log, ts, as_of - timedelta(hours=hours), inclusive=False))
     return rows.groupBy(normal_layer(F.col("layer")).alias("layer")).agg(
         F.count(F.lit(1)).alias("n")
     )

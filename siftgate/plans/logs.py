@@ -7,8 +7,6 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from siftgate.operators import events as ev
-from siftgate.operators.guarding import guard
-from siftgate.operators.screening import screen
 from siftgate.plans.inputs import (
     AS_OF,
     AS_OF_US,
@@ -17,7 +15,6 @@ from siftgate.plans.inputs import (
     Plan,
     log_events,
     planted,
-    table,
 )
 from siftgate.plans.detection import FULL, SCREENED
 from siftgate.plans.texts import FOUND
@@ -46,7 +43,7 @@ def query_events(spark, sf):
             log_events(spark, sf),
             layer="canary",
             verdict="blocked",
-            since=AS_OF - timedelta(days=20),
+            start=AS_OF - timedelta(days=20),
             until=AS_OF,
             offset=5,
         )

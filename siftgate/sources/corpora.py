@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgate.functions.text import require_string, strip
+from siftgate.operators.events import epoch_us
 from siftgate.options import BYTE_CAP, OptionError
 
 MAX_CONFIGURATIONS = 1000
@@ -178,8 +179,9 @@ def save_registry(registry: DataFrame, path: str) -> None:
 
 
 def append_events(events: DataFrame, path: str, ts: str = "ts") -> None:
-    """Append to a date-partitioned log, so time filters prune folders as well as row groups."""
-    events.withColumn("date", F.to_date(ts)).write.mode("append").partitionBy("date").parquet(path)
+    """Append to a log in UTC date folders, so time filters skip folders as well as row groups."""
+    day = F.date_from_unix_date(F.floor(epoch_us(events, ts) / 86_400_000_000).cast("int"))
+    events.withColumn("date", day).write.mode("append").partitionBy("date").parquet(path)
 
 
 def parse_envelopes(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -41,7 +41,7 @@ def test_empty_log(spark):
 
 def test_query_bounds_are_inclusive_and_ties_break_on_id(spark):
     rows = [({"hours": 1}, "a", "x")] * 3 + [({"hours": 3}, "a", "x")]
-    got = ev.query_events(log(spark, rows), since=NOW - timedelta(hours=1), until=NOW - timedelta(hours=1))
+    got = ev.query_events(log(spark, rows), start=NOW - timedelta(hours=1), until=NOW - timedelta(hours=1))
     assert [r["id"] for r in got.collect()] == [2, 1, 0]
     assert [r["id"] for r in ev.query_events(log(spark, rows), limit=2, offset=1).collect()] == [1, 0]
     with pytest.raises(OptionError):
@@ -88,3 +88,15 @@ def test_metadata(spark):
     )
     rows = ev.decode_metadata(df, "k long").orderBy("id").collect()
     assert rows[0]["metadata"]["k"] == 5 and rows[1]["metadata"]["k"] is None
+
+
+def test_date_folders_are_pruned(spark, tmp_path):
+    from siftgate.sources.corpora import append_events
+
+    path = str(tmp_path / "dated")
+    append_events(log(spark, [({"days": d}, "a", "blocked") for d in range(5)]), path)
+    stored = spark.read.parquet(path)
+    recent = ev.stat_tiles(stored, NOW)
+    assert "PartitionFilters: [isnotnull(date" in recent._jdf.queryExecution().executedPlan().toString()
+    assert recent.first()["processed"] == 2
+    assert ev.prune(stored, NOW, days=2).count() == 3
