@@ -151,9 +151,9 @@ def preview(text: Column, width: int = 50) -> Column:
 def preset_run(verdicts: DataFrame, presets: DataFrame, payload: str = "payload") -> DataFrame:
     """The preset subset of a verdict table: label, verdict, caught, catching layer, preview.
 
-    ``presets`` is the fixed eight-row dimension ``(label, attack_name)``.
+    ``presets`` is the small dimension ``(label, attack_name)``; the optimizer measures it.
     """
-    small = F.broadcast(presets.select("label", F.col("attack_name").alias("name")))
+    small = presets.select("label", F.col("attack_name").alias("name"))
     return (
         verdicts.join(small, "name")
         .withColumn("caught", F.col("overall_verdict").isin("blocked", "reduced"))

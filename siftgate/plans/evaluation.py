@@ -716,7 +716,7 @@ def rank_defence(spark, sf):
     "E25_family_matrix",
     BENCH + "SELECT probe_family, "
     + ", ".join(
-        f"avg((verdict <> 'hijacked')::INT) FILTER (config_slug = '{c[0]}') AS c{i}"
+        f"avg((verdict <> 'hijacked')::BIGINT) FILTER (config_slug = '{c[0]}') AS c{i}"
         for i, c in enumerate(ev.CONFIG_PRESETS)
     )
     + " FROM bp GROUP BY probe_family",
@@ -759,7 +759,7 @@ def release_gate(spark, sf):
 
 @PLAN.add(
     "E28_falsepos_report",
-    OUTCOMES + 'SELECT category, CAST(GROUPING(category) AS INT) AS "level", count(*) AS total, '
+    OUTCOMES + 'SELECT category, CAST(GROUPING(category) AS BIGINT) AS "level", count(*) AS total, '
     "count_if(outcome = 'pass') AS defended, count_if(outcome = 'blocked') AS vulnerable, "
     f"count_if(outcome = 'error') AS errors, {RATE} AS false_positive_rate, 1.0::DOUBLE - {RATE} AS "
     "defense_rate FROM outcomes GROUP BY ROLLUP (category)",

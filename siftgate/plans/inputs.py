@@ -52,6 +52,20 @@ def text_literal(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def plain_counts(sql: str) -> str:
+    """``count_if(x)`` as ``count(CASE WHEN x THEN 1 END)``: the former is 128-bit in DuckDB."""
+    mark = "count_if("
+    while mark in sql:
+        start = sql.index(mark)
+        at, depth = start + len(mark), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[at], 0)
+            at += 1
+        inside = sql[start + len(mark) : at - 1]
+        sql = f"{sql[:start]}count(CASE WHEN {inside} THEN 1 END){sql[at:]}"
+    return sql
+
+
 class Plan:
     """A registered query, with its SQL twin where SQL can say it."""
 
@@ -64,7 +78,7 @@ class Plan:
             assert name not in self.queries, name
             self.queries[name] = fn
             if sql is not None:
-                self.sql[name] = sql
+                self.sql[name] = plain_counts(sql)
             return fn
 
         return keep
@@ -181,9 +195,9 @@ def sql_spans(out: str, source: str, keys: str, text: str = "text") -> str:
     return (
         f"{out}_r AS (SELECT {keys}, regexp_extract_all({text}, {SPAN}) AS runs, "
         f"string_split_regex({text}, {SPAN}) AS gaps FROM {source}), "
-        f"{out} AS (SELECT {keys}, t.i::INT AS i, runs[t.i + 1] AS span, "
+        f"{out} AS (SELECT {keys}, t.i::BIGINT AS i, runs[t.i + 1] AS span, "
         "CAST(list_sum([length(g) for g in gaps[1:t.i + 1]]) "
-        "+ COALESCE(list_sum([length(s) for s in runs[1:t.i]]), 0) AS INT) AS start_at "
+        "+ COALESCE(list_sum([length(s) for s in runs[1:t.i]]), 0) AS BIGINT) AS start_at "
         f"FROM {out}_r, unnest(range(len(runs))) t(i))"
     )
 
@@ -193,7 +207,7 @@ def sql_decode(out: str, source: str, keys: str) -> str:
     core = "translate(rtrim(span, '='), '-_', '+/')"
     return (
         f"{out}_b AS (SELECT {keys}, i, span, start_at, "
-        f"TRY(from_base64({core} || repeat('=', CAST((4 - length({core}) % 4) % 4 AS INT)))) AS raw "
+        f"TRY(from_base64({core} || repeat('=', CAST((4 - length({core}) % 4) % 4 AS BIGINT)))) AS raw "
         f"FROM {source}), "
         f"{out}_t AS (SELECT *, TRY(decode(raw)) AS dec FROM {out}_b), "
         f"{out} AS (SELECT {keys}, i, span, start_at, "
@@ -262,7 +276,7 @@ def sql_variants(text_cte: str, base64_on: bool = True) -> str:
         "first_seen AS (SELECT *, row_number() OVER (PARTITION BY doc_id, text, reason IS NULL "
         "ORDER BY depth, pi, i) AS rn FROM every), "
         "variants AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id "
-        "ORDER BY depth, pi, i) - 1 AS INT) AS ord, label, text, depth, "
+        "ORDER BY depth, pi, i) - 1 AS BIGINT) AS ord, label, text, depth, "
         "reason IS NOT NULL AS skipped, reason AS skip_reason FROM first_seen "
         "WHERE reason IS NOT NULL OR rn = 1)"
     )
@@ -280,9 +294,9 @@ def sql_windows(variants: str = "variants", window: int = 510, overlap: int = 64
         f"list_filter(string_split_regex(text, '[{WS}]+'), lambda x: x <> '') AS tk "
         f"FROM {variants} WHERE NOT skipped AND text <> ''), "
         "sized AS (SELECT *, CASE WHEN len(tk) <= "
-        f"{window} THEN 1 ELSE CAST(ceil((len(tk) - {window}) / {step}.0) AS INT) + 1 END AS nw "
+        f"{window} THEN 1 ELSE CAST(ceil((len(tk) - {window}) / {step}.0) AS BIGINT) + 1 END AS nw "
         "FROM toks), "
-        "windows AS (SELECT doc_id, variant_ord, variant_label, t.i::INT + 1 AS window_index, "
+        "windows AS (SELECT doc_id, variant_ord, variant_label, t.i::BIGINT + 1 AS window_index, "
         f"nw AS n_windows, CASE WHEN len(tk) <= {window} THEN text ELSE "
         f"array_to_string(tk[t.i * {step} + 1 : t.i * {step} + {window}], ' ') END AS text "
         "FROM sized, unnest(range(nw)) t(i))"
@@ -312,7 +326,7 @@ VERDICTS = (
     "verdicts AS (SELECT doc_id, detector_index, detector_name, variant_ord, variant_label, "
     "bool_or(label <> 'SAFE' AND score >= 0.9) AS blocked, "
     "COALESCE(arg_min(score, window_index) FILTER (label <> 'SAFE' AND score >= 0.9), "
-    "max(score) FILTER (label <> 'SAFE'), 0.0) AS max_score, CAST(count(*) AS INT) AS n_windows, "
+    "max(score) FILTER (label <> 'SAFE'), 0.0) AS max_score, CAST(count(*) AS BIGINT) AS n_windows, "
     "first(label ORDER BY score DESC, window_index) AS top_label, "
     "min(window_index) FILTER (label <> 'SAFE' AND score >= 0.9) AS window_index, "
     "arg_min(label, window_index) FILTER (label <> 'SAFE' AND score >= 0.9) AS label "

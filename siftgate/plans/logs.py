@@ -65,7 +65,7 @@ def metrics(spark, sf):
 def _series_sql(hours: int, buckets: int, where: str = "TRUE", columns: str = "") -> str:
     size = hours * 3600 // buckets
     return (
-        f"WITH {LOG}, spine AS (SELECT i::INT AS bucket, {NOW} - INTERVAL {hours} HOUR + "
+        f"WITH {LOG}, spine AS (SELECT i::BIGINT AS bucket, {NOW} - INTERVAL {hours} HOUR + "
         f"i * INTERVAL {size} SECOND AS s FROM range({buckets}) t(i)) "
         "SELECT bucket, " + (columns or "epoch_us(s) // 1000000 AS t, ")
         + "count(id) AS total, count(*) FILTER (verdict = 'blocked') AS blocked"
@@ -146,9 +146,9 @@ def timeline(spark, sf):
 
 @PLAN.add(
     "V10_layer_sparks",
-    f"WITH {LOG}, b AS (SELECT nlayer, 13 - CAST(floor(({AS_OF_US} - epoch_us(ts)) / 60000000.0) AS INT) "
+    f"WITH {LOG}, b AS (SELECT nlayer, 13 - CAST(floor(({AS_OF_US} - epoch_us(ts)) / 60000000.0) AS BIGINT) "
     f"AS bucket FROM log WHERE ts <= {NOW} AND {AS_OF_US} - epoch_us(ts) < 840000000) "
-    "SELECT l.layer, g.i::INT AS bucket, count(b.bucket) AS n FROM (VALUES ('sanitizer'), "
+    "SELECT l.layer, g.i::BIGINT AS bucket, count(b.bucket) AS n FROM (VALUES ('sanitizer'), "
     "('boundary'), ('detection'), ('canary')) l(layer) CROSS JOIN range(14) g(i) LEFT JOIN b "
     "ON b.nlayer = l.layer AND b.bucket = g.i GROUP BY ALL",
 )

@@ -6,6 +6,7 @@ import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType
 
 from siftgate.plans import detection, evaluation, leaks, logs, stores, texts
 from siftgate.sources.storage import ship
@@ -30,7 +31,10 @@ def _shipped(run: Callable) -> Callable:
     @functools.wraps(run)
     def go(spark: SparkSession, sf: str) -> DataFrame:
         ship(spark)
-        return run(spark, sf)
+        out = run(spark, sf)
+        # SQL counts and lengths are 64-bit: report the same width
+        narrow = [f.name for f in out.schema.fields if isinstance(f.dataType, IntegerType)]
+        return out.withColumns({c: out[c].cast("long") for c in narrow}) if narrow else out
 
     return go
 

@@ -136,7 +136,7 @@ def probe_payloads(spark, sf):
     "S7_scan_report",
     "SELECT CASE WHEN doc_id % 4 = 1 THEN 'unknown' ELSE 'p.' || doc_id END AS probe, md5(text) AS "
     "prompt, CASE WHEN doc_id % 5 = 1 THEN '' ELSE left(text, 30) END AS output, 'unknown' AS detector, "
-    "doc_id % 3 = 0 AS passed, CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS score FROM documents "
+    "doc_id % 3 = 0 AS passed, CAST(CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score FROM documents "
     "WHERE doc_id % 10 NOT IN (0, 1, 2)",
 )
 def scan_report(spark, sf):
@@ -309,7 +309,7 @@ def resumed_sweep(spark, sf):
     configs = spark.createDataFrame([(c[0],) for c in ev.CONFIG_PRESETS], "config_slug string")
 
     def run(todo, n):
-        rows = found.join(F.broadcast(todo), "config_slug", "left_semi")
+        rows = found.join(todo, "config_slug", "left_semi")
         return ev.false_positive_rates(rows).withColumn("run", F.lit(n))
 
     corpora.store_results(run(configs.where(F.col("config_slug").isin("all", "deberta-only")), 1), path)
