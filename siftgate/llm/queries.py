@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgate.llm import bpe, decontamination, secrets, token_files
+from siftgate.llm import bpe, decontamination, language, near_dedup, secrets, token_files
 from siftgate.llm.common import table
 
 TIKTOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -31,6 +31,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.deduplicate(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_layers", "n_refused")
@@ -41,6 +45,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out("doc_id", 4, 2).alias("held_out"))
+    model = language.learn(docs.where("NOT held_out"))
+    return language.identify(docs, model, keep=["doc_id", "held_out"])
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path(TOKENIZER_JSON)) as f:
         description = f.read()
@@ -49,8 +59,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_near_dedup": op2_near_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_bpe": op4_bpe,
+    "op8_language": op8_language,
     "op9_token_files": op9_token_files,
 }
 
