@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgate.llm import bpe, decontamination, language, near_dedup, secrets, token_files
+from siftgate.llm import bpe, decontamination, language, near_dedup, secrets, token_files, winnowing
 from siftgate.llm.common import table
 
 TIKTOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -45,6 +45,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN, keep=["doc_id"])
 
 
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.against_edits(table(spark, sf_dir, "documents"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out("doc_id", 4, 2).alias("held_out"))
     model = language.learn(docs.where("NOT held_out"))
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": op2_near_dedup,
     "op3_secret_scan": op3_secret_scan,
     "op4_bpe": op4_bpe,
+    "op5_fingerprints": op5_fingerprints,
     "op8_language": op8_language,
     "op9_token_files": op9_token_files,
 }
