@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgate.llm import bpe, decontamination, language, near_dedup, secrets, token_files, winnowing
+from siftgate.llm import bpe, decontamination, language, lm_scoring, near_dedup, secrets, token_files, winnowing
 from siftgate.llm.common import table
 
 TIKTOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -49,6 +49,12 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.against_edits(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = lm_scoring.score(docs, ~language.held_out("doc_id", 7, 2))
+    return scored.withColumn("held_out", ~scored.learned).drop("learned")
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out("doc_id", 4, 2).alias("held_out"))
     model = language.learn(docs.where("NOT held_out"))
@@ -67,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_bpe": op4_bpe,
     "op5_fingerprints": op5_fingerprints,
+    "op6_lm_scores": op6_lm_scores,
     "op8_language": op8_language,
     "op9_token_files": op9_token_files,
 }
