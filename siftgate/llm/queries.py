@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgate.llm import bpe, decontamination, language, lm_scoring, near_dedup, secrets, token_files, winnowing
+from siftgate.llm import bpe, decontamination, language, lm_scoring, near_dedup, quality, secrets, token_files, url_filter, winnowing
 from siftgate.llm.common import table
 
 TIKTOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -55,6 +55,11 @@ def op6_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", ~scored.learned).drop("learned")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), host=F.col("source"), path=F.col("lang"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", language.held_out("doc_id", 4, 2).alias("held_out"))
     model = language.learn(docs.where("NOT held_out"))
@@ -67,6 +72,20 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), description).drop("ids")
 
 
+#: The given rules.
+URL_RULES = [
+    url_filter.Rule("allow", "com", "/"),
+    url_filter.Rule("block", "example.com", "/en/"),
+    url_filter.Rule("allow", "www.example.com", "/en/"),
+    url_filter.Rule("block", "net", "/es/"),
+    url_filter.Rule("block", "net", "/fr/"),
+]
+
+
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
@@ -74,8 +93,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op5_fingerprints": op5_fingerprints,
     "op6_lm_scores": op6_lm_scores,
+    "op7_quality": op7_quality,
     "op8_language": op8_language,
     "op9_token_files": op9_token_files,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLE: dict[str, str] = {}

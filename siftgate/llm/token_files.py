@@ -15,13 +15,13 @@ repeated keys keep all their rows, ordered by text; an empty table gives no chun
 
 from __future__ import annotations
 
-import os
 import zlib
 from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -36,6 +36,11 @@ CHUNK_IDS = 1 << 20
 UNITS_KEPT = 500_000
 LEVEL = 3
 
+#: The published pre-tokenization pattern of byte-level vocabularies, and the letters that stand for bytes in them.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+LETTERS = {b: chr(b) for b in _PRINTABLE} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 
 def to_planes(ids: np.ndarray, bits: bool) -> list[bytes]:
     """The planes of one block of unsigned 32-bit ids."""
@@ -76,15 +81,19 @@ def unpack(index: list[list[int]], payload: bytes) -> np.ndarray:
 
 
 class Ids:
-    """Texts to ids by the tokenizers library; ids of recent stretches are kept as bytes."""
+    """Texts to ids by the tokenizers library's own model; ids of recent stretches and pieces are kept as bytes.
+
+    The library's full pipeline spends most of its time on alignments nobody reads. A byte-level
+    vocabulary without normalizer needs only its two steps: the pieces of the pattern, in the
+    printable letters that stand for bytes, each given to the model.
+    """
 
     built: tuple | None = None
 
     def __init__(self, description: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task per core
-        self.tokenizer = Tokenizer.from_str(description)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.recent = Recent(UNITS_KEPT)
+        self.model = Tokenizer.from_str(description).model
+        self.pieces = regex.compile(PIECES).findall
+        self.recent, self.known = Recent(UNITS_KEPT), Recent(UNITS_KEPT)
 
     @staticmethod
     def of(description: str) -> Ids:
@@ -92,24 +101,28 @@ class Ids:
             Ids.built = (description, Ids(description))
         return Ids.built[1]
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        cut = [units(t) if t else [] for t in texts]
-        found = [list(map(self.recent.get, stretch)) for stretch in cut]
-        lacking = [k for k, ids in enumerate(found) if None in ids]
-        if lacking:
-            fresh: dict[str, bytes | None] = {}
-            for k in lacking:
-                for u, ids in zip(cut[k], found[k]):
-                    if ids is None and u not in fresh:
-                        fresh[u] = self.recent.old.get(u)
-            names = [u for u, ids in fresh.items() if ids is None]
-            for u, e in zip(names, self.tokenizer.encode_batch_fast(names, add_special_tokens=False)):
-                fresh[u] = array("I", e.ids).tobytes()
-            for k in lacking:
-                found[k] = [fresh[u] if ids is None else ids for u, ids in zip(cut[k], found[k])]
-            for u, ids in fresh.items():
-                self.recent.put(u, ids)
-        return list(map(b"".join, found))
+    def unit(self, unit: str) -> bytes:
+        return b"".join(map(self.piece, self.pieces(unit)))
+
+    def piece(self, piece: str) -> bytes:
+        ids = self.known.get(piece)
+        if ids is None and (ids := self.known.find(piece)) is None:
+            found = self.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))
+            ids = self.known.put(piece, array("I", [t.id for t in found]).tobytes())
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        if not text:
+            return b""
+        stretch = units(text)
+        found = list(map(self.recent.get, stretch))
+        if None in found:
+            find, put, unit = self.recent.find, self.recent.put, self.unit
+            for k, ids in enumerate(found):
+                if ids is None:
+                    u = stretch[k]
+                    found[k] = find(u) or put(u, unit(u))
+        return b"".join(found)
 
 
 def write(docs: DataFrame, description: str, path: str, *, key: str = "doc_id", text: str = "text", end: int = 0, bits: bool = False, shards: int | None = None) -> None:
@@ -137,7 +150,7 @@ def write(docs: DataFrame, description: str, path: str, *, key: str = "doc_id",
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                for k, body in zip(part.column("key").to_pylist(), ids.encode(list(column_text(part, "text")))):
+                for k, body in zip(part.column("key").to_pylist(), map(ids.encode, column_text(part, "text"))):
                     keys.append(k)
                     bodies.append(body + tail)
                     size += len(body) // 4 + 1
