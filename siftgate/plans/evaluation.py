@@ -42,7 +42,7 @@ ROWS = ", ".join(
 ATTACKS = (
     f"attacks(k, name, category, description, pay, target, severity) AS (VALUES {ROWS}), "
     "attempt AS (SELECT d.doc_id, a.name, a.category, a.target, a.severity, "
-    "CASE WHEN d.doc_id % 3 = 0 THEN a.pay ELSE left(d.text, 200) || ' ' || a.pay END AS payload "
+    "d.text || ' ' || a.pay AS payload "
     f"FROM documents d JOIN attacks a ON d.doc_id % {N_ATTACKS} = a.k)"
 )
 
@@ -57,14 +57,13 @@ def attempts(spark, sf):
     docs = table(spark, sf, "documents").select(
         "doc_id", "text", F.pmod("doc_id", F.lit(N_ATTACKS)).cast("int").alias("k")
     )
-    head = F.concat(F.left("text", F.lit(200)), F.lit(" "), "pay")
     return docs.join(F.broadcast(attacks), "k").select(
         "doc_id",
         "name",
         "category",
         "target",
         "severity",
-        F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("pay")).otherwise(head).alias("payload"),
+        F.concat("text", F.lit(" "), "pay").alias("payload"),
     )
 
 

@@ -41,7 +41,7 @@ def _benign_lines(spark, sf):
             .otherwise(F.concat(F.lit("d"), d.cast("string")))
             .alias("id"),
             F.col("source").alias("category"),
-            F.left("text", F.lit(40)).alias("subject"),
+            F.concat_ws(" ", "source", "lang").alias("subject"),
             F.when(F.pmod(d, F.lit(50)) != 3, F.col("text")).alias("body"),
         )
     )
@@ -56,7 +56,7 @@ def _benign_lines(spark, sf):
 
 
 BENIGN = (
-    "WITH b AS (SELECT d.doc_id, d.doc_id % 50 AS k, source, text FROM documents d JOIN labels l "
+    "WITH b AS (SELECT d.doc_id, d.doc_id % 50 AS k, source, lang, text FROM documents d JOIN labels l "
     "USING (doc_id) WHERE l.toxic = 0) "
 )
 
@@ -77,7 +77,7 @@ def corpus_violations(spark, sf):
 
 @PLAN.add(
     "S3_load_corpus",
-    BENIGN + "SELECT 'd' || doc_id AS id, source AS category, md5('Subject: ' || left(text, 40) || "
+    BENIGN + "SELECT 'd' || doc_id AS id, source AS category, md5('Subject: ' || source || ' ' || lang || "
     "chr(10) || chr(10) || text) AS digest FROM b WHERE k > 4",
 )
 def load_corpus(spark, sf):
@@ -135,7 +135,7 @@ def probe_payloads(spark, sf):
 @PLAN.add(
     "S7_scan_report",
     "SELECT CASE WHEN doc_id % 4 = 1 THEN 'unknown' ELSE 'p.' || doc_id END AS probe, md5(text) AS "
-    "prompt, CASE WHEN doc_id % 5 = 1 THEN '' ELSE left(text, 30) END AS output, 'unknown' AS detector, "
+    "prompt, CASE WHEN doc_id % 5 = 1 THEN '' ELSE text END AS output, 'unknown' AS detector, "
     "doc_id % 3 = 0 AS passed, CAST(CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END AS DOUBLE) AS score FROM documents "
     "WHERE doc_id % 10 NOT IN (0, 1, 2)",
 )
@@ -148,7 +148,7 @@ def scan_report(spark, sf):
         F.when(F.pmod(d, F.lit(4)) != 1, F.concat(F.lit("p."), d.cast("string"))).alias("probe"),
         F.col("text").alias("prompt"),
         F.when(F.pmod(d, F.lit(5)) == 1, F.array().cast("array<string>"))
-        .otherwise(F.array(F.left("text", F.lit(30)), F.lit("second")))
+        .otherwise(F.array(F.col("text"), F.lit("second")))
         .alias("outputs"),
         F.when(F.pmod(d, F.lit(3)) == 0, True).alias("passed"),
         F.when(F.pmod(d, F.lit(3)) == 0, 1.0).alias("score"),
