@@ -20,7 +20,7 @@ SHAPES = ("aws", "bearer", "password", "url", "mongo")
 
 FORM_TYPE = (
     "array<struct<ord:int,source_name:string,token:string,folded:string,b64:string,hexed:string,"
-    "backwards:string,squeezed:string,spaced:string>>"
+    "backwards:string,squeezed:string,anchors:array<string>,short:boolean>>"
 )
 
 
@@ -52,7 +52,6 @@ def forms(ord: Column, source_name: Column, token: Column) -> Column:
         F.lower(F.hex(raw)).alias("hexed"),
         F.reverse(token).alias("backwards"),
         squeezed(token).alias("squeezed"),
-        spaced_pattern(token).alias("spaced"),
     )
 
 
@@ -70,7 +69,8 @@ def match_kind(
             # a spaced hit always survives squeezing both sides, so the costly per-token pattern
             # only runs where that cheap test already holds
             .when(
-                F.contains(tight, form["squeezed"]) & F.rlike(text, form["spaced"]), "spaced"
+                F.contains(tight, form["squeezed"]) & F.rlike(text, spaced_pattern(form["token"])),
+                "spaced",
             )
         )
     return kind

@@ -1,19 +1,19 @@
 """Canary registries and leak analytics.
 
-Matching is a broadcast-side job of checked size. A handful of tokens is folded into the plan as an
-array literal and matched inside the JVM, at a cost per token. From nine tokens on (where it was
-measured to be faster) a multi-pattern automaton in the Python workers finds all of them in one
-walk of the text. A registry too large for one worker is cut into slices of bounded bytes, and the
-corpus is read once per slice. Up to one slice, documents are not shuffled to be matched.
+A text is matched in two steps, both in the JVM. Every form of a token holds an *anchor*: the run of
+``GRAM`` characters, of its squeezed lower-case view, that is rarest among the registry's forms. The
+document's own runs are an array; those that are anchors name the few tokens worth a full look,
+which :func:`siftgate.functions.tokens.match_kind` then takes.
+
+A registry of at most ``PLAN_BYTES`` of forms travels in the plan and nothing is shuffled. A larger
+one stays a table: runs that pass a bit map of all anchors (fixed size) are joined with it, and the
+document, which was read once and rides with its first run, is put together again by a row number.
 """
 
 from __future__ import annotations
 
-import re
-import uuid
-from collections.abc import Iterator
+import json
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,8 +23,9 @@ from siftgate.functions.text import WS, let, require_string, strip
 from siftgate.operators.layout import settle
 from siftgate.options import OptionError
 
-INLINE_TOKENS = 8
-SLICE_BYTES = 2 * 1024 * 1024  # of needles; an automaton takes some fifty times that
+GRAM = 8
+PLAN_BYTES = 1024 * 1024
+MAP_BITS = 1 << 24  # at most; 64 bits per anchor below that
 HIT_TYPE = T.ArrayType(
     T.StructType(
         [
@@ -37,197 +38,157 @@ HIT_TYPE = T.ArrayType(
 )
 
 
-def _forms(registry: DataFrame) -> DataFrame:
+def _view(text: Column) -> Column:
+    """What every form of a token shares with every text that leaks it (the two small sigmas are one)."""
+    return F.translate(F.lower(K.squeezed(text)), "ς", "σ")
+
+
+def _grams(view: Column) -> Column:
+    return F.regexp_extract_all(view, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+
+
+def _forms(registry: DataFrame, encoding_resistant: bool) -> DataFrame:
+    """One row per token: its forms, an anchor for each that is long enough, and whether one is not."""
     ord = F.col("ord") if "ord" in registry.columns else F.lit(0)
-    return registry.where(F.length("token") > 0).select(
+    forms = registry.where(F.length("token") > 0).select(
         K.forms(ord, F.col("source_name"), F.col("token")).alias("f")
-    ).select("f.*")
+    )
+    names = ("token", "b64", "hexed", "backwards") if encoding_resistant else ("token",)
+    needles = F.array(*[F.col(f"f.{n}") for n in names])
+    runs = forms.select("f", F.posexplode(needles).alias("i", "needle")).select(
+        "f", "i", F.explode_outer(F.array_distinct(_grams(_view(F.col("needle"))))).alias("gram")
+    )
+    counts = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    best = runs.join(counts, "gram", "left").groupBy("f", "i").agg(
+        F.min(F.struct("n", "gram")).getField("gram").alias("anchor")
+    )
+    found = best.groupBy("f").agg(
+        F.collect_set("anchor").alias("anchors"),
+        (F.count(F.lit(1)) > F.count("anchor")).alias("short"),
+    )
+    return found.select("f.*", "anchors", "short")
 
 
-def _inline(rows: list, text: Column, encoding_resistant: bool) -> Column:
-    """Hits of a small registry, as one JVM expression over the text."""
-    rows = sorted(rows, key=lambda r: (r["ord"], r["source_name"]))
-    literal = F.array(
-        *[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in rows]
-    )
+def _matches(forms: Column, text: Column, encoding_resistant: bool) -> Column:
+    """Hits among ``forms``, in their order."""
 
-    def match(t: Column) -> Column:
-        def scan(low: Column, tight: Column) -> Column:
-            return F.filter(
-                F.transform(
-                    literal,
-                    lambda f: F.struct(
-                        f["ord"].alias("ord"),
-                        f["source_name"].alias("source_name"),
-                        f["token"].alias("token"),
-                        K.match_kind(f, t, low, tight, encoding_resistant).alias("kind"),
-                    ),
-                ),
-                lambda h: h["kind"].isNotNull(),
-            )
-
-        if not encoding_resistant:
-            return scan(t, t)
-        return let(F.lower(t), lambda low: let(K.squeezed(t), lambda tight: scan(low, tight)))
-
-    return F.when(text.isNotNull(), let(text, match))
-
-
-_BUILT: dict = {}
-
-
-def _machines(key: str, shared, encoding_resistant: bool):
-    """Automata of one slice; a reused Python worker keeps those of its latest slice."""
-    import ahocorasick
-
-    if key in _BUILT:
-        return _BUILT[key]
-    raw, low, tight = {}, {}, {}
-    for i, (_, _, token, folded, b64, hexed, back, squeezed, _) in enumerate(shared.value):
-        raw.setdefault(token, []).append((i, 0))
-        if encoding_resistant:
-            low.setdefault(folded, []).append((i, 1))
-            raw.setdefault(b64, []).append((i, 2))
-            low.setdefault(hexed, []).append((i, 3))
-            raw.setdefault(back, []).append((i, 4))
-            tight.setdefault(squeezed, []).append((i, 5))
-    machines = []
-    for needles in (raw, low, tight):
-        machine = ahocorasick.Automaton()
-        for needle, owners in needles.items():
-            if needle:
-                machine.add_word(needle, owners)
-        if len(machine):
-            machine.make_automaton()
-        machines.append(machine)
-    everywhere = tight.get("", [])  # a token made of separators squeezes to nothing
-    _BUILT.clear()
-    _BUILT[key] = machines, everywhere
-    return _BUILT[key]
-
-
-def _automaton_udf(spark, rows: list, encoding_resistant: bool):
-    """A pandas UDF ``STRING -> hits`` over one broadcast slice of the registry."""
-    shared = spark.sparkContext.broadcast([tuple(r) for r in rows])
-    key = uuid.uuid4().hex
-    drop_gaps = dict.fromkeys(map(ord, K.GAP_CHARACTERS))
-
-    def spaced(i: int, text: str) -> bool:
-        between = "[" + re.escape(K.GAP_CHARACTERS) + "]{0,3}"
-        return re.search(between.join(map(re.escape, shared.value[i][2])), text) is not None
-
-    def hits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        (raw, low, tight), everywhere = _machines(key, shared, encoding_resistant)
-        for batch in batches:
-            out = []
-            for text in batch:
-                if text is None:
-                    out.append(None)
-                    continue
-                best: dict[int, int] = {}
-                views = [(raw, text)]
-                if encoding_resistant:
-                    views += [(low, text.lower()), (tight, text.translate(drop_gaps))]
-                for machine, view in views:
-                    if not len(machine):
-                        continue
-                    for _, owners in machine.iter(view):
-                        for i, kind in owners:
-                            if kind < best.get(i, 9) and (kind < 5 or spaced(i, text)):
-                                best[i] = kind
-                for i, kind in everywhere:
-                    if kind < best.get(i, 9) and spaced(i, text):
-                        best[i] = kind
-                out.append(
-                    [
-                        {
-                            "ord": shared.value[i][0],
-                            "source_name": shared.value[i][1],
-                            "token": shared.value[i][2],
-                            "kind": K.KINDS[kind],
-                        }
-                        for i, kind in sorted(
-                            best.items(), key=lambda b: shared.value[b[0]][:2]
-                        )
-                    ]
-                )
-            yield pd.Series(out, dtype=object)
-
-    return F.pandas_udf(hits, HIT_TYPE)
-
-
-def _slices(forms: DataFrame) -> list[DataFrame]:
-    """Cut a registry into slices whose total form size is bounded."""
-    size = sum(
-        (F.octet_length(c) for c in ("token", "folded", "b64", "hexed", "backwards", "squeezed")),
-        F.lit(0),
-    )
-    total = forms.agg(F.sum(size).alias("b")).first()["b"] or 0
-    n = -(-total // SLICE_BYTES)
-    if n <= 1:
-        return [forms]
-    # source_name is the registry key, so its hash spreads even when one token text repeats
-    key = F.pmod(F.xxhash64("source_name", "ord"), F.lit(n * 2))
-    return [forms.where(key == k) for k in range(n * 2)]
+    def scan(low: Column, tight: Column) -> Column:
+        tried = F.transform(
+            forms,
+            lambda f: F.struct(
+                f["ord"].alias("ord"),
+                f["source_name"].alias("source_name"),
+                f["token"].alias("token"),
+                K.match_kind(f, text, low, tight, encoding_resistant).alias("kind"),
+            ),
+        )
+        return F.filter(tried, lambda h: h["kind"].isNotNull())
+
+    if not encoding_resistant:
+        return scan(text, text)
+    return let(F.lower(text), lambda low: let(K.squeezed(text), lambda tight: scan(low, tight)))
+
+
+def _literal(rows: list) -> Column:
+    """Collected forms as one constant, in registry order."""
+    rows = sorted((r.asDict() for r in rows), key=lambda r: (r["ord"], r["source_name"] or ""))
+    return F.from_json(F.lit(json.dumps(rows)), K.FORM_TYPE)
 
 
 def leak_hits(
-    docs: DataFrame, registry: DataFrame, text: str = "text", encoding_resistant: bool = True
+    docs: DataFrame,
+    registry: DataFrame,
+    text: str = "text",
+    encoding_resistant: bool = True,
+    plan_bytes: int = PLAN_BYTES,
 ) -> DataFrame:
     """Add ``hits``: ``ARRAY<STRUCT<ord, source_name, token, kind>>`` in registry order."""
     require_string(docs, text)
     require_string(registry, "token")
-    forms = _forms(registry)
-    few = forms.limit(INLINE_TOKENS + 1).collect()
-    if not few:
-        return docs.withColumn("hits", F.when(F.col(text).isNotNull(), F.array().cast(HIT_TYPE)))
-    if len(few) <= INLINE_TOKENS:
-        found = docs.withColumn("hits", _inline(few, F.col(text), encoding_resistant))
-        return settle(found, "hits")
-    spark = docs.sparkSession
-    slices = _slices(forms)
-    if len(slices) == 1:
-        udf = _automaton_udf(spark, slices[0].collect(), encoding_resistant)
-        return docs.withColumn("hits", udf(F.col(text)))
-    return _sliced_hits(docs, slices, text, encoding_resistant)
-
-
-def _sliced_hits(docs, slices, text, encoding_resistant) -> DataFrame:
-    """More registry than one worker should hold: one pass over the corpus per slice.
-
-    The row key is the text's own digest pair, so equal texts share one hit list.
-    """
-    key = [F.sha2(F.col(text), 256).alias("_key"), F.length(text).alias("_len")]
-    keyed = docs.withColumn("_key", key[0]).withColumn("_len", key[1])
-    parts = []
-    for piece in slices:
-        rows = piece.collect()
-        if rows:
-            udf = _automaton_udf(docs.sparkSession, rows, encoding_resistant)
-            parts.append(
-                keyed.where(F.col(text).isNotNull())
-                .select("_key", "_len", udf(F.col(text)).alias("h"))
-                .where(F.size("h") > 0)
-            )
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    # equal texts have equal hits: drop repeats before the shuffle collects them per text
-    merged = (
-        found.dropDuplicates(["_key", "_len", "h"])
-        .groupBy("_key", "_len")
-        .agg(F.array_sort(F.flatten(F.collect_list("h"))).alias("_h"))
-    )
-    out = keyed.join(merged, ["_key", "_len"], "left")
+    size = F.sum(F.length(F.col("token")) * 10).alias("b")  # six forms, of which some are longer
+    total = registry.agg(size).first()["b"] or 0
+    forms = _forms(registry, encoding_resistant)
+    if total > plan_bytes:
+        return _joined_hits(docs, forms, text, encoding_resistant)
+    rows = forms.collect()
     none = F.when(F.col(text).isNotNull(), F.array().cast(HIT_TYPE))
-    return out.withColumn("hits", F.coalesce("_h", none)).drop("_key", "_len", "_h")
+    if not rows:
+        return docs.withColumn("hits", none)
+    anchors = sorted({a for r in rows for a in r["anchors"]})
+    known = F.from_json(F.lit(json.dumps(anchors)), "array<string>")
+    out = settle(
+        docs.withColumn("_anchors", F.array_intersect(_grams(_view(F.col(text))), known)), "_anchors"
+    )
+    near = F.filter(_literal(rows), lambda f: f["short"] | F.arrays_overlap(f["anchors"], F.col("_anchors")))
+    worth = F.lit(any(r["short"] for r in rows)) | (F.size("_anchors") > 0)
+    found = F.when(F.col(text).isNotNull() & worth, _matches(near, F.col(text), encoding_resistant))
+    return settle(out.withColumn("hits", F.coalesce(found, none)), "hits").drop("_anchors")
+
+
+def _bit_map(forms: DataFrame) -> tuple[Column, int]:
+    """A constant bit map of all anchors' hashes, and its number of bits (a power of two)."""
+    anchors = forms.select(F.explode("anchors").alias("a")).distinct()
+    bits = 1 << 16
+    while bits < min(MAP_BITS, 64 * anchors.count()):
+        bits *= 2
+    words = (
+        anchors.select(F.explode(_places(F.col("a"), bits)).alias("p"))
+        .groupBy(F.shiftright("p", 6).alias("w"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("v"))
+        .collect()
+    )
+    values = dict(words)
+    text = ",".join(str(values.get(w, 0)) for w in range(bits // 64))
+    return F.split(F.lit(text), ",").cast("array<bigint>"), bits
+
+
+def _places(gram: Column, bits: int) -> Column:
+    h = F.xxhash64(gram)
+    return F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))
+
+
+def _joined_hits(docs, forms, text, encoding_resistant) -> DataFrame:
+    """Hits of a registry too large for the plan: one scan of the documents, one join on anchors."""
+    forms = forms.withColumn("f", F.struct(*[c.split(":")[0] for c in _form_fields()]))
+    table, bits = _bit_map(forms)
+    short = forms.where("short").select("f").collect()  # tokens of under GRAM characters
+
+    def marked(gram: Column) -> Column:
+        def on(p: Column) -> Column:
+            return F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1
+
+        return F.forall(_places(gram, bits), on)
+
+    held = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn(
+        "_anchors", F.array_distinct(F.filter(_grams(_view(F.col(text))), marked))
+    )
+    whole = F.struct(*[F.col(c) for c in docs.columns])
+    runs = settle(held, "_anchors").select("_row", whole.alias("_doc"), F.posexplode_outer("_anchors").alias("_i", "_gram"))
+    runs = runs.withColumn("_doc", F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_doc")))
+    anchored = forms.select(F.explode("anchors").alias("_gram"), "f")
+    met = runs.join(anchored, "_gram", "left").groupBy("_row").agg(
+        F.first("_doc", ignorenulls=True).alias("_doc"), F.collect_set("f").alias("_near")
+    )
+    near = F.col("_near")
+    if short:
+        near = F.array_union(near, F.transform(_literal([r["f"] for r in short]), lambda f: F.struct(*[f[c.split(":")[0]].alias(c.split(":")[0]) for c in _form_fields()])))
+    ordered = F.array_sort(near)
+    own = F.col(f"_doc.{text}")
+    found = F.when(own.isNotNull(), _matches(ordered, own, encoding_resistant))
+    return settle(met.withColumn("hits", found), "hits").select("_doc.*", "hits")
+
+
+def _form_fields() -> list[str]:
+    """``name:type`` of each form field."""
+    inner = K.FORM_TYPE.removeprefix("array<struct<").removesuffix(">>")
+    return inner.split(",")
 
 
 def leak_check(
-    docs: DataFrame, registry: DataFrame, text: str = "text", encoding_resistant: bool = True
+    docs: DataFrame, registry: DataFrame, text: str = "text", encoding_resistant: bool = True, plan_bytes: int = PLAN_BYTES
 ) -> DataFrame:
     """Add ``leaked, found_tokens, sources, kinds``: one entry per leaked token, registry order."""
-    out = leak_hits(docs, registry, text, encoding_resistant)
+    out = leak_hits(docs, registry, text, encoding_resistant, plan_bytes)
     return (
         out.withColumn("leaked", F.size("hits") > 0)
         .withColumn("found_tokens", F.transform("hits", lambda h: h["token"]))

@@ -36,14 +36,12 @@ def sample():
     ] + [None, ""]
 
 
-@pytest.mark.parametrize("inline, slice_bytes", [(64, 2**21), (2, 2**21), (2, 150)])
-def test_every_path_matches_brute_force(spark, texts, sample, monkeypatch, inline, slice_bytes):
-    monkeypatch.setattr(leaks, "INLINE_TOKENS", inline)
-    monkeypatch.setattr(leaks, "SLICE_BYTES", slice_bytes)
+@pytest.mark.parametrize("plan_bytes", [leaks.PLAN_BYTES, 0])
+def test_every_path_matches_brute_force(spark, texts, sample, plan_bytes):
     registry = spark.createDataFrame(
         [(i, f"s{i}", t) for i, t in enumerate(TOKENS)], "ord int, source_name string, token string"
     )
-    rows = leaks.leak_check(texts(sample), registry).orderBy("doc_id").collect()
+    rows = leaks.leak_check(texts(sample), registry, plan_bytes=plan_bytes).orderBy("doc_id").collect()
     for text, row in zip(sample, rows, strict=True):
         if text is None:
             assert row["leaked"] is None
