@@ -7,8 +7,9 @@
    smallest class whose sketch is nearest by the bit count of the exclusive or; candidates are
    confirmed on the full sets, which joins groups of near copies without looking at all their pairs.
 3. Where a bucket still holds several components, their members are compared across components, in
-   blocks and by sketch, and what the sketches leave is confirmed on the full sets. So every pair
-   of a bucket is either inside one component or was decided.
+   blocks and by sketch, and what the sketches leave is confirmed on the full sets, block by block.
+   So every pair of a bucket is either inside one component or was decided, and what travels are
+   members and joining links, never the pairs of a group.
 
 A pair with similarity 0.75 shares no bucket once in 200,000 cases; a sketch refuses such a pair
 once in some millions (the limit lies five standard deviations below). Both chances fall steeply
@@ -221,52 +222,116 @@ def _confirmed(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, key: str, te
     return written(mapped(ordered, run, "a long, b long"), "confirmed")
 
 
+class _Group:
+    """Members of one bucket's block, or pair of blocks, that may be similar across components."""
+
+    def __init__(self, rows: list[dict]):
+        self.node, self.component, self.n, self.block = (np.array([r[c] for r in rows], np.int64) for c in ("node", "component", "n", "block"))
+        self.sketch = np.array([r["sketch"] for r in rows], np.int64)
+        self.earlier = np.array([r["bands"][: r["place"]] for r in rows], np.int64).reshape(len(rows), -1)
+        self.crossing = rows[0]["i"] != rows[0]["j"]
+
+    def partners(self, at: int) -> np.ndarray:
+        """Later members that no test rules out and that share no earlier band (which has decided the pair)."""
+        rest = slice(at + 1, None)
+        ok = self.component[rest] != self.component[at]
+        if self.crossing:
+            ok &= self.block[rest] != self.block[at]
+        ok &= np.minimum(self.n[rest], self.n[at]) * 100 >= np.maximum(self.n[rest], self.n[at]) * PERCENT
+        left = np.flatnonzero(ok) + at + 1
+        left = left[np.bitwise_count(self.sketch[left] ^ self.sketch[at]).sum(axis=1) <= bits_apart(REFUSED)]
+        return left[~(self.earlier[left] == self.earlier[at]).any(axis=1)]
+
+
+def _grouped(batches, key: tuple[str, ...]):
+    """Runs of equal ``key`` in sorted rows, as lists of dicts."""
+    group: list[dict] = []
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            for row in batch.slice(at, 256).to_pylist():
+                if group and any(row[c] != group[0][c] for c in key):
+                    yield group
+                    group = []
+                group.append(row)
+    if group:
+        yield group
+
+
+_MEMBER = "band long, i int, j int, block int, place int, node long, component long, n long, sketch array<long>, bands array<long>"
+
+
 def _across(rows: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of a bucket's members in different components that the sketches do not refuse."""
+    """The members, by bucket and block pair, that the sketches leave similar to one of another component.
+
+    At most every member comes out, never their pairs.
+    """
     counts = rows.groupBy("band").agg(F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = counts.where("low < high").select("band", F.ceil(F.col("members") / BLOCK).alias("blocks"))
     block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = rows.join(mixed, "band").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "sketch")
-    most = bits_apart(REFUSED)
-
-    def compare(group: list) -> tuple[np.ndarray, np.ndarray]:
-        node, component, n = (np.array([r[k] for r in group], np.int64) for k in (4, 5, 6))
-        sketch = np.array([r[7] for r in group], np.int64)
-        block = np.array([r[3] for r in group])
-        first, second = [], []
-        for at in range(len(group) - 1):
-            rest = slice(at + 1, None)
-            ok = component[rest] != component[at]
-            if group[0][1] != group[0][2]:
-                ok &= block[rest] != block[at]
-            low, high = np.minimum(n[rest], n[at]), np.maximum(n[rest], n[at])
-            ok &= low * 100 >= high * PERCENT
-            ok &= np.bitwise_count(sketch[rest] ^ sketch[at]).sum(axis=1) <= most
-            hits = np.flatnonzero(ok) + at + 1
-            first.append(np.full(len(hits), node[at]))
-            second.append(node[hits])
-        a, b = np.concatenate(first), np.concatenate(second)
-        return np.minimum(a, b), np.maximum(a, b)
+    dealt = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    names = [c.split()[0] for c in _MEMBER.split(", ")]
 
     def run(batches):
-        group: list = []
-        for batch in batches:
-            pairs = []
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if group and row[:3] != group[0][:3]:
-                    if len(group) > 1:
-                        pairs.append(compare(group))
-                    group = []
-                group.append(row)
-            for a, b in pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-        if len(group) > 1:
-            a, b = compare(group)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        for rows in _grouped(batches, ("band", "i", "j")):
+            if len(rows) < 2:
+                continue
+            group, left = _Group(rows), np.zeros(len(rows), bool)
+            for at in range(len(rows) - 1):
+                partners = group.partners(at)
+                left[partners] = True
+                left[at] |= len(partners) > 0
+            if left.any():
+                yield pa.RecordBatch.from_pylist([r for r, k in zip(rows, left) if k], schema=schema)
+
+    schema = pa.schema([(c, pa.list_(pa.int64()) if t.startswith("array") else pa.int64() if t == "long" else pa.int32()) for c, t in (x.split(" ", 1) for x in _MEMBER.split(", "))])
+    ordered = dealt.select(*names).repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return mapped(ordered, run, _MEMBER)
+
+
+def _decided(docs: DataFrame, nodes: DataFrame, members: DataFrame, key: str, text: str) -> DataFrame:
+    """Links ``(a, b)`` between components, confirmed on the full sets of each group's members, written.
 
-    ordered = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
-    return mapped(ordered, run, "a long, b long").distinct()
+    A link is given only where it joins two components that the group has not joined yet.
+    """
+    want = members.join(nodes.select("node", "doc_id", "text_hash"), "node")
+    texts = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("hash"), F.col(text).alias("text"))
+    met = texts.join(want, texts.id.eqNullSafe(want.doc_id) & (texts.hash == want.text_hash)).drop("id", "hash", "doc_id", "text_hash")
+
+    def run(batches):
+        for rows in _grouped(batches, ("band", "i", "j")):
+            rows = list({r["node"]: r for r in rows}.values())
+            group, sets = _Group(rows), [shingles(r["text"].encode()) for r in rows]
+            hashes, where = np.unique(np.concatenate(sets), return_inverse=True)
+            ends = np.cumsum([len(x) for x in sets])
+            own = [where[e - len(x) : e] for e, x in zip(ends, sets)]
+            above: dict[int, int] = {}
+
+            def top(c: int, above=above) -> int:
+                while c in above:
+                    c = above[c]
+                return c
+
+            out, held = [], np.zeros(len(hashes), bool)
+            for at in range(len(rows) - 1):
+                mine = top(int(group.component[at]))
+                partners = [k for k in group.partners(at).tolist() if top(int(group.component[k])) != mine]
+                if not partners:
+                    continue
+                held[own[at]] = True
+                sizes = np.array([len(own[k]) for k in partners])
+                both = np.add.reduceat(held[np.concatenate([own[k] for k in partners])].astype(np.int64), np.cumsum(sizes) - sizes)
+                held[own[at]] = False
+                for k in np.flatnonzero(100 * both >= PERCENT * (len(own[at]) + sizes - both)).tolist():
+                    mine, other = top(int(group.component[at])), top(int(group.component[partners[k]]))
+                    if mine != other:
+                        above[other] = mine
+                        out.append((int(group.node[at]), int(group.node[partners[k]])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+    ordered = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return written(mapped(ordered, run, "a long, b long"), "decided")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -310,11 +375,11 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
 
     first = components(links)
     known = shared.select("band", "node").union(shared.select("band", F.col("hub").alias("node")).distinct())
-    rows = known.join(first, "node", "left").withColumn("component", F.coalesce("root", "node")).join(light, "node").select("band", "node", "component", "n", "sketch")
-    open_pairs = written(_across(rows).join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "open")
-    if not open_pairs.isEmpty():
-        links = links.union(_confirmed(docs, nodes, open_pairs, key, text))
-        first = components(links)
+    rows = known.join(first, "node", "left").withColumn("component", F.coalesce("root", "node")).drop("root")
+    rows = rows.join(nodes.select("node", "n", "sketch", "bands"), "node").withColumn("place", (F.array_position("bands", F.col("band")) - 1).cast("int"))
+    members = written(_across(rows), "across")
+    if not members.isEmpty():
+        first = components(links.union(_decided(docs, nodes, members, key, text)))
     rooted = classes.join(first, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return signed.select("row_id", "doc_id", "text_hash", "n", "digest").join(rooted, "digest", "left").drop("digest")
 
