@@ -118,15 +118,19 @@ class ModelDetector(Detector):
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             model = load()
             for batch in batches:
-                texts = batch.flatten().to_pylist()
-                scored: list[dict] = []
-                for at in range(0, len(texts), WINDOWS_PER_CALL):
-                    for label, score in model(texts[at : at + WINDOWS_PER_CALL]):
-                        scored.append({"label": label, "score": float(score)})
+                windows, labels, scores = batch.flatten(), [], []
+                for at in range(0, len(windows), WINDOWS_PER_CALL):
+                    asked = windows.slice(at, WINDOWS_PER_CALL).to_pylist()
+                    told = list(model(asked))
+                    if len(told) != len(asked):
+                        raise ValueError(f"the model gave {len(told)} scores for {len(asked)} windows")
+                    labels += [label for label, _ in told]
+                    scores += [float(score) for _, score in told]
                 out, at = [], 0
                 for size in batch.value_lengths().to_pylist():
-                    out.append(None if size is None else scored[at : at + size])
-                    at += size or 0
+                    row = slice(at, at + (size or 0))
+                    out.append(None if size is None else [{"label": x, "score": y} for x, y in zip(labels[row], scores[row])])
+                    at = row.stop
                 yield pa.array(out, type=arrow_type)
 
         run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -51,6 +51,31 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))
 
 
+def valid_json(text: Column) -> Column:
+    """Whether ``text`` is JSON; false for null. An object may repeat a key, which the strict reader refuses."""
+    keys = F.json_object_keys(text)
+    repeated = (F.size(F.array_distinct(keys)) < F.size(keys)) & F.endswith(strip(text), F.lit("}"))
+    return F.coalesce(F.try_parse_json(text).isNotNull() | repeated, F.lit(False))
+
+
+def json_field(text: Column, name: str) -> Column:
+    """A field of a JSON object as a string; of a repeated key the last."""
+    return F.from_json(text, f"`{name}` string")[name]
+
+
+def json_truthy(text: Column, name: str) -> Column:
+    """Whether a field is true, a number but 0, or a string, list or object that is not empty."""
+    typed = {t: F.from_json(text, f"`{name}` {t}")[name] for t in ("boolean", "double", "array<string>", "map<string,string>")}
+    return F.coalesce(
+        typed["boolean"],
+        typed["double"] != 0,
+        F.size(typed["array<string>"]) > 0,
+        F.size(typed["map<string,string>"]) > 0,
+        json_field(text, name) != "",
+        F.lit(False),
+    )
+
+
 def rare(chars: str) -> str:
     """Class for ``chars``, none of which is printable ASCII or a Latin letter.
 

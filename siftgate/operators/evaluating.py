@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from siftgate.functions import cleaning
 from siftgate.functions.detecting import Detector
-from siftgate.functions.text import WS, fixed, require_string, strip
+from siftgate.functions.text import WS, fixed, json_field, json_truthy, require_string, strip, valid_json
 from siftgate.operators import detecting as chain
 from siftgate.operators.layout import settle
 from siftgate.operators.leaks import leak_hits
@@ -173,16 +173,13 @@ def parse_response(df: DataFrame, raw: str = "llm_response") -> DataFrame:
         F.when(F.rlike(raw, F.lit(fence)), F.regexp_extract(raw, fence, 1)).otherwise(F.col(raw))
     )
     out = df.withColumn("_b", body)
-    good = F.try_parse_json("_b").isNotNull() & F.startswith("_b", F.lit("{"))
+    good = valid_json(F.col("_b")) & F.startswith("_b", F.lit("{"))
     out = out.withColumn("valid_json", F.coalesce(good, F.lit(False)))
-    flag = F.get_json_object("_b", "$.suspicious")
-    truthy = flag.isNotNull() & ~flag.isin("false", "0", "", "0.0", "[]", "{}", "null")
     return (
         out.withColumn(
-            "classification",
-            F.when(F.col("valid_json"), F.get_json_object("_b", "$.classification")),
+            "classification", F.when(F.col("valid_json"), json_field(F.col("_b"), "classification"))
         )
-        .withColumn("suspicious", F.col("valid_json") & truthy)
+        .withColumn("suspicious", F.col("valid_json") & json_truthy(F.col("_b"), "suspicious"))
         .drop("_b")
     )
 
@@ -424,7 +421,7 @@ def scanner_events(results: DataFrame, as_of: Column) -> DataFrame:
 def classify_responses(log: DataFrame) -> DataFrame:
     """Add ``outcome`` (blocked / pass / error), ``layer`` and ``note`` to a response log with
     ``status, body, error``."""
-    parsed = F.try_parse_json("body").isNotNull()
+    parsed = valid_json(F.col("body"))
     failed = F.coalesce(F.col("error"), F.lit("")) != ""
     outcome = (
         F.when(failed, "error")
@@ -439,7 +436,7 @@ def classify_responses(log: DataFrame) -> DataFrame:
             F.left(
                 F.when(
                     F.coalesce(parsed, F.lit(False)),
-                    F.coalesce(F.get_json_object("body", "$.block_reason"), F.lit("")),
+                    F.coalesce(json_field(F.col("body"), "block_reason"), F.lit("")),
                 ).otherwise(F.col("body")),
                 F.lit(200),
             ),
@@ -456,7 +453,7 @@ def classify_responses(log: DataFrame) -> DataFrame:
     )
     layer = F.when(
         ~failed & (F.col("status") == 422) & F.coalesce(parsed, F.lit(False)),
-        F.get_json_object("body", "$.blocked_at"),
+        json_field(F.col("body"), "blocked_at"),
     )
     return log.withColumn("outcome", outcome).withColumn("layer", layer).withColumn("note", note)
 
@@ -469,9 +466,12 @@ def _outcome_counts() -> list[Column]:
     ]
 
 
-def false_positive_rates(outcomes: DataFrame) -> DataFrame:
-    """Per configuration: blocked over scored (errors are no signal and leave the rate)."""
-    out = outcomes.groupBy("config_slug").agg(*_outcome_counts())
+def false_positive_rates(outcomes: DataFrame, *also: Column) -> DataFrame:
+    """Per configuration: blocked over scored (errors are no signal and leave the rate).
+
+    ``also`` are further aggregates of the same pass, for instance the time spent.
+    """
+    out = outcomes.groupBy("config_slug").agg(*_outcome_counts(), *also)
     scored = F.col("total") - F.col("errors")
     return out.withColumn("scored", scored).withColumn(
         "false_positive_rate", _rate(F.col("blocked"), scored)
@@ -489,16 +489,17 @@ def blocked_items(outcomes: DataFrame) -> DataFrame:
 
 
 def errored_ids(outcomes: DataFrame, keep: int = ERRORED_IDS) -> DataFrame:
-    """The first ``keep`` errored ids per configuration, as the report shows them.
+    """The first ``keep`` errored ids per configuration, in corpus order (column ``ord``).
 
     The rank limit is applied in every task before the shuffle, so no group is gathered whole.
     """
-    rank = F.row_number().over(Window.partitionBy("config_slug").orderBy("id"))
+    rank = F.row_number().over(Window.partitionBy("config_slug").orderBy("ord"))
     first = outcomes.where(F.col("outcome") == "error").withColumn("_n", rank)
+    kept = F.array_sort(F.collect_list(F.struct("_n", "id")))
     return (
         first.where(F.col("_n") <= keep)
         .groupBy("config_slug")
-        .agg(F.array_sort(F.collect_list("id")).alias("errored_ids"))
+        .agg(F.transform(kept, lambda x: x["id"]).alias("errored_ids"))
     )
 
 

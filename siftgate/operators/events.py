@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from siftgate.functions.text import WHITESPACE
 from siftgate.options import OptionError
+from siftgate.sources.storage import delete_folder, drop_scratch, scratch
 
 LAYERS = ("sanitizer", "boundary", "detection", "canary")
 US = 1_000_000
@@ -168,6 +169,31 @@ def prune_counts(log: DataFrame, as_of: datetime, days: int = 30, ts: str = "ts"
     return log.agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("deleted"))
 
 
+def prune_stored(spark, path: str, as_of: datetime, days: int = 30, ts: str = "ts") -> int:
+    """Delete what is older than ``days`` from a log in UTC date folders; returns how many events went.
+
+    Whole folders are dropped; only the folder that holds the cutoff is rewritten, by way of a
+    scratch copy, so that nothing reads what it overwrites.
+    """
+    log = spark.read.parquet(path)
+    cutoff = as_of - timedelta(days=days)
+    keep, edge = F.col(ts) >= at(log, ts, cutoff), F.lit(cutoff.date())
+    old = log.where(F.col("date") <= edge)
+    gone = old.groupBy("date").agg(F.count_if(~keep).alias("n"), F.count_if(keep).alias("left")).collect()
+    for row in gone:
+        folder = f"{path}/date={row['date']}"
+        if row["n"] and row["left"]:
+            kept, copy = log.where((F.col("date") == row["date"]) & keep), scratch(spark, "pruned")
+            kept.write.parquet(copy)
+            spark.read.schema(log.schema).parquet(copy).write.mode("overwrite").option(
+                "partitionOverwriteMode", "dynamic"
+            ).partitionBy("date").parquet(path)
+            drop_scratch(spark, copy)
+        elif row["n"]:
+            delete_folder(spark, folder)
+    return sum(row["n"] for row in gone)
+
+
 def decode_metadata(log: DataFrame, schema: str, metadata: str = "metadata") -> DataFrame:
     """Replace the metadata text by a typed struct; empty text reads as an empty object."""
     body = F.coalesce(F.nullif(metadata, F.lit("")), F.lit("{}"))

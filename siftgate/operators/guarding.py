@@ -51,3 +51,27 @@ def guard(
 def guard_counts(guarded: DataFrame, *by: str) -> DataFrame:
     """Verdict counts per reason and any further columns."""
     return guarded.groupBy("reason", *by).agg(F.count(F.lit(1)).alias("n"))
+
+
+def guard_events(guarded: DataFrame, options: GuardOptions = GuardOptions(), checks: int = 0, id: str = "doc_id") -> DataFrame:
+    """One passed / blocked event of the guard per row: what blocked it, or how many patterns and checks it passed.
+
+    Rows that only a leaked token made unsafe passed the guard; their leak is the canary's event.
+    """
+    pattern = F.regexp_extract("reason", r"(?s)^Suspicious pattern in text: (.*)$", 1)
+    size = F.regexp_extract("reason", r"^Text exceeds maximum length \((.*)\)$", 1)
+    flagged = F.col("check") == "injection"
+    passed = F.lit(f"All {len(options.patterns)} patterns + {checks} custom checks passed")
+    detail = (
+        F.when(~F.coalesce(flagged, F.lit(False)), passed)
+        .when(size != "", F.concat(F.lit("Exceeds max length: "), size))
+        .when(pattern != "", F.concat(F.lit("Pattern match: "), pattern))
+        .otherwise(F.col("reason"))
+    )
+    return guarded.where(F.col("safe").isNotNull()).select(
+        F.col(id),
+        F.lit("analysis_guard").alias("layer"),
+        F.when(flagged, "blocked").otherwise("passed").alias("verdict"),
+        detail.alias("detail"),
+        F.when(flagged & (pattern != ""), F.to_json(F.struct(pattern.alias("pattern")))).alias("metadata"),
+    )

@@ -17,7 +17,7 @@ from siftgate.functions.text import require_string
 from siftgate.functions.wrapping import wrapped
 from siftgate.options import BoundaryOptions, OptionError, SanitizeOptions
 
-RESULT = "index long, output string, parsed string, error string, suspicious boolean"
+RESULT = "index long, label string, output string, parsed string, error string, suspicious boolean"
 
 
 def prompt(template: str, item: Column) -> Column:
@@ -40,25 +40,32 @@ def isolated_map(
     text: str = "item",
     sanitize: SanitizeOptions | None = SanitizeOptions(),
     boundary: BoundaryOptions | None = BoundaryOptions(),
-    source: str = "external",
+    source: str | Column = "external",
     template: str = "{tagged_item}",
     parser: Callable[[str], object] | None = None,
     timeout: float = 30.0,
     concurrency: int = 5,
+    label: Column | None = None,
 ) -> DataFrame:
-    """Run ``map_fn`` on every item alone; ``(index, output, parsed, error, suspicious)``.
+    """Run ``map_fn`` on every item alone; ``(index, label, output, parsed, error, suspicious)``.
 
     Sanitizing and wrapping stay in the JVM. In each task up to ``concurrency`` calls run at once;
-    one that raises or outlives ``timeout`` costs its own row only. Results are range-sorted by
-    ``index`` across the cluster, never gathered.
+    one that raises or outlives ``timeout`` costs its own row only. ``source`` and ``label`` may
+    differ per row. Rows come as their tasks end and carry ``index``; they are not sorted here, as
+    a sort behind the calls would run them once more to sample the order.
     """
     require_string(df, text)
     item = F.col(text)
     if sanitize is not None:
         item = cleaning.cleaned(item, sanitize)
     if boundary is not None:
-        item = wrapped(item, F.lit(source), None, boundary)
-    prompts = df.select(F.col(index).cast("long").alias("index"), prompt(template, item).alias("p"))
+        item = wrapped(item, F.lit(source) if isinstance(source, str) else source, None, boundary)
+    name = F.lit(None) if label is None else label
+    prompts = df.select(
+        F.col(index).cast("long").alias("index"),
+        name.cast("string").alias("label"),
+        prompt(template, item).alias("p"),
+    )
 
     def call(p: str, slot: dict) -> None:
         try:
@@ -92,14 +99,14 @@ def isolated_map(
                     worker = threading.Thread(target=call, args=(p, slot), daemon=True)
                     worker.start()
                     started.append((worker, slot, time.monotonic() + timeout))
-                for i, (worker, slot, deadline) in zip(group["index"], started, strict=True):
+                for i, name, (worker, slot, deadline) in zip(group["index"], group["label"], started, strict=True):
                     worker.join(max(0.0, deadline - time.monotonic()))
-                    rows.append((i, *settle(dict(slot))))
+                    rows.append((i, name, *settle(dict(slot))))
             yield pd.DataFrame(
-                rows, columns=["index", "output", "parsed", "error", "suspicious"]
+                rows, columns=["index", "label", "output", "parsed", "error", "suspicious"]
             )
 
-    return prompts.mapInPandas(run, RESULT).orderBy("index")
+    return prompts.mapInPandas(run, RESULT)
 
 
 def isolated_summary(results: DataFrame) -> DataFrame:
@@ -108,3 +115,17 @@ def isolated_summary(results: DataFrame) -> DataFrame:
         F.count_if(F.col("error").isNotNull()).alias("failed"),
         F.count_if("suspicious").alias("suspicious"),
     )
+
+
+def isolated_event(results: DataFrame) -> DataFrame:
+    """The isolator's one event for a run: how many items were processed, failed and suspicious."""
+    told = isolated_summary(results)
+    total = F.col("processed") + F.col("failed")
+    counts = ("processed", "failed", "suspicious")
+    parts = [p for c in counts for p in (F.col(c).cast("string"), F.lit(f" {c}, "))]
+    return told.select(
+        F.lit("isolator").alias("layer"),
+        F.lit("passed").alias("verdict"),
+        F.rtrim(F.concat(*parts), F.lit(", ")).alias("detail"),
+        F.to_json(F.struct(total.alias("total"), "suspicious")).alias("metadata"),
+    )

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftgate.functions.text import fixed, strip
+from siftgate.functions.text import fixed, strip, valid_json
 from siftgate.options import JudgeOptions, OptionError
 
 NONCE_TRIES = 8
@@ -57,7 +57,7 @@ def parse_replies(replies: DataFrame, raw: str = "raw") -> DataFrame:
     out = out.withColumn(
         "_j",
         F.when(
-            F.try_parse_json("_o").isNotNull(),
+            valid_json(F.col("_o")),
             F.from_json("_o", "verdict string, confidence string, reason string"),
         ),
     )

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPLIT_BYTES = 64 * 1024 * 1024
-
 
 def settle(df: DataFrame, *columns: str) -> DataFrame:
     """Compute ``columns`` here, once per row.
@@ -18,14 +16,3 @@ def settle(df: DataFrame, *columns: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c not in columns]
     return df.select(*rest, F.inline(F.array(F.struct(*columns)))).select(*df.columns)
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows over the cores when the input is too small to have given each core a split.
-
-    Meant for compute-heavy work on a few small files. Anything with a fair split per core, which
-    at scale is everything, passes through untouched and is not shuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores, *keys) if size < cores * SPLIT_BYTES else df

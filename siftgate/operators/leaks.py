@@ -198,6 +198,20 @@ def leak_check(
     )
 
 
+def leak_events(checked: DataFrame, tokens: int, encoding_resistant: bool = True, id: str = "doc_id") -> DataFrame:
+    """One passed / blocked event of the canary per checked row; ``tokens`` is the registry's size."""
+    told = F.struct("sources", F.lit(encoding_resistant).alias("encoding_resistant"))
+    return checked.where(F.col("leaked").isNotNull()).select(
+        F.col(id),
+        F.lit("canary").alias("layer"),
+        F.when(F.col("leaked"), "blocked").otherwise("passed").alias("verdict"),
+        F.when(F.col("leaked"), F.concat(F.lit("Canary leaked from: "), F.array_join("sources", ", ")))
+        .otherwise(F.lit(f"Clean: 0/{tokens} tokens found"))
+        .alias("detail"),
+        F.when(F.col("leaked"), F.to_json(told)).alias("metadata"),
+    )
+
+
 def hit_rows(hits: DataFrame, id: str = "doc_id") -> DataFrame:
     """One row per hit: ``(id, ord, source_name, token, kind)``.
 

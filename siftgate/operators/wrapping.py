@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from siftgate.functions import cleaning, guarding
 from siftgate.functions.text import require_string
-from siftgate.functions.wrapping import wrapped
+from siftgate.functions.wrapping import identifier, tag_name, wrapped
 from siftgate.operators.sanitizing import with_cleaned
 from siftgate.options import BoundaryOptions, GuardOptions, OptionError, SanitizeOptions
 
@@ -50,6 +50,19 @@ def clean(
     return wrap(staged, "_cleaned", source, label, boundary, out=out).drop("_cleaned")
 
 
+def wrap_events(
+    df: DataFrame,
+    source: str | Column = "external",
+    label: Column | None = None,
+    options: BoundaryOptions = BoundaryOptions(),
+    id: str = "doc_id",
+) -> DataFrame:
+    """One passed event of the trust boundary per wrapped row."""
+    src = F.lit(source) if isinstance(source, str) else source
+    detail = F.concat(F.lit("Wrapped in <"), tag_name(options.prefix, src, label), F.lit("> (source="), identifier(src), F.lit(")"))
+    return df.select(F.col(id), F.lit("trust_boundary").alias("layer"), F.lit("passed").alias("verdict"), detail.alias("detail"))
+
+
 def _protected(text: Column, source: Column, sanitize: SanitizeOptions, o: BoundaryOptions):
     return wrapped(cleaning.cleaned(text, sanitize), source, None, o)
 

@@ -14,10 +14,11 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftgate.functions import cleaning as C
+from siftgate.functions import decoding as D
 from siftgate.functions import detecting as X
 from siftgate.functions.text import WS
 from siftgate.options import DEFAULT_INSTRUCTION
-from siftgate.operators.layout import spread
 
 AS_OF = datetime(2024, 1, 30, 12, 0, 0)
 AS_OF_US = (AS_OF - datetime(1970, 1, 1)).days * 86_400_000_000 + AS_OF.hour * 3_600_000_000
@@ -97,8 +98,7 @@ def payload(id: Column, plants=PLANTS) -> Column:
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
-    return docs if docs.isStreaming else spread(docs, "doc_id")
+    return table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
 
 
 def planted(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +130,6 @@ HEADS = (
 
 # --- sanitizing in SQL --------------------------------------------------------------------------
 
-C = __import__("siftgate.functions.cleaning", fromlist=["x"])
 
 
 def _re2(pattern: str) -> str:
@@ -181,7 +180,6 @@ BODYLESS = "regexp_replace(source, '[^a-zA-Z0-9_\\-]', '', 'g')"  # a source as
 
 # --- decode-and-rescan in SQL -------------------------------------------------------------------
 
-D = __import__("siftgate.functions.decoding", fromlist=["x"])
 SPAN = text_literal(D.SPAN)
 ROT = f"translate({{x}}, '{D.PLAIN}', '{D.ROTATED}')"
 

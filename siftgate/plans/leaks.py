@@ -106,6 +106,55 @@ _one_kind("C5_reversed", "reversed")
 _one_kind("C6_spaced", "spaced")
 
 
+@PLAN.add(
+    "C7_leak_events",
+    f"{HITS}, n AS (SELECT count(*) AS n FROM tok) SELECT l.doc_id, 'canary' AS layer, CASE WHEN "
+    "count(h.token) > 0 THEN 'blocked' ELSE 'passed' END AS verdict, CASE WHEN count(h.token) > 0 THEN "
+    "'Canary leaked from: ' || string_agg(h.source_name, ', ' ORDER BY h.source_name) ELSE 'Clean: 0/' || "
+    "any_value(n) || ' tokens found' END AS detail FROM leaky l CROSS JOIN n LEFT JOIN hits h USING (doc_id) "
+    "GROUP BY l.doc_id",
+)
+def leak_events(spark, sf):
+    registry = tokens(spark, sf)
+    checked = leaks.leak_check(leaky(spark, sf), registry)
+    return leaks.leak_events(checked, registry.count()).select("doc_id", "layer", "verdict", "detail")
+
+
+MANY = (
+    "WITH keys AS (SELECT o_orderkey AS k, 'tk_' || md5(o_orderkey::VARCHAR) AS token FROM orders), "
+    "d AS (SELECT doc_id, text || ' ' || CASE doc_id % 3 WHEN 0 THEN k.token WHEN 1 THEN upper(k.token) || "
+    "'.' || o.token ELSE 'tk_none' END AS text FROM documents LEFT JOIN keys k ON k.k = doc_id % 997 "
+    "LEFT JOIN keys o ON o.k = doc_id % 991), "
+    "found AS (SELECT DISTINCT doc_id, text, k.k, k.token FROM (SELECT doc_id, text, unnest(regexp_extract_all("
+    "lower(text), 'tk_[0-9a-f]{32}')) AS t FROM d) JOIN keys k ON k.token = t) "
+)
+
+
+@PLAN.add(
+    "C7_leak_check_thousands",
+    MANY + "SELECT doc_id, token, CASE WHEN contains(text, token) THEN 'exact' ELSE 'casefold' END AS kind FROM found",
+)
+def leak_check_thousands(spark, sf):
+    """A registry with a token per order; documents carry one of them in one of two forms, or two."""
+    key = F.col("o_orderkey")
+    keys = table(spark, sf, "orders").select(
+        key.cast("string").alias("source_name"),
+        F.concat(F.lit("tk_"), F.md5(key.cast("string"))).alias("token"),
+        key.alias("k"),
+    )
+    a, b = keys.select(F.col("k").alias("a"), F.col("token").alias("ta")), keys.select(F.col("k").alias("b"), F.col("token").alias("tb"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(997)).alias("a"), F.pmod("doc_id", F.lit(991)).alias("b"))
+    third = F.pmod("doc_id", F.lit(3))
+    extra = (
+        F.when(third == 0, F.col("ta"))
+        .when(third == 1, F.concat(F.upper("ta"), F.lit("."), "tb"))
+        .otherwise("tk_none")
+    )
+    planted = docs.join(a, "a", "left").join(b, "b", "left").select("doc_id", F.concat("text", F.lit(" "), extra).alias("text"))
+    hits = leaks.leak_hits(planted.where(F.col("text").isNotNull()), keys.select("source_name", "token"))
+    return leaks.hit_rows(hits).select("doc_id", "token", "kind")
+
+
 @PLAN.add(
     "C7_leak_check",
     f"{HITS} SELECT l.doc_id, count(h.token) > 0 AS leaked, "

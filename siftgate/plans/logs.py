@@ -18,6 +18,7 @@ from siftgate.plans.inputs import (
 )
 from siftgate.plans.detection import FULL, SCREENED
 from siftgate.plans.texts import FOUND
+from siftgate.sources.corpora import append_events
 from siftgate.sources.storage import scratch
 from siftgate.streaming import jobs
 
@@ -103,6 +104,24 @@ def prune_counts(spark, sf):
     return ev.prune_counts(log_events(spark, sf), AS_OF, days=7)
 
 
+@PLAN.add(
+    "V4_prune_stored",
+    f"WITH {LOG} SELECT count_if(ts < {NOW} - INTERVAL 7 DAY) AS deleted, count_if(ts >= {NOW} - INTERVAL 7 DAY) "
+    "AS left_over, min(CASE WHEN ts >= " + NOW + " - INTERVAL 7 DAY THEN id END) AS first_id FROM log",
+)
+def prune_stored(spark, sf):
+    """The log is stored in date folders, pruned in place, and read again."""
+    log = log_events(spark, sf)
+    path = scratch(spark, "pruned-log")
+    append_events(log.withColumn("ts", F.timestamp_micros(ev.epoch_us(log, "ts"))), path)
+    deleted = ev.prune_stored(spark, path, AS_OF, days=7)
+    return spark.read.parquet(path).agg(
+        F.lit(deleted).cast("long").alias("deleted"),
+        F.count(F.lit(1)).alias("left_over"),
+        F.min("id").alias("first_id"),
+    )
+
+
 @PLAN.add(
     "V5_metadata",
     f"WITH {LOG} SELECT id, CAST(json_extract_string(metadata, '$.k') AS BIGINT) AS k FROM log",
@@ -312,20 +331,26 @@ def incident_sessions_by_source(spark, sf):
     return _edges(drained(spark, out, "sessions"), "source_id", "blocked")
 
 
+def refusing_post(body: dict) -> None:
+    """A receiver that refuses every fifth event."""
+    if any(e["id"] % 5 == 0 for e in body["events"]):
+        raise ConnectionError("refused")
+
+
 @PLAN.add(
     "R6_alert_feed",
-    f"WITH {LOG} SELECT id, layer, source_id FROM log WHERE verdict = 'blocked'",
+    f"WITH {LOG} SELECT count(*) AS failed FROM log WHERE verdict = 'blocked' AND id % 5 = 0",
 )
 def alert_feed(spark, sf):
-    """Deliver blocked events to a table, the way a real feed would hand them to a callable."""
-    path, mark = scratch(spark, "alerts"), scratch(spark, "alerts-checkpoint")
-    alerts = jobs.blocked_only(streamed_log(spark, sf)).select("id", "layer", "source_id")
-
-    def land(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    jobs.fan_out(alerts, [land], mark).awaitTermination()
-    return spark.read.schema(alerts.schema).parquet(path).select("id", "layer", "source_id")
+    """Blocked events are posted one by one; what the receiver refuses is counted per batch."""
+    refused: list[tuple[int, int]] = []
+    events = streamed_log(spark, sf).drop("ts")
+    query = jobs.alert_feed(
+        events, refusing_post, scratch(spark, "alerts-checkpoint"), 1, lambda batch, n: refused.append((batch, n))
+    )
+    query.awaitTermination()
+    batches = spark.createDataFrame(refused, "batch long, n long")
+    return batches.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("failed"))
 
 
 @PLAN.add(

@@ -98,37 +98,27 @@ def category_counts(spark, sf):
     return corpora.category_counts(docs.join(labels, "doc_id", "left_semi"))
 
 
+TURNS = (
+    "WITH t AS (SELECT *, 'Conv' || conv_id AS class, conv_id % 2 = 0 AS active FROM conversations) "
+)
+
+
 @PLAN.add(
     "S6_probe_payloads",
-    "WITH c AS (SELECT conv_id, last(text ORDER BY turn) AS final, first(text ORDER BY turn) AS opening "
-    "FROM conversations GROUP BY conv_id) SELECT 'talk' AS family, 'Conv' || conv_id AS \"class\", "
-    "0 AS \"index\", md5(final) AS digest, conv_id % 2 = 0 AS active FROM c UNION ALL SELECT 'talk', "
-    "'Conv' || conv_id, 1, md5(opening), conv_id % 2 = 0 FROM c",
+    TURNS + "SELECT 'talk' AS family, class AS \"class\", 0 AS \"index\", md5(last(text ORDER BY turn)) AS digest, "
+    "any_value(active) AS active FROM t GROUP BY class UNION ALL SELECT 'talk', class, 1 + turn, md5(text), "
+    "active FROM t",
 )
 def probe_payloads(spark, sf):
-    turns = table(spark, sf, "conversations")
-    # the opening and the last turn say all a probe needs, and reduce in every task
-    each = turns.groupBy("conv_id").agg(
-        F.min(F.struct("turn", "text")).alias("a"), F.max(F.struct("turn", "text")).alias("z")
-    )
-    each = each.select(
-        "conv_id",
-        F.array(
-            F.struct(F.col("a.text").alias("text")), F.struct(F.col("z.text").alias("text"))
-        ).alias("turns"),
-    )
-    none = F.lit(None).cast("string")
-    no_turns = F.lit(None).cast("array<struct<text:string>>")
-    exported = each.select(
+    """Prompt 0 is the whole conversation, prompt 1 + t its turn t asked alone."""
+    turns = table(spark, sf, "conversations").select(
         F.concat(F.lit("probes.talk.Conv"), F.col("conv_id").cast("string")).alias("name"),
         (F.pmod("conv_id", F.lit(2)) == 0).alias("active"),
-        F.array(
-            F.struct(none.alias("text"), F.col("turns").alias("turns")),
-            F.struct(F.get("turns", F.lit(0))["text"].alias("text"), no_turns.alias("turns")),
-            F.struct(none.alias("text"), no_turns.alias("turns")),
-        ).alias("prompts"),
+        F.explode(F.array(F.lit(0).cast("long"), F.col("turn").cast("long") + 1)).alias("prompt"),
+        F.col("turn").cast("long").alias("turn"),
+        "text",
     )
-    out = corpora.probe_payloads(exported)
+    out = corpora.turn_payloads(turns)
     return out.select("family", "class", "index", F.md5("payload").alias("digest"), "active")
 
 
@@ -269,7 +259,7 @@ def webhook_failures(spark, sf):
     failed = corpora.post_events(
         corpora.blocked_only(log_events(spark, sf).drop("ts")), flaky_post, batch_size=1
     )
-    return spark.createDataFrame([(failed,)], "failed long")
+    return failed.agg(F.count(F.lit(1)).alias("failed"))
 
 
 @PLAN.add(
@@ -308,12 +298,11 @@ def resumed_sweep(spark, sf):
     found = outcomes(spark, sf)
     configs = spark.createDataFrame([(c[0],) for c in ev.CONFIG_PRESETS], "config_slug string")
 
-    def run(todo, n):
-        rows = found.join(todo, "config_slug", "left_semi")
-        return ev.false_positive_rates(rows).withColumn("run", F.lit(n))
+    def run(n):
+        return lambda slug: ev.false_positive_rates(found.where(F.col("config_slug") == slug)).withColumn("run", F.lit(n))
 
-    corpora.store_results(run(configs.where(F.col("config_slug").isin("all", "deberta-only")), 1), path)
-    corpora.store_results(run(corpora.pending_configs(configs, path), 2), path)
+    corpora.run_pending(configs.where(F.col("config_slug").isin("all", "deberta-only")), path, run(1))
+    corpora.run_pending(configs, path, run(2))
     return spark.read.parquet(path).select("config_slug", "run", "total", "blocked")
 
 
@@ -327,11 +316,9 @@ def report_document(spark, sf):
     rows = ev.false_positive_rates(outcomes(spark, sf)).withColumn(
         "ord", F.array_position(order, F.col("config_slug"))
     )
-    doc = corpora.report_document(rows, "siftgate_falsepos/v1", "2024-01-30T12:00:00Z")
-    parsed = doc.select(
-        F.from_json(
-            F.get_json_object("document", "$.configurations"),
-            "array<struct<config_slug:string,total:long>>",
-        ).alias("c")
-    )
-    return parsed.select(F.posexplode("c").alias("n", "c")).select("n", "c.config_slug", "c.total")
+    path = scratch(spark, "report")
+    lines = corpora.report_lines(rows, "siftgate_falsepos/v1", "2024-01-30T12:00:00Z")
+    lines.select("value").write.text(path)
+    read = spark.read.text(path).select(F.from_json("value", "config_slug string, total long").alias("c"))
+    at = (F.array_position(order, F.col("c.config_slug")) - 1).alias("n")
+    return read.where(F.col("c.config_slug").isNotNull()).select(at, "c.config_slug", "c.total")

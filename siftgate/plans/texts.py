@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from siftgate.functions import cleaning, guarding
@@ -30,7 +31,6 @@ from siftgate.plans.inputs import (
     table,
     text_literal,
 )
-from siftgate.operators.layout import spread
 
 PLAN = Plan()
 UNCUT = SanitizeOptions(max_length=None)
@@ -96,7 +96,7 @@ def _unescape_sql(x: str, rounds: int = 4) -> str:
     "SELECT page_id, md5(c) AS digest, length(c) AS n FROM c",
 )
 def decode_encodings(spark, sf):
-    pages = spread(table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    pages = table(spark, sf, "pages").select("page_id", "html")
     rows = pages.select("page_id", cleaning.decode_encodings(F.col("html")).alias("c"))
     return rows.select("page_id", F.md5("c").alias("digest"), F.length("c").alias("n"))
 
@@ -131,7 +131,7 @@ def sanitize(spark, sf):
 )
 def sanitize_pages(spark, sf):
     options = SanitizeOptions(decode_encodings=True, max_length=None)
-    pages = spread(table(spark, sf, "pages").select("page_id", "html"), "page_id")
+    pages = table(spark, sf, "pages").select("page_id", "html")
     out = sanitizing.sanitize(pages, "html", options)
     return out.select("page_id", F.md5("cleaned").alias("digest"), "modified", "len_after")
 
@@ -368,3 +368,45 @@ def guard(spark, sf):
 def guard_counts(spark, sf):
     out = _guarded(spark, sf).withColumn("reason", F.substring_index("reason", "(", 1))
     return guards.guard_counts(out, "source")
+
+
+@PLAN.add(
+    "G4_guard_events",
+    G4 + "SELECT doc_id, 'analysis_guard' AS layer, CASE WHEN chk = 'injection' THEN 'blocked' ELSE 'passed' END "
+    "AS verdict, CASE WHEN chk IS DISTINCT FROM 'injection' THEN 'All "
+    + str(len(GUARD_PATTERNS))
+    + " patterns + 0 custom checks passed' WHEN starts_with(reason, 'Text') THEN 'Exceeds max length: ' || "
+    "regexp_extract(reason, '[(](.*)[)]', 1) ELSE 'Pattern match: ' || substr(reason, 29) END AS detail, "
+    "CASE WHEN starts_with(reason, 'Suspicious') THEN substr(reason, 29) END AS pattern FROM g",
+)
+def guard_events(spark, sf):
+    out = guards.guard_events(_guarded(spark, sf))
+    return out.select(
+        "doc_id", "layer", "verdict", "detail", F.get_json_object("metadata", "$.pattern").alias("pattern")
+    )
+
+
+@PLAN.add(
+    "B5_wrap_events",
+    "SELECT doc_id, 'trust_boundary' AS layer, 'passed' AS verdict, 'Wrapped in <untrusted_' || "
+    f"regexp_replace(lang, '{IDENT}', '', 'g') || '> (source=' || {SRC} || ')' AS detail FROM documents",
+)
+def wrap_events(spark, sf):
+    return wrapping.wrap_events(_docs(spark, sf), source=F.col("source"), label=F.col("lang"))
+
+
+@PLAN.add(
+    "U2_guard_python_check",
+    f"WITH {HEADS}, r AS (SELECT doc_id, COALESCE({FOUND}, CASE WHEN length(text) % 2 = 1 THEN 'odd length ' || "
+    "length(text) END) AS reason FROM planted) SELECT doc_id, reason, reason IS NULL AS safe FROM r",
+)
+def python_check(spark, sf):
+    """A check written in Python, as a pandas UDF: a reason, or null when fine."""
+
+    @F.pandas_udf("string")
+    def odd(texts: pd.Series) -> pd.Series:
+        size = texts.str.len()
+        return ("odd length " + size.astype("Int64").astype(str)).where(size % 2 == 1, None)
+
+    out = guards.guard(heads(spark, sf), checks=[odd("text")])
+    return out.select("doc_id", "reason", "safe")

@@ -8,11 +8,10 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgate.functions.text import require_string, strip
+from siftgate.functions.text import require_string, strip, valid_json
 from siftgate.operators.events import epoch_us
 from siftgate.options import BYTE_CAP, OptionError
 
-MAX_CONFIGURATIONS = 1000
 READERS = ("parquet", "json", "orc", "csv", "text")
 CORPUS_FIELDS = ("id", "category", "subject", "body")
 REPORT_SCHEMA = (
@@ -68,7 +67,7 @@ def parse_benign(lines: DataFrame, value: str = "value") -> DataFrame:
     return rows.select(
         *[F.col(f"_o.{c}").alias(c) for c in CORPUS_FIELDS],
         F.concat(F.lit("Subject: "), "_o.subject", F.lit("\n\n"), "_o.body").alias("text"),
-        F.when(F.try_parse_json("_l").isNull(), "invalid JSON")
+        F.when(~valid_json(F.col("_l")), "invalid JSON")
         .when(missing, "missing field")
         .alias("problem"),
     )
@@ -76,17 +75,17 @@ def parse_benign(lines: DataFrame, value: str = "value") -> DataFrame:
 
 def benign_violations(parsed: DataFrame) -> DataFrame:
     """``(id, problem)``: bad lines, repeated ids, or an empty corpus. No rows means valid."""
-    bad = parsed.where(F.col("problem").isNotNull()).select("id", "problem")
-    twice = (
-        parsed.where(F.col("problem").isNull())
-        .groupBy("id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-        .select("id", F.lit("duplicate id").alias("problem"))
-    )
-    none = parsed.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
+    # one aggregate serves all three questions; its shuffle is reused by the second branch
+    seen = parsed.groupBy("id", "problem").agg(F.count(F.lit(1)).alias("n"))
+    times = F.when(F.col("problem").isNotNull(), F.col("n")).when(F.col("n") > 1, F.lit(1)).otherwise(F.lit(0))
+    rows = seen.select(
+        "id",
+        F.coalesce("problem", F.lit("duplicate id")).alias("problem"),
+        F.explode(F.array_repeat(F.lit(0), times.cast("int"))),
+    ).select("id", "problem")
+    none = seen.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
     none = none.select(F.lit(None).cast("string").alias("id"), F.lit("empty").alias("problem"))
-    return bad.unionByName(twice).unionByName(none)
+    return rows.unionByName(none)
 
 
 def load_benign(spark: SparkSession, path: str) -> DataFrame:
@@ -120,6 +119,23 @@ def probe_payloads(exported: DataFrame) -> DataFrame:
     ).where(F.col("payload").isNotNull())
 
 
+def turn_payloads(turns: DataFrame, name: str = "name", prompt: str = "prompt") -> DataFrame:
+    """Payloads from one row per turn (``name, active, prompt, turn, text``): the last turn of each prompt.
+
+    A conversation of any length reduces to its last turn in every task before it is shuffled.
+    """
+    last = turns.groupBy(name, prompt).agg(
+        F.max(F.struct("turn", "text")).getField("text").alias("payload"), F.max("active").alias("active")
+    )
+    return last.where(F.col("payload").isNotNull()).select(
+        F.split_part(name, F.lit("."), F.lit(-2)).alias("family"),
+        F.substring_index(name, ".", -1).alias("class"),
+        F.col(prompt).alias("index"),
+        "payload",
+        "active",
+    )
+
+
 def read_scan_report(spark: SparkSession, path: str) -> DataFrame:
     """Evaluated attempts of scanner reports; other entries and bad lines are skipped."""
     rows = spark.read.schema(REPORT_SCHEMA).option("mode", "PERMISSIVE").json(path)
@@ -204,39 +220,47 @@ def blocked_only(events: DataFrame) -> DataFrame:
 
 
 def post_events(
-    events: DataFrame, post: Callable[[dict], None], batch_size: int = 1, partitions: int = 8
-) -> int:
-    """Send ``{"events": [...]}`` chunks through ``post``; returns how many calls failed.
+    events: DataFrame, post: Callable[[dict], None], batch_size: int = 100, partitions: int | None = None
+) -> DataFrame:
+    """Send ``{"chunk": id, "events": [...]}`` through ``post``; ``(chunk, events, error)`` of failed calls.
 
-    Delivery is fire-and-forget: a failed chunk is counted, never raised.
+    The posts happen when the result is evaluated, in the input's own partitions unless another
+    number is asked for. Delivery is fire-and-forget: a failed chunk becomes a row, never an error.
+    A chunk's id is the digest of its events, so a receiver can drop what a retried task repeats.
     """
-    rows = events.select(F.to_json(F.struct("*")).alias("j")).repartition(partitions)
+    rows = events.select(F.to_json(F.struct("*")).alias("j"))
+    if partitions is not None:
+        rows = rows.repartition(partitions)
 
     def send(batches: Iterable) -> Iterable:
+        import hashlib
         import json
 
         import pandas as pd
 
-        failed, buffer = 0, []
+        buffer: list[str] = []
 
-        def flush():
-            nonlocal failed
-            if buffer:
-                try:
-                    post({"events": list(buffer)})
-                except Exception:  # noqa: BLE001
-                    failed += 1
-                buffer.clear()
+        def flush() -> list[tuple[str, int, str]]:
+            chunk = hashlib.sha256("\n".join(buffer).encode()).hexdigest()
+            failed = []
+            try:
+                post({"chunk": chunk, "events": [json.loads(line) for line in buffer]})
+            except Exception as err:  # noqa: BLE001
+                failed.append((chunk, len(buffer), f"{type(err).__name__}: {err}"))
+            buffer.clear()
+            return failed
 
         for batch in batches:
+            failed = []
             for line in batch["j"]:
-                buffer.append(json.loads(line))
+                buffer.append(line)
                 if len(buffer) >= batch_size:
-                    flush()
-        flush()
-        yield pd.DataFrame({"failed": [failed]})
+                    failed += flush()
+            yield pd.DataFrame(failed, columns=["chunk", "events", "error"])
+        if buffer:
+            yield pd.DataFrame(flush(), columns=["chunk", "events", "error"])
 
-    return rows.mapInPandas(send, "failed long").agg(F.sum("failed")).first()[0] or 0
+    return rows.mapInPandas(send, "chunk string, events long, error string")
 
 
 def pending_configs(configs: DataFrame, store: str) -> DataFrame:
@@ -258,13 +282,34 @@ def store_results(results: DataFrame, store: str) -> None:
     ).parquet(store)
 
 
+def run_pending(configs: DataFrame, store: str, run: Callable[[str], DataFrame]) -> list[str]:
+    """Run what a sweep still lacks, one configuration at a time; each is stored before the next begins.
+
+    A crash loses the configuration it interrupts and no other. Returns the slugs that were run.
+    """
+    todo = [r[0] for r in pending_configs(configs, store).select("config_slug").orderBy("config_slug").collect()]
+    for slug in todo:
+        store_results(run(slug), store)
+    return todo
+
+
+def report_lines(results: DataFrame, schema: str, generated_at: str) -> DataFrame:
+    """``(ord, value)``: a header line (``ord`` 0) and one JSON line per configuration, for any number of them."""
+    fields = [c for c in results.columns if c != "ord"]
+    head = results.sparkSession.range(1).select(
+        F.lit(0).cast("long").alias("ord"),
+        F.to_json(F.struct(F.lit(schema).alias("schema"), F.lit(generated_at).alias("generated_at"))).alias("value"),
+    )
+    rows = results.select(F.col("ord").cast("long").alias("ord"), F.to_json(F.struct(*fields)).alias("value"))
+    return head.unionByName(rows)
+
+
 def report_document(results: DataFrame, schema: str, generated_at: str) -> DataFrame:
     """One JSON document over the configuration rows, in input order ``ord``.
 
-    A report is one string, so its rows meet in one task: their number is checked first.
+    A document is one string and is put together in one task; :func:`report_lines` is the form for
+    sweeps with more configurations than one string should hold.
     """
-    if results.limit(MAX_CONFIGURATIONS + 1).count() > MAX_CONFIGURATIONS:
-        raise OptionError(f"a report document holds at most {MAX_CONFIGURATIONS} configurations")
     fields = [c for c in results.columns if c != "ord"]
     rows = results.groupBy().agg(
         F.array_sort(F.collect_list(F.struct("ord", F.struct(*fields).alias("c")))).alias("r")

@@ -9,18 +9,35 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from siftgate.options import OptionError
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that is unset (single-machine tests) does a local temporary folder stand in.
+    Only in local mode, where driver and executors are one process, may that be unset: a local
+    temporary folder then stands in. Anywhere else each executor would keep its own part to itself.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise OptionError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="siftgate-")
     return f"{root.rstrip('/')}/siftgate/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> bool:
+    """Delete a folder that :func:`scratch` named, on whichever file system it lies."""
+    if "/siftgate/" not in path:
+        raise OptionError(f"{path!r} is no scratch folder")
+    return delete_folder(spark, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors' Python workers (once per Spark application)."""
     context = spark.sparkContext

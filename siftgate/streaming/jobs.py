@@ -122,7 +122,7 @@ def alert_feed(
     """Blocked events only, posted in chunks; failures are counted, not raised."""
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        failed = post_events(batch, post, batch_size)
+        failed = post_events(batch, post, batch_size).count()
         if on_failures is not None:
             on_failures(batch_id, failed)
 

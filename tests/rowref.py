@@ -1,6 +1,7 @@
 """What one row must give, written as plain Python. Only the tests use this."""
 
 import base64
+import codecs
 import html
 import random
 import re
@@ -79,3 +80,51 @@ PIECES = (
 def random_texts(n, seed=7, pieces=PIECES, most=30):
     rng = random.Random(seed)
     return ["".join(rng.choice(pieces) for _ in range(rng.randrange(most))) for _ in range(n)]
+
+
+from siftgate.functions.decoding import SPAN  # noqa: E402
+from siftgate.options import DecodeOptions  # noqa: E402
+
+_SPAN = re.compile(SPAN)
+_LIMITS = DecodeOptions(base64=True)
+
+
+def read_span(span: str) -> tuple[str, str | None]:
+    core = span.rstrip("=").translate(str.maketrans("-_", "+/"))
+    if len(core) % 4 == 1:
+        return "", "decode_failed"
+    raw = base64.b64decode(core + "=" * (-len(core) % 4))
+    if len(raw) < _LIMITS.min_bytes:
+        return "", "too_short"
+    text = raw.decode("utf-8", "replace")
+    good = sum(ch != "\ufffd" and (ch.isprintable() or ch in "\n\r\t") for ch in text)
+    if good / len(text) < _LIMITS.min_printable:
+        return "", f"low_printable_ratio:{good / len(text):.2f}"
+    return text, None
+
+
+def walk(text: str, decode_base64: bool):
+    """Yield ``(label, text, depth, skipped, skip_reason)`` in discovery order."""
+    yield "original", text, 0, False, None
+    seen, budget = {text}, _LIMITS.candidate_cap
+    level = [("", text)]
+    for depth in range(1, _LIMITS.max_depth + 1):
+        following = []
+        for parent, source in level:
+            rotated = codecs.encode(source, "rot13")
+            tried = [("rot13", rotated, None)] if rotated != source else []
+            for m in _SPAN.finditer(source) if decode_base64 else ():
+                if budget:
+                    budget -= 1
+                    tried.append((f"base64@{m.start()}:{m.end()}", *read_span(m.group())))
+                else:
+                    tried.append((f"base64@{m.start()}:{m.end()}", "", "candidate_cap"))
+            for name, found, reason in tried:
+                label = f"{parent}/{name}" if parent else name
+                if reason is None and found:
+                    following.append((label, found))
+                if reason is not None or found not in seen:
+                    yield label, found, depth, reason is not None, reason
+                if reason is None:
+                    seen.add(found)
+        level = following

@@ -4,11 +4,11 @@ import random
 
 import pytest
 from conftest import column
+from rowref import walk
 from pyspark.sql import functions as F
 
 from siftgate import DecodeOptions
 from siftgate.functions import decoding
-from siftgate.functions.tables import register, walk
 from siftgate.operators import decoding as rescans
 
 BOTH = DecodeOptions(base64=True)
@@ -78,14 +78,6 @@ def test_audit_never_shows_text(texts):
     assert "text" not in rescans.audit(rescans.expand_variants(texts(["abc"]))).columns
 
 
-def test_table_function(spark, texts):
-    register(spark)
-    texts(sample(20)).createOrReplaceTempView("t")
-    lateral = spark.sql("SELECT doc_id, v.label FROM t, LATERAL decode_variants(t.text, true) v")
-    want = rescans.expand_variants(spark.table("t"), options=BOTH).select("doc_id", "label")
-    assert sorted(map(tuple, lateral.collect())) == sorted(map(tuple, want.collect()))
-
-
 def test_rot13_runs_are_the_rotated_runs(texts):
     values = sample(40)
     df = texts(values).select(

@@ -97,8 +97,12 @@ def refuse_twos(body):
 
 def test_posting_counts_failures(spark):
     events = spark.range(6)
-    assert corpora.post_events(events, refuse_twos, batch_size=1) == 1
-    assert corpora.post_events(events, refuse_twos, batch_size=100, partitions=1) == 1
+    one = corpora.post_events(events, refuse_twos, batch_size=1).collect()
+    assert [(r["events"], r["error"]) for r in one] == [(1, "OSError: no")]
+    all_at_once = corpora.post_events(events, refuse_twos, batch_size=100, partitions=1).collect()
+    assert [r["events"] for r in all_at_once] == [6]
+    again = corpora.post_events(events, refuse_twos, batch_size=100, partitions=1).collect()
+    assert all_at_once == again  # a chunk keeps its id
 
 
 def test_probe_payloads(spark):
