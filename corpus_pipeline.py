@@ -17,7 +17,7 @@ from siftgate.llm.queries import TIKTOKEN_RANKS
 
 
 def known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, or explained no better than by chance, by a model learned from ``lang``."""
+    """Drop documents for which the mixture of languages, learned from ``lang``, has no name: those without a letter."""
     return language.known_only(docs, language.learn(docs))
 
 

@@ -150,13 +150,13 @@ def _explained(model: Model | None, body: str | None) -> Mixture:
 
 
 def known_only(docs: DataFrame, model: Model | None, *, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text some mixture of the languages explains better than chance."""
+    """The rows of ``docs`` whose text has a language: those that are null or hold no letter go."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         model = shared.value
         for batch in batches:
             found = [_explained(model, body) for body in column_text(batch, text)]
-            yield batch.filter(pa.array([m.languages[0] != UNKNOWN and m.above_chance > 0 for m in found], pa.bool_()))
+            yield batch.filter(pa.array([m.languages[0] != UNKNOWN for m in found], pa.bool_()))
 
     return mapped(docs, run, docs.schema)

@@ -70,7 +70,7 @@ class Classifier:
     def __init__(self, x: np.ndarray, y: np.ndarray):
         self.rate = float(y.mean()) if len(y) else 0.5
         self.weights: np.ndarray | None = None
-        if not 0 < self.rate < 1:
+        if not len(y) or not 0 < self.rate < 1:
             return
         self.mean, self.spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
         z = self.expanded(x)

@@ -68,8 +68,8 @@ def likeness(a: str, b: str) -> Column:
 
 def fingerprint(docs: DataFrame, *, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """``docs`` with the fingerprint of ``text`` as a string in ``out``."""
-    held = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    return with_prints(held, "__text", "__prints").withColumn(out, written_out("__prints")).drop("__text", "__prints")
+    held = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    return with_prints(held, "body", "prints").select("row.*", written_out("prints").alias(out))
 
 
 def with_next(docs: DataFrame, key: str, *columns: str) -> DataFrame:
