@@ -227,7 +227,8 @@ class _Group:
 
     def __init__(self, rows: list[dict]):
         self.node, self.component, self.n, self.block = (np.array([r[c] for r in rows], np.int64) for c in ("node", "component", "n", "block"))
-        self.sketch = np.array([r["sketch"] for r in rows], np.int64)
+        # unsigned: counting the bits of a negative number would count those of its magnitude
+        self.sketch = np.array([r["sketch"] for r in rows], np.int64).view(np.uint64)
         self.earlier = np.array([r["bands"][: r["place"]] for r in rows], np.int64).reshape(len(rows), -1)
         self.crossing = rows[0]["i"] != rows[0]["j"]
 
@@ -399,7 +400,6 @@ def representatives(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     group = F.coalesce(F.col("root"), -1 - F.col("row_id"))  # an empty set is its own group
     chosen = rows.groupBy(group.alias("g")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("r"))
     keys = chosen.select(F.col("r.doc_id").alias("__id"), F.col("r.text_hash").alias("__hash")).distinct()
-    columns = docs.columns
-    held = docs.withColumns({"__own": F.col(key), "__own_hash": F.xxhash64(F.col(text))})
-    kept = held.join(keys, F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__own_hash") == F.col("__hash")), "left_semi")
-    return kept.dropDuplicates(["__own", "__own_hash"]).select(*columns)
+    held = docs.select(F.struct("*").alias("row"), F.col(key).alias("own"), F.xxhash64(F.col(text)).alias("own_hash"))
+    kept = held.join(keys, F.col("own").eqNullSafe(F.col("__id")) & (F.col("own_hash") == F.col("__hash")), "left_semi")
+    return kept.dropDuplicates(["own", "own_hash"]).select("row.*")
