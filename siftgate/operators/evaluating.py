@@ -345,6 +345,25 @@ def retest_set(probes: DataFrame) -> DataFrame:
     return probes.where(~F.col("defended") & fine)
 
 
+def retest_changes(first: DataFrame, second: DataFrame, *by: str) -> DataFrame:
+    """What a rerun changed per probe: ``fixed``, ``still_open``, ``newly_broken``, ``held``, ``errored`` or ``not_rerun``.
+
+    ``by`` names a probe in both runs; a probe that only the rerun has counts as held or newly broken.
+    """
+    fine = F.coalesce(F.col("error"), F.lit("")) == ""
+    state = F.when(~fine, "errored").when(F.col("defended"), "held").otherwise("open")
+    before = first.select(*by, state.alias("before"))
+    after = second.select(*by, state.alias("after"))
+    change = (
+        F.when(F.col("after").isNull(), "not_rerun")
+        .when(F.col("after") == "errored", "errored")
+        .when(F.col("after") == "held", F.when(F.col("before") == "open", "fixed").otherwise("held"))
+        .when(F.col("before") == "open", "still_open")
+        .otherwise("newly_broken")
+    )
+    return before.join(after, list(by), "full_outer").withColumn("change", change)
+
+
 def scanner_summary(results: DataFrame) -> DataFrame:
     """Totals of an imported scan; the probe list is a set of names, deduplicated map-side."""
     out = results.agg(

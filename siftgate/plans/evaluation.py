@@ -29,6 +29,7 @@ from siftgate.plans.inputs import (
     text_literal,
 )
 from siftgate.sources import catalogue
+from siftgate.sources.storage import scratch
 
 PLAN = Plan()
 N_ATTACKS = 77
@@ -99,6 +100,27 @@ def preset_violations(spark, sf):
     return catalogue.preset_violations(rows)
 
 
+@PLAN.add(
+    "S5_preset_file",
+    "WITH p AS (SELECT source AS family, lang AS name, text AS payload, doc_id FROM documents WHERE doc_id % 3 <> 0) "
+    "SELECT 'p' || doc_id AS id, name, CASE doc_id % 4 WHEN 0 THEN 'sanitizer' WHEN 1 THEN 'boundary' WHEN 2 THEN "
+    "'detection' ELSE 'canary' END AS family, md5(payload) AS digest FROM p WHERE doc_id % 4 = 2",
+)
+def preset_file(spark, sf):
+    """A user's preset file, written as JSON lines, read back with its violations checked, one family asked for."""
+    d = F.col("doc_id")
+    rows = table(spark, sf, "documents").where(F.pmod(d, F.lit(3)) != 0).select(
+        F.concat(F.lit("p"), d.cast("string")).alias("id"),
+        F.col("lang").alias("name"),
+        _nth(catalogue.FAMILIES, d).alias("family"),
+        F.col("text").alias("payload"),
+    )
+    path = scratch(spark, "presets")
+    rows.write.json(path)
+    out = catalogue.read_presets(spark, path, family="detection")
+    return out.select("id", "name", "family", F.md5("payload").alias("digest"))
+
+
 CLEAN = sql_sanitize("payload", 3000)
 MARKS = " OR ".join(f"contains(payload, {text_literal(m)})" for m in ev.ESCAPE_MARKERS)
 ATTACK_VERDICTS = (
@@ -430,6 +452,31 @@ def retest_set(spark, sf):
     return out.select("doc_id", "probe_family", F.md5("payload").alias("digest"))
 
 
+RERUN = (
+    PROBES + ", again AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN NOT defended ELSE defended END AS defended, "
+    "CASE WHEN doc_id % 29 = 0 THEN 'timeout' END AS error FROM probes WHERE doc_id % 7 <> 0) "
+)
+
+
+@PLAN.add(
+    "E14_retest_changes",
+    RERUN + "SELECT p.doc_id, CASE WHEN a.doc_id IS NULL THEN 'not_rerun' WHEN a.error IS NOT NULL THEN 'errored' "
+    "WHEN a.defended AND NOT p.defended AND p.error IS NULL THEN 'fixed' WHEN a.defended THEN 'held' "
+    "WHEN NOT p.defended AND p.error IS NULL THEN 'still_open' ELSE 'newly_broken' END AS change "
+    "FROM probes p LEFT JOIN again a USING (doc_id)",
+)
+def retest_changes(spark, sf):
+    """A rerun in which every fifth probe ends otherwise, some time out and some are left out."""
+    first = judged_probes(spark, sf).select("doc_id", "defended", "error")
+    d = F.col("doc_id")
+    again = first.where(F.pmod(d, F.lit(7)) != 0).select(
+        "doc_id",
+        F.when(F.pmod(d, F.lit(5)) == 0, ~F.col("defended")).otherwise(F.col("defended")).alias("defended"),
+        F.when(F.pmod(d, F.lit(29)) == 0, "timeout").alias("error"),
+    )
+    return ev.retest_changes(first, again, "doc_id").select("doc_id", "change")
+
+
 SCAN = (
     "WITH s AS (SELECT 'fam.' || lang AS probe, doc_id % 3 <> 0 AS passed, 'det' AS detector, "
     "(doc_id % 8) / 8.0 AS score, doc_id, text FROM documents) "

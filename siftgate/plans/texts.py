@@ -101,9 +101,28 @@ def decode_encodings(spark, sf):
     return rows.select("page_id", F.md5("c").alias("digest"), F.length("c").alias("n"))
 
 
-@PLAN.add("T9_nfkc")
+# fixed values: compatibility characters and what they are replaced by
+COMPATIBLE = {
+    "\u00a0": " ", "\ufb01": "fi", "\ufb02": "fl", "\ufb03": "ffi", "\uff21": "A", "\uff42": "b", "\uff13": "3", "\uff0d": "-",
+    "\u2460": "1", "\u00bd": "1\u20442", "\u338f": "kg", "\u00b2": "2", "\u2122": "TM", "\u2026": "...", "\u017f": "s",
+    "\u2163": "IV", "\u3000": " ",
+}
+SPELT = "text"
+for _old, _new in COMPATIBLE.items():
+    SPELT = f"replace({SPELT}, '{_old}', '{_new}')"
+
+
+@PLAN.add(
+    "T9_nfkc",
+    f"WITH {PLANTED}, q AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text ELSE text || ' e' || chr(769) || "
+    f"'{''.join(COMPATIBLE)}' END AS text FROM planted), c AS (SELECT doc_id, nfc_normalize({SPELT}) AS c FROM q) "
+    "SELECT doc_id, md5(c) AS digest, length(c) AS n FROM c",
+)
 def nfkc(spark, sf):
-    rows = planted(spark, sf).withColumn("c", cleaning.normalize_nfkc(F.col("text")))
+    """Two thirds of the documents carry a loose accent and every kind of compatibility character."""
+    extra = F.lit(" e\u0301" + "".join(COMPATIBLE))
+    text = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.col("text")).otherwise(F.concat("text", extra))
+    rows = planted(spark, sf).withColumn("c", cleaning.normalize_nfkc(text))
     return rows.select("doc_id", F.md5("c").alias("digest"), F.length("c").alias("n"))
 
 
