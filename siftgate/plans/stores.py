@@ -282,6 +282,22 @@ def fan_out(spark, sf):
     return spark.read.parquet(path).groupBy("sink").agg(F.count(F.lit(1)).alias("n"))
 
 
+@PLAN.add(
+    "U6_user_sink",
+    f"WITH {LOG} SELECT layer, count(*) AS n FROM log WHERE verdict = 'modified' GROUP BY layer",
+)
+def user_sink(spark, sf):
+    """A sink of the user's own: per batch it stores how many events of each layer were modified."""
+    path, mark = scratch(spark, "own-sink"), scratch(spark, "own-sink-checkpoint")
+
+    def modified(batch, batch_id):
+        counts = batch.where(F.col("verdict") == "modified").groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+        counts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    jobs.fan_out(streamed_log(spark, sf), [modified], mark).awaitTermination()
+    return spark.read.parquet(path).groupBy("layer").agg(F.sum("n").alias("n"))
+
+
 @PLAN.add("S15_blocked_feed", f"WITH {LOG} SELECT id, layer, source_id FROM log WHERE verdict = 'blocked'")
 def blocked_feed(spark, sf):
     return corpora.blocked_only(log_events(spark, sf)).select("id", "layer", "source_id")

@@ -75,6 +75,8 @@ CUSTOM = (r"[0-9]{2,}", r"(?i)please\b")
 _step(
     "T10_custom_patterns", lambda c: cleaning.strip_patterns(c, CUSTOM), _chain(*CUSTOM)
 )
+USERS = (r"\b[Tt]he\b", "[aeiou]{3,}", r"\(tool_use\)")
+_step("U3_user_patterns", lambda c: cleaning.strip_patterns(c, USERS), _chain(*USERS))
 _step(
     "T11_collapse_whitespace",
     cleaning.collapse_whitespace,
