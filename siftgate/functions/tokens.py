@@ -95,7 +95,10 @@ def _pick(hexes: Column, index: int, alphabet: str) -> Column:
 
 
 def shaped_token(shape: Column, source_name: Column, seed: str) -> Column:
-    """Credential-looking decoy per ``shape``; an unknown shape raises."""
+    """Credential-looking decoy per ``shape``; an unknown shape raises.
+
+    The prefixes, lengths and URL forms are fixed values: decoys must have the published shapes.
+    """
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     lower = upper.lower()
     digits = "0123456789"

@@ -151,10 +151,8 @@ def sql_sanitize(x: str, max_length: int | None) -> str:
         C.CSS_FONT,
         C.CSS_COLOR,
         f"[{C.CONTROL_SET}]",
-        r"[\x{202a}-\x{202e}\x{2066}-\x{2069}]",
-        r"[\x{fe00}-\x{fe0f}]",
-        r"[\x{e0100}-\x{e01ef}]",
-        r"[\x{e0001}-\x{e007f}]",
+        f"[{C.BIDI_SET}]",
+        f"[{C.EMOJI_SET}]",
     ):
         x = sql_remove(x, pattern)
     x = f"regexp_replace({x}, ' +', ' ', 'g')"

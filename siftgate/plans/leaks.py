@@ -182,7 +182,7 @@ def leak_check(spark, sf):
     "FROM documents d LEFT JOIN h USING (doc_id)",
 )
 def leak_check_benchmark(spark, sf):
-    """Passages as tokens: grows with the benchmark table, past 64 rows into the automaton path."""
+    """Passages as tokens: the registry grows with the benchmark table."""
     docs = documents(spark, sf)
     out = leaks.leak_check(docs, registry(spark, sf))
     return out.select("doc_id", "leaked", F.array_join("sources", ",").alias("sources"))

@@ -65,11 +65,11 @@ _step(
     _chain(cleaning.CSS_DISPLAY, cleaning.CSS_FONT, cleaning.CSS_COLOR),
 )
 _step("T6_strip_control", cleaning.strip_control, _chain(f"[{cleaning.CONTROL_SET}]"))
-_step("T7_strip_bidi", cleaning.strip_bidi, _chain(r"[\x{202a}-\x{202e}\x{2066}-\x{2069}]"))
+_step("T7_strip_bidi", cleaning.strip_bidi, _chain(f"[{cleaning.BIDI_SET}]"))
 _step(
     "T8_strip_emoji_smuggling",
     cleaning.strip_emoji_smuggling,
-    _chain(r"[\x{fe00}-\x{fe0f}]", r"[\x{e0100}-\x{e01ef}]", r"[\x{e0001}-\x{e007f}]"),
+    _chain(f"[{cleaning.EMOJI_SET}]"),
 )
 CUSTOM = (r"[0-9]{2,}", r"(?i)please\b")
 _step(
