@@ -1,6 +1,6 @@
 """The registered queries of the training-data operators: each over its whole table.
 
-No query has an SQL twin but those in ``ORACLE``; the others are held against brute force in
+Two can be said in SQL as a whole (``ORACLE``); the others are held against brute force in
 ``tests/llm``.
 """
 
@@ -69,7 +69,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(public_tokenizers.path(TOKENIZER_JSON)) as f:
         description = f.read()
-    return token_files.round_trip(table(spark, sf_dir, "documents"), description).drop("ids")
+    return token_files.round_trip(table(spark, sf_dir, "documents"), description, with_ids=False)
 
 
 #: The given rules.
@@ -99,4 +99,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filter": op10_url_filter,
 }
 
-ORACLE: dict[str, str] = {}
+_LOW = "translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_PLAIN = rf"regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w"
+_SPACED = rf"regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w"
+
+ORACLE: dict[str, str] = {
+    "op1_decontamination": f"""
+        WITH d AS (SELECT doc_id, {_PLAIN} FROM documents),
+        i AS (SELECT COALESCE(item_id::VARCHAR, 'null') AS item, {_PLAIN} FROM benchmark),
+        win AS (SELECT DISTINCT item, k, array_to_string(w[pos:pos + k - 1], ' ') AS g FROM (
+            SELECT item, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS pos FROM i WHERE len(w) > 0)),
+        run AS (SELECT doc_id, k, pos, array_to_string(w[pos:pos + k - 1], ' ') AS g FROM (
+            SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS pos FROM d, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+        met AS (SELECT doc_id, pos, k, item FROM run JOIN win USING (k, g)),
+        hit AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(pos, pos + k)) AS p FROM met) GROUP BY doc_id),
+        own AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items
+                FROM (SELECT DISTINCT doc_id, item FROM met) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(hit.n, 0) AS n_hit, COALESCE(own.n, 0) AS n_items,
+            sha256(COALESCE(items, '')) AS items_sha256, COALESCE(hit.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN own USING (doc_id)""",
+    "op2_near_dedup": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {_SPACED} FROM documents),
+        g AS (SELECT DISTINCT doc_id, array_to_string(w[pos:pos + 4], ' ') AS g FROM (
+            SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS pos FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+        link AS (SELECT a, b FROM both_have JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+        reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON l.a = r.other)
+        SELECT doc_id, COALESCE(n.n, 0) AS n_shingles, min(other) AS component_id, min(other) = doc_id AS kept
+        FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n.n""",
+}
