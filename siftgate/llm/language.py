@@ -86,7 +86,7 @@ class Model:
                     break
                 chosen, shares, best = [*chosen, k], more, likelihood
         order = sorted(range(len(chosen)), key=lambda i: (-shares[i], self.languages[chosen[i]]))
-        return Mixture([self.languages[chosen[i]] for i in order], [float(shares[i]) for i in order], best / n + BITS * np.log(2.0))
+        return Mixture([self.languages[chosen[i]] for i in order], [min(1.0, float(shares[i])) for i in order], best / n + BITS * np.log(2.0))
 
 
 def learn(docs: DataFrame, *, text: str = "text", lang: str = "lang") -> Model | None:
