@@ -178,16 +178,14 @@ class Encoder:
         self.recent = Recent(kept)
 
     def unit(self, unit: str) -> tuple[int, ...]:
-        known = self.recent.find(unit)
-        if known is None:
-            encode = self.merges.encode_piece
-            known = self.recent.put(unit, tuple(i for piece in self.pieces(unit) for i in encode(piece.encode())))
-        return known
+        encode = self.merges.encode_piece
+        return tuple(i for piece in self.pieces(unit) for i in encode(piece.encode()))
 
     def encode(self, text: str) -> list[int]:
-        get, out = self.recent.get, []
-        for u in units(text):
-            out += get(u) or self.unit(u)
+        first, rest = units(text)
+        get, find, put, out = self.recent.get, self.recent.find, self.recent.put, list(self.unit(first))
+        for u in rest:
+            out += get(u) or find(u) or put(u, self.unit(" " + u))
         return out
 
     def decode(self, ids: Iterable[int]) -> bytes:

@@ -63,19 +63,17 @@ def mapped(df: DataFrame, batches: Callable[[Iterator[pa.RecordBatch]], Iterable
 
 
 _AMBIGUOUS = re.compile(r" (?:[\s᠎]|$)")
-_BEFORE_WORD = re.compile(r"(?= [^\s᠎])")
+_BEFORE_WORD = re.compile(r" (?=[^\s᠎])")
 
 
-def units(text: str) -> list[str]:
-    """Cut ``text`` before each space that a non-space follows.
+def units(text: str) -> tuple[str, list[str]]:
+    """Cut ``text`` at each space that a non-space follows: the first stretch, and the others without their space.
 
     The pre-tokenization patterns of the public byte-level vocabularies always begin a new piece
-    there, so each unit can be encoded alone and its ids joined.
+    there, so each stretch can be encoded alone (the others with their space) and the ids joined.
     """
-    if _AMBIGUOUS.search(text):
-        return [u for u in _BEFORE_WORD.split(text) if u]
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + part for part in rest]
+    first, *rest = _BEFORE_WORD.split(text) if _AMBIGUOUS.search(text) else text.split(" ")
+    return first, rest
 
 
 class Recent(dict):
