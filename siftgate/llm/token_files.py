@@ -80,6 +80,11 @@ def unpack(index: list[list[int]], payload: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
+#: A space in those letters, and marks that the pattern gives a piece of their own after a word.
+SPACE = LETTERS[32]
+CLOSING = ".,:;!?"
+
+
 class Ids:
     """Texts to ids by the tokenizers library's own model; ids of recent stretches and pieces are kept as bytes.
 
@@ -104,25 +109,37 @@ class Ids:
     def unit(self, unit: str) -> bytes:
         return b"".join(map(self.piece, self.pieces(unit)))
 
+    def word(self, word: str) -> bytes:
+        """The ids of a space and ``word``; plain letters, alone or before a closing mark, need no pattern."""
+        if word.isascii():
+            if word.isalpha():
+                return self.piece(" " + word)
+            if word[-1] in CLOSING and word[:-1].isalpha():
+                return self.piece(" " + word[:-1]) + self.piece(word[-1])
+        return self.unit(" " + word)
+
     def piece(self, piece: str) -> bytes:
         ids = self.known.get(piece)
         if ids is None and (ids := self.known.find(piece)) is None:
-            found = self.model.tokenize(piece.encode().decode("latin-1").translate(LETTERS))
-            ids = self.known.put(piece, array("I", [t.id for t in found]).tobytes())
+            plain = piece[1:] if piece[0] == " " else piece
+            if plain.isascii() and plain.isalpha():
+                spelt = piece.replace(" ", SPACE)
+            else:
+                spelt = piece.encode().decode("latin-1").translate(LETTERS)
+            ids = self.known.put(piece, array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes())
         return ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        stretch = units(text)
-        found = list(map(self.recent.get, stretch))
+        first, rest = units(text)
+        found = list(map(self.recent.get, rest))
         if None in found:
-            find, put, unit = self.recent.find, self.recent.put, self.unit
+            find, put, word = self.recent.find, self.recent.put, self.word
             for k, ids in enumerate(found):
                 if ids is None:
-                    u = stretch[k]
-                    found[k] = find(u) or put(u, unit(u))
-        return b"".join(found)
+                    found[k] = find(rest[k]) or put(rest[k], word(rest[k]))
+        return self.unit(first) + b"".join(found)
 
 
 def write(docs: DataFrame, description: str, path: str, *, key: str = "doc_id", text: str = "text", end: int = 0, bits: bool = False, shards: int | None = None) -> None:
@@ -166,8 +183,8 @@ def write(docs: DataFrame, description: str, path: str, *, key: str = "doc_id",
     mapped(ordered, run, schema).write.parquet(path)
 
 
-def documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
-    """``(key, start, n_tokens, ids_crc32, ids)`` read back from the chunks; ``ids`` are little-endian bytes.
+def documents(spark: SparkSession, path: str, key: str = "doc_id", with_ids: bool = True) -> DataFrame:
+    """``(key, start, n_tokens, ids_crc32)`` read back from the chunks, with ``ids`` as little-endian bytes if wanted.
 
     ``start`` counts the ids of all documents before this one: those of earlier shards (one row per
     shard is summed up), of earlier chunks and of earlier documents in the chunk.
@@ -183,16 +200,18 @@ def documents(spark: SparkSession, path: str, key: str = "doc_id") -> DataFrame:
                 ends = np.cumsum(np.array(lengths, np.int64))
                 starts = ends - np.array(lengths, np.int64)
                 ids = [body[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays([pa.array([shard] * len(keys), pa.int32()), pa.array(keys, batch.schema.field("keys").type.value_type), pa.array(starts + start), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["shard", key, "start", "n_tokens", "ids_crc32", "ids"])
+                columns = [pa.array([shard] * len(keys), pa.int32()), pa.array(keys, batch.schema.field("keys").type.value_type), pa.array(starts + start), pa.array(lengths, pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, names)
 
-    found = mapped(chunks, run, f"shard int, `{key}` {kind}, start long, n_tokens long, ids_crc32 long, ids binary")
+    names = ["shard", key, "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    found = mapped(chunks, run, f"shard int, `{key}` {kind}, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     totals = chunks.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return found.join(before, "shard").select(key, (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return found.join(before, "shard").select(key, (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *names[5:])
 
 
-def round_trip(docs: DataFrame, description: str, *, key: str = "doc_id", text: str = "text", end: int = 0, bits: bool = False) -> DataFrame:
+def round_trip(docs: DataFrame, description: str, *, key: str = "doc_id", text: str = "text", end: int = 0, bits: bool = False, with_ids: bool = True) -> DataFrame:
     """Write the documents' ids to a fresh folder under the shared scratch folder and read them back."""
     path = scratch(docs.sparkSession, "token-files")
     write(docs, description, path, key=key, text=text, end=end, bits=bits)
-    return documents(docs.sparkSession, path, key)
+    return documents(docs.sparkSession, path, key, with_ids)
