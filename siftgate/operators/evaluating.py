@@ -507,12 +507,13 @@ def blocked_items(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def errored_ids(outcomes: DataFrame, keep: int = ERRORED_IDS) -> DataFrame:
-    """The first ``keep`` errored ids per configuration, in corpus order (column ``ord``).
+def errored_ids(outcomes: DataFrame, keep: int = ERRORED_IDS, order: str = "ord") -> DataFrame:
+    """The first ``keep`` errored ids per configuration, in corpus order.
 
     The rank limit is applied in every task before the shuffle, so no group is gathered whole.
     """
-    rank = F.row_number().over(Window.partitionBy("config_slug").orderBy("ord"))
+    place = order if order in outcomes.columns else "id"  # a log without an order of its own
+    rank = F.row_number().over(Window.partitionBy("config_slug").orderBy(place))
     first = outcomes.where(F.col("outcome") == "error").withColumn("_n", rank)
     kept = F.array_sort(F.collect_list(F.struct("_n", "id")))
     return (

@@ -124,3 +124,8 @@ def test_layer_events_feed_the_log(spark, texts):
     assert [r["detail"] for r in leaked] == ["Clean: 0/1 tokens found", "Clean: 0/1 tokens found", "Canary leaked from: mail"]
     results = spark.createDataFrame([(0, None, "a", "{}", None, True), (1, None, "", None, "Timeout", False)], isolating.RESULT)
     assert isolating.isolated_event(results).first()["detail"] == "1 processed, 1 failed, 1 suspicious"
+
+
+def test_errored_ids_keep_corpus_order(spark):
+    rows = spark.createDataFrame([("c", str(i), i, "error") for i in (10, 2, 30, 4)], "config_slug string, id string, ord long, outcome string")
+    assert ev.errored_ids(rows, keep=3).first()["errored_ids"] == ["2", "4", "10"]
