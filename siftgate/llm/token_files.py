@@ -15,6 +15,8 @@ repeated keys keep all their rows, ordered by text; an empty table gives no chun
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -90,14 +92,24 @@ class Ids:
 
     The library's full pipeline spends most of its time on alignments nobody reads. A byte-level
     vocabulary without normalizer needs only its two steps: the pieces of the pattern, in the
-    printable letters that stand for bytes, each given to the model.
+    printable letters that stand for bytes, each given to the model. The tokens added to the
+    vocabulary are found in the text first, as the library does, and part it. Texts that hold an
+    added token with a rule of its own (the white space or word borders around it, or rules that
+    differ between tokens) go to the library as they are.
     """
 
     built: tuple | None = None
 
     def __init__(self, description: str):
-        self.model = Tokenizer.from_str(description).model
+        self.library = Tokenizer.from_str(description)
+        self.model = self.library.model
         self.pieces = regex.compile(PIECES).findall
+        added = [t for t in json.loads(description).get("added_tokens") or [] if t["content"]]
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.marks = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
+        ruled = any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in added)
+        self.plainly = not ruled and len({bool(t.get("normalized")) for t in added}) < 2
         self.recent, self.known = Recent(UNITS_KEPT), Recent(UNITS_KEPT)
 
     @staticmethod
@@ -130,6 +142,15 @@ class Ids:
         return ids
 
     def encode(self, text: str | None) -> bytes:
+        if not text or self.marks is None or not self.marks.search(text):
+            return self.stretch(text)
+        if not self.plainly:
+            return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+        parts = self.marks.split(text)
+        return b"".join(self.added[part] if k % 2 else self.stretch(part) for k, part in enumerate(parts))
+
+    def stretch(self, text: str | None) -> bytes:
+        """The ids of a text, or of a part of one, without added tokens."""
         if not text:
             return b""
         first, rest = units(text)

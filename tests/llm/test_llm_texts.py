@@ -3,6 +3,7 @@
 import base64
 import gzip
 import hashlib
+import json
 import random
 import re
 import urllib.parse
@@ -256,6 +257,26 @@ def test_files_give_the_librarys_ids_back(spark, monkeypatch, bits, chunk):
     assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in rows) == [(b, a, c, d, e) for a, b, c, d, e in want]
 
 
+MARK = "<|endoftext|>"
+MARKED = [f"end {MARK} of", MARK, f"{MARK}{MARK} x", f"a{MARK}b", f"  {MARK}  {MARK}\n\n", f"end<|endoftext|{MARK}", f"{LONG[:500]}{MARK} {LONG[:500]}", "<|endoftext", "<pad> a<pad><pad>b  <pad>\n", "a <mask> b <|endo", ""]
+MORE = [{"content": "<pad>"}, {"content": "<|endo"}, {"content": "<pad><pad>"}]
+
+
+@pytest.mark.parametrize("more", [[], MORE, [*MORE, {"content": "<mask>", "lstrip": True, "rstrip": True}], [*MORE, {"content": "b", "single_word": True, "normalized": True, "special": False}]])
+def test_added_tokens_are_found_as_the_library_does(spark, more):
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        told = json.load(f)
+    told["added_tokens"] += [told["added_tokens"][0] | m | {"id": 50257 + k} for k, m in enumerate(more)]
+    description = json.dumps(told)
+    library = Tokenizer.from_str(description)
+    rows = token_files.round_trip(spark.createDataFrame(list(enumerate(MARKED)), "doc_id long, text string"), description).orderBy("doc_id").collect()
+    start = 0
+    for r, text in zip(rows, MARKED, strict=True):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 0]
+        assert np.frombuffer(bytes(r.ids), "<u4").tolist() == ids and (r.start, r.n_tokens) == (start, len(ids))
+        start += len(ids)
+
+
 def test_an_empty_table_gives_no_chunks(spark):
     with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
         assert token_files.round_trip(odd_docs(spark).limit(0), f.read()).count() == 0
