@@ -188,19 +188,22 @@ class _Block:
         return _Block.built[1]
 
 
-def _blocks(items: DataFrame, item: str, text: str, window: int) -> Iterator[tuple[_Block, bool]]:
-    """The items in blocks of bounded size, broadcast one by one."""
+def n_blocks(items: DataFrame, text: str) -> int:
+    return (items.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0) // BLOCK_BYTES + 1
+
+
+def _blocks(items: DataFrame, item: str, text: str, window: int, n: int) -> Iterator[tuple[_Block, bool]]:
+    """The items in ``n`` blocks of bounded size, broadcast one by one."""
     spark = items.sparkSession
     chosen = items.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.encode(F.col(text), "utf-8").alias("text"))
-    size = chosen.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = size // BLOCK_BYTES + 1
     chosen = chosen.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n)))
     for b in range(n):
         rows = [(r.item, bytes(r.text)) for r in chosen.where(F.col("block") == b).collect() if r.text]
         yield _Block(spark.sparkContext.broadcast(sorted(set(rows))), window), b == n - 1
 
 
-_HITS = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,stop:int>>"
+_PAIRS = "array<struct<start:int,stop:int>>"
+_HITS = f"n_words long, n_hit long, items array<string>, spans {_PAIRS}"
 
 
 def scan(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
@@ -208,7 +211,7 @@ def scan(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     kind = docs.schema[key].dataType.simpleString()
     state = docs.select(F.col(key), F.col(text).alias("text"), F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:int,stop:int>>").alias("spans"))
 
-    for block, last in _blocks(items, item, item_text, window):
+    for block, last in _blocks(items, item, item_text, window, n_blocks(items, item_text)):
 
         def run(batches, block=block):
             automaton = block.automaton()
@@ -232,51 +235,105 @@ def scan(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     return state.drop("text")
 
 
+def without(body: bytes, hit: np.ndarray, max_words: int, max_coverage: float) -> bytes | None:
+    """``body`` without its spans of over ``max_words`` hit words; None where hits cover over ``max_coverage``."""
+    if int(hit.sum()) > max_coverage * len(hit):
+        return None
+    spans = [(a, b) for a, b in _runs(hit) if b - a > max_words]
+    if not spans:
+        return body
+    places = [m.span() for m in _WORD.finditer(body.translate(WORD_BYTES))]
+    kept, at = [], 0
+    for a, b in spans:
+        kept.append(body[at : places[a][0]])
+        at = places[b - 1][1]
+    return b"".join([*kept, body[at:]])
+
+
 def remove_spans(body: bytes, automaton: ItemAutomaton, max_words: int, max_coverage: float) -> bytes | None:
-    """``body`` without spans of over ``max_words`` hit words; None where hits cover over ``max_coverage``.
+    """``without`` of the hits of one automaton, until nothing changes.
 
     Where hits stay below both limits the text is returned as it is. What is left is streamed
     again, as removal may join the two halves of another item.
     """
     while True:
-        words = plain_words(body)
-        hit, _ = automaton.hits(words)
-        n = int(hit.sum())
-        if n > max_coverage * len(words):
-            return None
-        spans = [(a, b) for a, b in _runs(hit) if b - a > max_words]
-        if not spans:
-            return body
-        places = [m.span() for m in _WORD.finditer(body.translate(WORD_BYTES))]
-        kept, at = [], 0
-        for a, b in spans:
-            kept.append(body[at : places[a][0]])
-            at = places[b - 1][1]
-        body = b"".join([*kept, body[at:]])
+        left = without(body, automaton.hits(plain_words(body))[0], max_words, max_coverage)
+        if left is None or left == body:
+            return left
+        body = left
 
 
 def clean(docs: DataFrame, items: DataFrame, *, text: str = "text", length: str | None = "n_chars", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_words: int = 0, max_coverage: float = 0.5) -> DataFrame:
     """``docs`` with hit spans cut out of ``text``, and without documents that hits mostly cover.
 
     All columns are kept; ``length`` (if there is such a column) is counted anew where text changed.
+
+    With several blocks of items a round first gathers the hits of all of them on the same text,
+    then decides and cuts; the changed documents go through further rounds until none changes. The
+    result is the one that a single block would give.
     """
-    fields = docs.schema
-    for block, last in _blocks(items, item, item_text, window):
+    n = n_blocks(items, item_text)
+    if n == 1:
+        (block, _), *_ = _blocks(items, item, item_text, window, n)
 
-        def run(batches, block=block):
+        def run(batches):
             automaton = block.automaton()
             for batch in batches:
-                bodies, keep = [], []
-                for body in column_bytes(batch, text):
-                    left = body and remove_spans(body, automaton, max_words, max_coverage)
-                    bodies.append(left)
-                    keep.append(left is not None or body is None)
-                yield replaced(batch, text, length, bodies).filter(pa.array(keep, pa.bool_()))
-
-        docs = mapped(docs, run, fields)
-        if not last:
-            docs = written(docs, "decontamination")
-    return docs
+                left = [body and remove_spans(body, automaton, max_words, max_coverage) for body in column_bytes(batch, text)]
+                yield _kept(batch, text, length, left)
+
+        return mapped(docs, run, docs.schema)
+
+    name = _unused("hits", docs.columns)
+    state = docs.withColumn(name, F.array().cast(_PAIRS))
+    settled = []
+    while True:
+        for block, last in _blocks(items, item, item_text, window, n):
+            state = written(mapped(state, _gathering(block, last, text, length, name, max_words, max_coverage), state.schema), "decontamination")
+        settled.append(state.where(F.size(name) == 0).drop(name))
+        state = state.where(F.size(name) > 0)
+        if state.isEmpty():
+            break
+        state = state.withColumn(name, F.array().cast(_PAIRS))
+    out = settled[0]
+    for more in settled[1:]:
+        out = out.union(more)
+    return out
+
+
+def _gathering(block: _Block, last: bool, text: str, length: str | None, name: str, max_words: int, max_coverage: float):
+    """One block's pass of a round: its hits are added to ``name``; the last one cuts and leaves there one pair where the text changed."""
+
+    def run(batches):
+        automaton = block.automaton()
+        for batch in batches:
+            at, pairs, left = batch.schema.names.index(name), [], []
+            for body, spans in zip(column_bytes(batch, text), batch.column(name).to_pylist()):
+                hit, _ = automaton.hits(plain_words(body))
+                for s in spans:
+                    hit[s["start"] : s["stop"]] = True
+                if last:
+                    left.append(body and without(body, hit, max_words, max_coverage))
+                    pairs.append([{"start": 0, "stop": 0}] * (left[-1] is not None and left[-1] != body))
+                else:
+                    pairs.append([{"start": a, "stop": b} for a, b in _runs(hit)])
+            columns = [pa.array(pairs, batch.schema.field(at).type) if k == at else c for k, c in enumerate(batch.columns)]
+            told = pa.RecordBatch.from_arrays(columns, batch.schema.names)
+            yield _kept(told, text, length, left) if last else told
+
+    return run
+
+
+def _kept(batch: pa.RecordBatch, text: str, length: str | None, left: list[bytes | None]) -> pa.RecordBatch:
+    """``batch`` with the texts that are left, without the rows whose text is dropped."""
+    keep = [b is not None or was is None for b, was in zip(left, column_bytes(batch, text))]
+    return replaced(batch, text, length, left).filter(pa.array(keep, pa.bool_()))
+
+
+def _unused(name: str, columns: list[str]) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
 
 
 def replaced(batch: pa.RecordBatch, text: str, length: str | None, bodies: list[bytes | None]) -> pa.RecordBatch:
