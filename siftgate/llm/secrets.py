@@ -1,15 +1,16 @@
 """Secret scans over every decoded layer of a text.
 
 A worklist starts with the text itself. Each layer is scanned for secrets; then its URL escapes,
-its Unicode and byte escapes, and each of its base64 runs (inflated where the bytes are gzip, zlib,
-bzip2, xz or zstandard) give further layers, until nothing new appears. A layer whose text stands
+its Unicode and byte escapes, and each of its base64 runs (at all four alignments, over line breaks, as
+UTF-8, UTF-16 or stretches of ASCII, and inflated where gzip, zlib, bzip2, xz or zstandard members
+stand in the bytes) give further layers, until nothing new appears. A layer whose text stands
 above it already is a cycle and ends. Every layer knows, for each of its characters, the range of
 the original text it came from, so a secret found three layers down is reported where it stands in
 the text; inside compressed bytes that is the whole run.
 
-Defined results: a null text is an empty text; a layer beyond ``max_layer`` bytes is not unwrapped
-and counted in ``n_refused`` (the protection against compression bombs; the text itself has no such
-bound); repeated rows have equal results; other columns never take part.
+Defined results: a null text is an empty text; a layer beyond ``max_layer`` bytes is counted in
+``n_refused`` and read in overlapping pieces of that size, ``PIECES`` of them in a text (the
+protection against compression bombs; the text itself has no such bound); repeated rows have equal results; other columns never take part.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 import zstandard
@@ -42,12 +44,23 @@ HEX_LEAST = 16
 
 MAX_LAYER = 64 << 20
 BASE64_LEAST = 20
+#: Packed bytes given to a decompressor at once, and most that it gives back at once.
+FEED, STEP = 1 << 10, 1 << 20
+#: Layers beyond ``max_layer`` are read in pieces that overlap by so much, at most so many in a text.
+OVERLAP, PIECES = 1 << 16, 64
 
 _WORDS = (b"passw", b"secret", b"token", b"api")
 _HEX_MAP = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 _HEX_RUN = re.compile(r"[0-9a-f]{%d,}" % HEX_LEAST)
 _B64_MAP = bytes(120 if chr(b).isalnum() and b < 128 or chr(b) in "+/-_" else 32 for b in range(256))
 _B64_RUN = re.compile(r"[A-Za-z0-9+/_-]{%d,}={0,2}" % BASE64_LEAST)
+_LINE = r"[ \t]*+(?:\r?\n|(?:\\r)?\\n)[ \t>]*+"
+_BREAK = re.compile(_LINE)
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{%d,}+(?:%s[A-Za-z0-9+/_-]++)++={0,2}" % (BASE64_LEAST, _LINE))
+_PACKED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
+_STRETCH = re.compile(rb"[\x20-\x7e\t\n\r]{%d,}" % HEX_LEAST)
+_WIDE = re.compile(rb"(?:[\x20-\x7e\t\n\r]\x00){%d,}" % HEX_LEAST)
+_WIDE_BIG = re.compile(rb"(?:\x00[\x20-\x7e\t\n\r]){%d,}" % HEX_LEAST)
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|((?:\\u[0-9A-Fa-f]{4})+)|((?:\\x[0-9A-Fa-f]{2})+)|\\U([0-9A-Fa-f]{8})")
 
@@ -147,56 +160,162 @@ def _escape(m: re.Match) -> list[tuple[str, int, int]]:
     return out
 
 
-def inflated(raw: bytes, most: int) -> bytes | None:
-    """What ``raw`` decompresses to; None if it is not compressed. At most ``most + 1`` bytes are made."""
+_ZLIB, _ZSTANDARD = type(zlib.decompressobj()), type(zstandard.ZstdDecompressor().decompressobj())
+
+
+def _fed(unpacker, piece: bytes) -> Iterator[bytes]:
+    """What one more piece of packed bytes gives, in parts of at most some STEP bytes."""
+    waits = hasattr(unpacker, "needs_input")
+    if isinstance(unpacker, _ZSTANDARD):
+        yield unpacker.decompress(piece)
+        return
+    while True:
+        out = unpacker.decompress(piece, STEP)
+        yield out
+        piece = b"" if waits else unpacker.unconsumed_tail
+        if unpacker.eof or not (len(out) == STEP or piece or waits and not unpacker.needs_input):
+            return
+
+
+def _unpacker(magic: bytes, most: int):
+    if magic[:2] == b"BZ":
+        return bz2.BZ2Decompressor()
+    if magic[:1] == b"\xfd":
+        return lzma.LZMADecompressor(memlimit=most + (80 << 20))
+    if magic[:1] == b"\x28":
+        return zstandard.ZstdDecompressor().decompressobj()
+    return zlib.decompressobj(47)
+
+
+def unpacked(raw: bytes, at: int, most: int, ends: list[int]) -> Iterator[bytes]:
+    """What the compressed members that follow each other from ``at`` hold; ``ends`` gets the end of each whole one.
+
+    A member that is cut or damaged gives what comes before that.
+    """
+    while m := _PACKED.match(raw, at):
+        unpacker = _unpacker(m[0], most)
+        try:
+            for a in range(at, len(raw), FEED):
+                yield from _fed(unpacker, raw[a : a + FEED])
+                if unpacker.eof:
+                    break
+            else:
+                if isinstance(unpacker, _ZLIB):
+                    yield unpacker.flush()
+                return
+        except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError, MemoryError):
+            return
+        at = min(a + FEED, len(raw)) - len(unpacker.unused_data)
+        ends.append(at)
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, list[int]]]:
+    """The texts in some bytes, each with the places of its characters and of its end.
+
+    Bytes that are no text as a whole are read in stretches of printable ASCII, one or two bytes a
+    character: no secret, escape or base64 run holds anything else, or is shorter.
+    """
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, most + 1)
-        if raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            return zlib.decompressobj().decompress(raw, most + 1)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, most + 1)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor(memlimit=most).decompress(raw, most + 1)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            return zstandard.ZstdDecompressor().decompressobj().decompress(raw) if zstandard.frame_content_size(raw) <= most else b"\0" * (most + 1)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError, zstandard.ZstdError, MemoryError):
-        return None
-    return None
+        text = raw.decode()
+    except UnicodeDecodeError:
+        text = ""
+    if text and sum(c.isprintable() or c in "\t\n\r" for c in text) >= 0.9 * len(text):
+        yield text, [0, *accumulate(len(c.encode()) for c in text)]
+    else:
+        for m in _STRETCH.finditer(raw):
+            yield m[0].decode("ascii"), list(range(m.start(), m.end() + 1))
+    for pattern, skip in ((_WIDE, 0), (_WIDE_BIG, 1)):
+        for m in pattern.finditer(raw):
+            yield m[0][skip::2].decode("ascii"), list(range(m.start(), m.end() + 1, 2))
+
+
+class Budget:
+    """A text's limits: ``most`` bytes in a layer, and how many more of layers beyond that are read in pieces."""
+
+    def __init__(self, most: int):
+        self.most, self.left = most, PIECES * most
+
 
+def _opened(layer: Layer, raw: bytes, place, stop: int, budget: Budget) -> Iterator[Layer | None]:
+    """A layer for each text in ``raw`` and in what is compressed in it, at any place; None for one beyond the limit.
 
-def _runs(layer: Layer, most: int) -> Iterator[Layer | None]:
-    """A layer for each base64 run that decodes to text, directly or inflated; None for one beyond ``most``."""
+    ``place(a, b)`` is the range in the layer of the bytes from ``a`` to ``b``, ``stop`` the end of all.
+    """
+    for text, at in _texts(raw):
+        spans = [layer.origin(*place(a, b)) for a, b in pairwise(at)]
+        yield layer.child(text, [lo for lo, _ in spans], [hi for _, hi in spans])
+    work, seen = [(raw, None)], set()
+    while work:
+        body, whole = work.pop()
+        at = 0
+        while m := _PACKED.search(body, at):
+            at, ends = m.start(), []
+            place_of = lambda end: whole or (place(at, at + 1)[0], stop if end is None or end >= len(raw) else place(at, end)[1])  # noqa: E731, B023
+            for more, last in _pieces(unpacked(body, at, budget.most, ends), budget):
+                if more is None:
+                    yield None
+                    continue
+                span = place_of(ends[-1] if last and ends else None)
+                digest = hashlib.blake2b(more, digest_size=16).digest()
+                if (digest, span) in seen:
+                    continue
+                seen.add((digest, span))
+                lo, hi = layer.origin(*span)
+                for text, _ in _texts(more):
+                    yield layer.child(text, [lo] * len(text), [hi] * len(text))
+                if _PACKED.search(more):
+                    work.append((more, span))
+            at = max([at + 1, *ends])
+
+
+def _pieces(parts: Iterator[bytes], budget: Budget) -> Iterator[tuple[bytes | None, bool]]:
+    """The parts joined, and whether this is the last; beyond the limit in pieces that overlap, and a None."""
+    held, over = bytearray(), False
+    for part in parts:
+        held += part
+        if len(held) > budget.most:
+            if not over:
+                over = True
+                yield None, False
+            while len(held) > budget.most and budget.left > 0:
+                yield bytes(held[: budget.most]), False
+                budget.left -= budget.most
+                del held[: budget.most - min(OVERLAP, budget.most // 2)]
+            if budget.left <= 0:
+                return
+    if held:
+        yield bytes(held), True
+
+
+def _runs(layer: Layer, budget: Budget) -> Iterator[Layer | None]:
+    """A layer for each text that a base64 run holds, directly or compressed; None for one beyond the limit.
+
+    Runs are read from each of their first four characters, as letters and separators may stand
+    before the coded part, and line by line as well as over line breaks.
+    """
     for m in _B64_RUN.finditer(layer.text):
-        run = m[0].rstrip("=")
-        raw = base64.b64decode((run + "=" * (-len(run) % 4)).translate({45: 43, 95: 47})) if len(run) % 4 != 1 else b""
-        packed, begin = False, m.start()
-        while raw and (more := inflated(raw, most)) is not None:
-            if len(more) > most:
-                yield None
-                raw = b""
-                break
-            packed, raw = True, more
-            if packed and more == raw and inflated(raw, most) == raw:
-                break
-        try:
-            text = raw.decode()
-        except UnicodeDecodeError:
-            continue
-        if not text or sum(c.isprintable() or c in "\t\n\r" for c in text) < 0.9 * len(text):
-            continue
-        if packed:
-            lo, hi = layer.origin(m.start(), m.end())
-            yield layer.child(text, [lo] * len(text), [hi] * len(text))
-            continue
-        starts, stops, at = [], [], 0
-        for c in text:
-            n = len(c.encode())
-            lo, hi = layer.origin(begin + at * 4 // 3, begin + ((at + n) * 8 - 1) // 6 + 1)
-            starts.append(lo)
-            stops.append(hi)
-            at += n
-        yield layer.child(text, starts, stops)
+        yield from _decoded(layer, m[0].rstrip("="), range(*m.span()), m.end(), budget)
+    for m in _WRAPPED.finditer(layer.text):
+        places: list[int] = []
+        at = m.start()
+        for gap in _BREAK.finditer(layer.text, m.start(), m.end()):
+            places.extend(range(at, gap.start()))
+            at = gap.end()
+        places.extend(range(at, m.end()))
+        run = "".join(layer.text[i] for i in places).rstrip("=")
+        yield from _decoded(layer, run, places, m.end(), budget)
+
+
+def _decoded(layer: Layer, run: str, places, end: int, budget: Budget) -> Iterator[Layer | None]:
+    for skip in range(4):
+        part = run[skip:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        raw = base64.b64decode((part + "=" * (-len(part) % 4)).translate({45: 43, 95: 47}))
+
+        def place(a: int, b: int, skip=skip) -> tuple[int, int]:
+            return places[skip + a * 4 // 3], places[skip + (b * 8 - 1) // 6] + 1
+
+        yield from _opened(layer, raw, place, end, budget)
 
 
 def find(text: str, body: bytes | None = None, max_layer: int = MAX_LAYER) -> tuple[list[Span], list[Span], int, int]:
@@ -207,7 +326,7 @@ def find(text: str, body: bytes | None = None, max_layer: int = MAX_LAYER) -> tu
     if not coded:
         return base, base, 1, 0
     found, refused, layers = set(base), 0, 0
-    work, seen = deque([Layer(text, None, None, frozenset())]), set()
+    work, seen, budget = deque([Layer(text, None, None, frozenset())]), set(), Budget(max_layer)
     while work:
         layer = work.popleft()
         layers += 1
@@ -219,7 +338,7 @@ def find(text: str, body: bytes | None = None, max_layer: int = MAX_LAYER) -> tu
         if b"\\" in layer.body:
             children.append(_rewritten(layer, _ESCAPE, _escape) or layer)
         if b"x" * BASE64_LEAST in layer.body.translate(_B64_MAP):
-            children.extend(_runs(layer, max_layer))
+            children.extend(_runs(layer, budget))
         for child in children:
             if child is None:
                 refused += 1

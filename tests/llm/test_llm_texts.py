@@ -1,9 +1,11 @@
 """Decontamination, secrets, byte-pair encoding and token files against plain Python."""
 
 import base64
+import bz2
 import gzip
 import hashlib
 import json
+import lzma
 import random
 import re
 import urllib.parse
@@ -13,6 +15,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -170,6 +173,61 @@ def test_nested_layers_map_to_the_text(coded):
     assert secrets.find(secrets.redacted(text, "[gone]"))[1] == []
 
 
+def coded(data, code=base64.b64encode):
+    return code(data if isinstance(data, bytes) else data.encode()).decode()
+
+
+def lines(text, width, between="\n"):
+    return between.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+NOISE = bytes(random.Random(8).randrange(256) for _ in range(4000))
+FAR = "".join(random.Random(9).choice("ghijklmnop qrstuvwxyz") for _ in range(40_000))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        *(f"see {before}{coded(f'some text {KEY} more text')} there" for before in ("host/path/", "token_", "id-", "a/", "ab/", "abc/")),
+        coded(f"xy {KEY} and on")[:-1].rstrip("=") + "A" * (1 - len(coded(f"xy {KEY} and on")[:-1].rstrip("=")) % 4),
+        *(f"-----\n{lines(coded('w' * n + f' {KEY} ' + 'v' * 90), 76, between)}\n-----" for n in (30, 45, 52) for between in ("\n", "\r\n", "\\n", "\n    ")),
+        f"data:\n{lines(coded(gzip.compress((FAR[:900] + KEY).encode())), 64)}\nend",
+        f"id-{coded(gzip.compress(f'a {KEY} b'.encode()))}",
+        coded(f"a {KEY} b".encode("utf-16")),
+        coded(f"a {KEY} b".encode("utf-16-be")),
+        coded(f"a caf\xe9 {KEY} b".encode("latin-1")),
+        coded(NOISE + KEY.encode() + b"\xff" + NOISE),
+        coded(NOISE + gzip.compress(KEY.encode() + b" ") + NOISE),
+        coded(gzip.compress(b"first ") + gzip.compress(f"second {KEY}".encode())),
+        coded(gzip.compress(b"cut AKIA") + gzip.compress(KEY[4:].encode())),
+        coded(bz2.compress(b"first ") + bz2.compress(f"second {KEY}".encode())),
+        coded(lzma.compress(b"first ") + lzma.compress(f"second {KEY}".encode())),
+        coded(zstandard.compress(b"first ") + zstandard.compress(f"second {KEY}".encode())),
+    ],
+)
+def test_coded_secrets_are_found_where_they_stand(text):
+    base, spans, _, refused = secrets.find(text)
+    assert not [s for s in base if s[0] == 1] and [s for s in spans if s[0] == 1] and not refused
+    assert all(0 <= a < b <= len(text) for _, a, b in spans)
+    assert secrets.find(secrets.redacted(text, "[gone]"))[1] == []
+
+
+def test_spans_behind_a_prefix_and_over_lines_are_tight():
+    plain = f"some text {KEY} more text"
+    for before in ("token_", "id-", "host/path/"):
+        [(_, a, b)] = [s for s in secrets.find(before + coded(plain))[1] if s[0] == 1]
+        assert (a, b) == (len(before) + 10 * 4 // 3, len(before) + (30 * 8 - 1) // 6 + 1)
+    wrapped = lines(coded("w" * 50 + KEY + "." * 60), 76)
+    assert [(a, b) for k, a, b in secrets.find(wrapped)[1] if k == 1] == [(50 * 4 // 3, (70 * 8 - 1) // 6 + 2)]
+
+
+def test_layers_beyond_the_limit_are_read_in_pieces():
+    for at in (5, 9_990, 10_000, 20_000, 39_000):
+        text = coded(gzip.compress((FAR[:at] + KEY + " " + FAR[at:]).encode()))
+        _, spans, _, refused = secrets.find(text, max_layer=10_000)
+        assert refused == 1 and [s for s in spans if s[0] == 1] == [(1, 0, len(text))]
+
+
 def test_cycles_and_bombs_end():
     raw = "%25" * 2000 + "41"
     assert secrets.find(raw)[2] < 10_000
