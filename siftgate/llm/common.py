@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import LongType, StructField, StructType
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from siftgate.sources.storage import scratch, ship
 
@@ -39,8 +41,44 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame) -> StructType:
-    return StructType([StructField("row_id", LongType()), *df.schema.fields])
+def kept_as(df: DataFrame, path: str) -> DataFrame:
+    """As :func:`written`, to a folder the caller has named with ``scratch`` and will drop."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A row's number in its part lies below this bit of ``monotonically_increasing_id``, the part above.
+_PART = 33
+
+
+def ranked(df: DataFrame, by: list, name: str) -> DataFrame:
+    """The rows with ``part`` and ``position``, their place (from 0) in the ascending order of ``by``, nulls first.
+
+    Rows equal in ``by`` come in any order, and their number in the table is the last key of the
+    range partitions: a value that many rows share is dealt to many parts, and no task sorts more
+    than its share. The one window over everything has a row per part. ``df`` should be a written
+    table; the ordered rows are written, so positions stay what they are if executors are lost.
+    """
+    tie = F.monotonically_increasing_id()
+    ordered = df.withColumn("_tie", tie).repartitionByRange(*by, "_tie").sortWithinPartitions(*by, "_tie")
+    rows = written(ordered.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), name).withColumn("part", F.shiftright("_at", _PART))
+    sizes = rows.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    position = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << _PART) - 1))
+    return rows.join(before, "part").withColumn("position", position).drop("_at", "_before")
+
+
+def slices(batch: pa.RecordBatch, name: str, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices with about ``most`` bytes in column ``name``; a longer value has a slice of its own."""
+    size = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at, held = 0, 0
+    for k, n in enumerate(size.tolist()):
+        if k > at and held + n > most:
+            yield batch.slice(at, k - at)
+            at, held = k, 0
+        held += n
+    if at < batch.num_rows:
+        yield batch.slice(at)
 
 
 def column_bytes(batch: pa.RecordBatch, name: str) -> Iterator[bytes | None]:

@@ -9,14 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgate.llm import bpe, decontamination, language, lm_scoring, near_dedup, quality, secrets, token_files, url_filter, winnowing
+from siftgate.llm import bpe, decontamination, language, lm_scoring, manifest, near_dedup, packing, periodic_runs, quality, secrets, token_files, url_filter, winnowing
 from siftgate.llm.common import table
+from siftgate.operators.layout import settle
 
 TIKTOKEN_RANKS = "byte_bpe_multi_50k.tiktoken"
 TOKENIZER_JSON = "byte_bpe_50k.json"
+WORD_TOKENIZER_JSON = "word_bpe_49k.json"
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,6 +88,57 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path(WORD_TOKENIZER_JSON)) as f:
+        description = f.read()
+    pieces = packing.pieces(table(spark, sf_dir, "documents"), description)
+    digests = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+    return packing.place(digests)
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """Texts with planted runs: the words of one document in ten go round and round from some word on."""
+
+    def text(w: Column) -> Column:
+        n, g = F.size(w), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        again = F.transform(F.sequence(F.lit(0), (n - a - 1).cast("int")), lambda k: F.get(w, (a + k % p).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, 1, a.cast("int")), again), " "))
+
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    planted = F.get(F.transform(F.array(words), text), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(looped(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("best.length * 1000 div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    touched = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    tampered = F.when(touched, manifest.digest(*[lowered if f == "text" else F.col(f) for f in manifest.FIELDS]))
+    proved = manifest.manifest(docs, carry={"tampered": tampered})
+    proof = F.array_join(F.col("proof.siblings"), "")
+    back = manifest.folded(F.coalesce("tampered", "leaf"), F.col("proof"))
+    found = proved.select("doc_id", "leaf", "subroot", "root", F.sha2(proof, 256).alias("proof_sha256"), back.alias("folded_root"))
+    return settle(found, "folded_root").withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_near_dedup": op2_near_dedup,
@@ -97,6 +150,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_token_files": op9_token_files,
     "op10_url_filter": op10_url_filter,
+    "op11_packing": op11_packing,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_manifest": op13_manifest,
 }
 
 _LOW = "translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
