@@ -8,6 +8,7 @@ watermark.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import gcd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from siftgate.operators import screening
 from siftgate.operators.events import normal_layer
 from siftgate.operators.guarding import guard
 from siftgate.sources.corpora import blocked_only, post_events
+from siftgate.sources.storage import delete_folder
+from siftgate.streaming.stateful import microseconds, newest_per_key, stream_wide_sessions
 
 
 def screen_stream(docs: DataFrame, **options) -> DataFrame:
@@ -54,6 +57,11 @@ def tumbling_counts(
     )
 
 
+def _pane(width: str, slide: str) -> str:
+    """The longest pane that windows of ``width``, begun every ``slide``, are made of."""
+    return f"{gcd(microseconds(width), microseconds(slide))} microseconds"
+
+
 def rolling_metrics(
     events: DataFrame,
     width: str = "24 hours",
@@ -61,8 +69,15 @@ def rolling_metrics(
     lateness: str = "10 minutes",
     ts: str = "ts",
 ) -> DataFrame:
+    """Verdicts in windows of ``width``, one every ``slide``.
+
+    Events are counted once, in panes; a closed pane (one row) goes into the windows that cover it.
+    State holds a row per open pane and a row per open window, and no event is copied.
+    """
     rows = events.withWatermark(ts, lateness)
-    return _edges(rows.groupBy(F.window(ts, width, slide)).agg(*_verdict_counts()))
+    panes = rows.groupBy(F.window(ts, _pane(width, slide))).agg(*_verdict_counts())
+    counts = [F.sum(c).alias(c) for c in ("total", "blocked", "modified")]
+    return _edges(panes.groupBy(F.window(F.window_time("window"), width, slide)).agg(*counts))
 
 
 def incident_sessions(
@@ -74,19 +89,20 @@ def incident_sessions(
 ) -> DataFrame:
     """Runs of blocked events less than ``gap`` apart, over the whole stream or per ``by``.
 
-    A stream-wide session has one key, so each task first merges its own rows into sessions and
-    only those reach the one state holder: its input is sessions per task, not events.
+    Stream-wide sessions are merged per time bucket, and then at the edges of buckets (see
+    :mod:`siftgate.streaming.stateful`). Sessions per key first merge in each task, so a key's
+    state holder gets sessions, not events.
     """
+    if not by:
+        return _edges(stream_wide_sessions(blocked_only(events), gap, lateness, ts))
     events.sparkSession.conf.set(
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
     )
     rows = blocked_only(events).withWatermark(ts, lateness)
-    # "verdict" is constant here: a streaming session needs some key next to its window
-    keys = list(by) or ["verdict"]
-    out = rows.groupBy(F.session_window(ts, gap).alias("window"), *keys).agg(
+    out = rows.groupBy(F.session_window(ts, gap).alias("window"), *by).agg(
         F.count(F.lit(1)).alias("blocked")
     )
-    return _edges(out if by else out.drop("verdict"))
+    return _edges(out)
 
 
 def running_totals(events: DataFrame) -> DataFrame:
@@ -130,29 +146,56 @@ def alert_feed(
 
 
 def latest_feed(
-    events: DataFrame, path: str, checkpoint: str, n: int = 500, ts: str = "ts", id: str = "id"
+    events: DataFrame,
+    path: str,
+    checkpoint: str,
+    n: int = 500,
+    ts: str = "ts",
+    id: str = "id",
+    by: Sequence[str] = (),
+    idle: str | None = None,
+    shards: int = 8,
 ) -> StreamingQuery:
-    """Keep the newest ``n`` events in a table: each batch is merged with the stored ones.
+    """Keep the newest ``n`` events, of the stream or of each ``by``, in a table.
 
-    Every batch writes a new version folder and reads the one before, so a lost executor or a
-    retried batch never reads what it is overwriting.
+    Keyed state holds ``n`` events per key (per shard of the ids without ``by``). A batch writes the
+    table anew as a version of its own, from the version before it and the keys that changed, and
+    removes the one before that: two versions are stored however long the stream runs, and a
+    batch that is run again after a failure still finds what it reads. With ``idle``, keys without
+    events for so long leave the table.
     """
     spark = events.sparkSession
+    shard = F.pmod(F.xxhash64(id), F.lit(shards)).cast("int")
+    keys = list(by) or ["_shard"]
+
+    def keyed(df: DataFrame) -> DataFrame:
+        return df if by else df.withColumn("_shard", shard)
 
     def deliver(batch: DataFrame, batch_id: int) -> None:
-        merged = batch
-        if batch_id > 0:
-            merged = merged.unionByName(
-                spark.read.schema(batch.schema).parquet(f"{path}/v{batch_id - 1}")
-            )
-        merged = merged.orderBy(F.col(ts).desc(), F.col(id).desc()).limit(n)
-        merged.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        changed = batch.persist()
+        try:
+            held = changed.select(F.inline("events"))
+            if batch_id > 0:
+                before = keyed(read_latest(spark, path, batch_id - 1, events.schema))
+                same = [before[c].eqNullSafe(changed[c]) for c in keys]
+                held = held.unionByName(before.join(changed, same, "left_anti").select(*held.columns))
+            if not by:
+                held = held.orderBy(F.col(ts).desc(), F.col(id).desc()).limit(n)
+            held.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        finally:
+            changed.unpersist()
+        if batch_id > 1:
+            delete_folder(spark, f"{path}/v{batch_id - 2}")
 
-    return drain(events.writeStream.foreachBatch(deliver), checkpoint)
+    newest = newest_per_key(keyed(events), keys, n, ts, id, idle)
+    if not by:
+        newest = newest.withColumn("events", F.transform("events", lambda e: e.dropFields("_shard")))
+    return drain(newest.writeStream.outputMode("update").foreachBatch(deliver), checkpoint)
 
 
-def read_latest(spark, path: str, last_batch: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{last_batch}")
+def read_latest(spark, path: str, last_batch: int, schema=None) -> DataFrame:
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(f"{path}/v{last_batch}")
 
 
 def to_files(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:

@@ -1,9 +1,12 @@
+import os
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from siftgate.operators import events as ev
 from siftgate.streaming import jobs
+from siftgate.streaming.stateful import stream_wide_sessions
 
 START = datetime(2024, 3, 1)
 SCHEMA = "id long, ts timestamp, layer string, verdict string, source_id string"
@@ -48,6 +51,79 @@ def test_sessions_match_gaps(spark, tmp_path):
     assert [r["blocked"] for r in rows] == [3, 2]
 
 
+def sessions_by_hand(minutes, gap=30):
+    out = []
+    for m in sorted(minutes):
+        if out and m - out[-1][1] < gap:
+            out[-1] = (out[-1][0], m, out[-1][2] + 1)
+        else:
+            out.append((m, m, 1))
+    return [(a, b + gap, n) for a, b, n in out]
+
+
+def test_sessions_over_many_buckets(spark, tmp_path):
+    """Two-level sessions: some span three and more buckets, some end on an edge, rows come in any order and late."""
+    rng = random.Random(13)
+    minutes = [m for start, end in ((0, 400), (460, 470), (600, 1500), (1560, 1561)) for m in range(start, end, 7)] + [480 + 120 * k for k in range(1, 4)]
+    minutes += [rng.randrange(2000, 5000) for _ in range(60)]
+    first, second = [m for m in minutes if m < 1200], [m for m in minutes if m >= 1195]
+    rng.shuffle(first)
+    feed = Feed(spark, tmp_path)
+    for part in (first, [1, 2, 1196, *second], [3, 20_000]):  # 1, 2 and 3 are behind the watermark by then
+        feed.push(events(spark, part).repartition(3))
+        out = stream_wide_sessions(feed.stream(), "30 minutes", "10 minutes", buckets="2 hours")
+        jobs.to_files(jobs._edges(out), feed.out, feed.mark).awaitTermination()
+    rows = spark.read.parquet(feed.out).orderBy("start").collect()
+    at = [((r["start"] - START) // timedelta(minutes=1), (r["end"] - START) // timedelta(minutes=1), r["blocked"]) for r in rows]
+    assert at == sessions_by_hand([*first, 1196, *second])
+
+
+def test_stream_wide_sessions_are_dealt_by_bucket(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    feed.push(events(spark, [0]))
+    plan = jobs.incident_sessions(feed.stream())._jdf.queryExecution().analyzed().toString()
+    assert plan.count("TransformWithState") == 2 and "SessionWindow" not in plan and "session_window" not in plan
+
+
+def test_latest_feed_is_bounded_and_restarts(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    want, last = {}, None
+    for k, minutes in enumerate(([1, 5, 3], [4, 2], [9], [1500, 8, 7], [5000])):
+        layer = "even" if k % 2 == 0 else "odd"
+        feed.push(events(spark, minutes).withColumn("layer", F.lit(layer)))
+        want[layer] = sorted([*want.get(layer, []), *minutes], reverse=True)[:2]
+        query = jobs.latest_feed(feed.stream(), feed.out, feed.mark, n=2, by=["layer"], idle="2 days")
+        query.awaitTermination()
+        last = query.lastProgress["batchId"]
+    assert want["odd"] == [1500, 8]  # two days and more before the newest by now
+    want["odd"] = []
+    rows = jobs.read_latest(spark, feed.out, last).collect()
+    got = {x: sorted(((r["ts"] - START) // timedelta(minutes=1) for r in rows if r["layer"] == x), reverse=True) for x in want}
+    assert got == want
+    assert sorted(os.listdir(feed.out)) == [f"v{last - 1}", f"v{last}"]
+
+
+def test_rolling_state_is_a_row_per_pane(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    feed.push(events(spark, [*range(0, 240)] * 5))
+    query = jobs.to_files(jobs.rolling_metrics(feed.stream(), "4 hours", "1 hour"), feed.out, feed.mark)
+    query.awaitTermination()
+    inserted = [sum(p["stateOperators"][k]["numRowsUpdated"] for p in query.recentProgress) for k in (0, 1)]
+    assert sorted(inserted)[0] <= 12 and sorted(inserted)[1] <= 16  # windows, panes of four hours; not 1200 rows, not 4800 copies
+    rows = {(r["start"] - START) // timedelta(hours=1): r["total"] for r in spark.read.parquet(feed.out).collect()}
+    assert rows == {-3: 300, -2: 600, -1: 900}
+
+
+def test_rolling_with_odd_widths(spark, tmp_path):
+    feed = Feed(spark, tmp_path)
+    minutes = [0, 10, 29, 30, 31, 59, 60, 75, 100, 400]
+    feed.push(events(spark, minutes))
+    jobs.to_files(jobs.rolling_metrics(feed.stream(), "45 minutes", "30 minutes"), feed.out, feed.mark).awaitTermination()
+    rows = {(r["start"] - START) // timedelta(minutes=1): r["total"] for r in spark.read.parquet(feed.out).collect()}
+    want = {s: n for s in range(-30, 346, 30) if (n := sum(s <= m < s + 45 for m in minutes))}
+    assert rows == want
+
+
 def test_latest_feed_equals_batch(spark, tmp_path):
     feed = Feed(spark, tmp_path)
     last = None
