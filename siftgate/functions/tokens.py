@@ -48,7 +48,7 @@ def forms(ord: Column, source_name: Column, token: Column) -> Column:
         source_name.alias("source_name"),
         token.alias("token"),
         F.lower(token).alias("folded"),
-        F.base64(raw).alias("b64"),
+        F.translate(F.base64(raw), "\r\n", "").alias("b64"),  # without the line ends of mail
         F.lower(F.hex(raw)).alias("hexed"),
         F.reverse(token).alias("backwards"),
         squeezed(token).alias("squeezed"),

@@ -1,18 +1,23 @@
 """Canary registries and leak analytics.
 
-A text is matched in two steps, both in the JVM. Every form of a token holds an *anchor*: the run of
-``GRAM`` characters, of its squeezed lower-case view, that is rarest among the registry's forms. The
-document's own runs are an array; those that are anchors name the few tokens worth a full look,
-which :func:`siftgate.functions.tokens.match_kind` then takes.
-
-A registry of at most ``PLAN_BYTES`` of forms travels in the plan and nothing is shuffled. A larger
-one stays a table: runs that pass a bit map of all anchors (fixed size) are joined with it, and the
-document, which was read once and rides with its first run, is put together again by a row number.
+A text is matched in two steps, both in the JVM. Every form of a token holds an *anchor*: a run of
+``GRAM`` characters of its squeezed lower-case view (``SHORT_GRAM`` for forms shorter than that),
+one that begins with a character texts seldom use and is rare among the registry's forms. Of a
+document only the runs that begin with such a character are looked at; those that are anchors name
+the few tokens worth a full look, which :func:`siftgate.functions.tokens.match_kind` then takes.
+
+A registry of at most ``PLAN_BYTES`` of forms travels in the plan and nothing is shuffled. Any
+other stays a table (:func:`leak_pairs`): a Bloom filter of all anchors, built by an aggregate,
+leaves out documents without a candidate before anything is exploded; of the rest, excerpts around
+candidates, bounded by the longest form, meet the registry on salted anchors. No document's text and
+no row without an anchor is shuffled, and documents are read once.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterable, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,10 +27,16 @@ from siftgate.functions import tokens as K
 from siftgate.functions.text import WS, let, require_string, strip
 from siftgate.operators.layout import settle
 from siftgate.options import OptionError
+from siftgate.sources.storage import scratch
 
-GRAM = 8
+GRAM, SHORT_GRAM = 8, 3
 PLAN_BYTES = 1024 * 1024
 MAP_BITS = 1 << 24  # at most; 64 bits per anchor below that
+MANY_FIRSTS = 64  # with more first characters than this, every run is looked at
+EXCERPT = 1024
+SALTS = 16
+#: Letters from the seldom to the common; runs that begin with anything else are seldom still.
+SELDOM = "qzjxkvbpgwyfmculdrhsnioate"
 HIT_TYPE = T.ArrayType(
     T.StructType(
         [
@@ -43,8 +54,36 @@ def _view(text: Column) -> Column:
     return F.translate(F.lower(K.squeezed(text)), "ς", "σ")
 
 
-def _grams(view: Column) -> Column:
-    return F.regexp_extract_all(view, F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+def _grams(view: Column, size: int) -> Column:
+    return F.regexp_extract_all(view, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1))
+
+
+@cache
+def _spellings() -> dict[str, list[str]]:
+    """Characters by the first character of their lower case, where that is another one."""
+    found: dict[str, list[str]] = {"σ": ["ς"]}
+    for c in map(chr, range(0x41, 0x1F000)):
+        low = c.lower()
+        if low != c:
+            found.setdefault(low[0], []).append(c)
+    return found
+
+
+def _text_grams(text: Column, firsts: Sequence[str] | None, size: int) -> Column:
+    """The runs of a text's view that begin with one of ``firsts`` (any character if None), cut from the text itself."""
+    gap = f"{WS}.\\-_"
+    if firsts is None:
+        begin = f"[^{gap}]"
+    else:
+        every = sorted({c for f in firsts for c in (f, *_spellings().get(f, []))})
+        begin = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in every) + "]"
+    runs = F.regexp_extract_all(text, F.lit(rf"(?s)(?=({begin}(?:[{gap}]*+[^{gap}]){{{size - 1}}}))"), F.lit(1))
+    return F.transform(runs, lambda g: F.left(_view(g), F.lit(size)))
+
+
+def _first_characters(anchors: Iterable[str]) -> list[str] | None:
+    firsts = sorted({a[0] for a in anchors})
+    return firsts if len(firsts) <= MANY_FIRSTS else None
 
 
 def _forms(registry: DataFrame, encoding_resistant: bool) -> DataFrame:
@@ -55,12 +94,16 @@ def _forms(registry: DataFrame, encoding_resistant: bool) -> DataFrame:
     )
     names = ("token", "b64", "hexed", "backwards") if encoding_resistant else ("token",)
     needles = F.array(*[F.col(f"f.{n}") for n in names])
-    runs = forms.select("f", F.posexplode(needles).alias("i", "needle")).select(
-        "f", "i", F.explode_outer(F.array_distinct(_grams(_view(F.col("needle"))))).alias("gram")
-    )
+    views = forms.select("f", F.posexplode(needles).alias("i", "needle")).withColumn("view", _view(F.col("needle")))
+    size = F.when(F.length("view") >= GRAM, F.lit(GRAM)).otherwise(F.lit(SHORT_GRAM))
+    grams = F.when(size == GRAM, _grams(F.col("view"), GRAM)).otherwise(_grams(F.col("view"), SHORT_GRAM))
+    # a dot that lower-casing has added begins no run of a text, nor does half of a character
+    usable = F.filter(F.array_distinct(grams), lambda g: ~F.startswith(g, F.lit("\u0307")) & F.contains("view", g))
+    runs = views.select("f", "i", F.explode_outer(usable).alias("gram"))
     counts = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.instr(F.lit(SELDOM), F.left("gram", F.lit(1)))
     best = runs.join(counts, "gram", "left").groupBy("f", "i").agg(
-        F.min(F.struct("n", "gram")).getField("gram").alias("anchor")
+        F.min(F.when(F.col("gram").isNotNull(), F.struct(rank.alias("rank"), "n", "gram"))).getField("gram").alias("anchor")
     )
     found = best.groupBy("f").agg(
         F.collect_set("anchor").alias("anchors"),
@@ -107,75 +150,130 @@ def leak_hits(
     require_string(registry, "token")
     size = F.sum(F.length(F.col("token")) * 10).alias("b")  # six forms, of which some are longer
     total = registry.agg(size).first()["b"] or 0
-    forms = _forms(registry, encoding_resistant)
     if total > plan_bytes:
-        return _joined_hits(docs, forms, text, encoding_resistant)
-    rows = forms.collect()
+        return _joined_hits(docs, registry, text, encoding_resistant)
+    rows = _forms(registry, encoding_resistant).collect()
     none = F.when(F.col(text).isNotNull(), F.array().cast(HIT_TYPE))
     if not rows:
         return docs.withColumn("hits", none)
-    anchors = sorted({a for r in rows for a in r["anchors"]})
-    known = F.from_json(F.lit(json.dumps(anchors)), "array<string>")
-    out = settle(
-        docs.withColumn("_anchors", F.array_intersect(_grams(_view(F.col(text))), known)), "_anchors"
-    )
+    found = F.array().cast("array<string>")
+    for size in (GRAM, SHORT_GRAM):
+        anchors = sorted({a for r in rows for a in r["anchors"] if len(a) == size})
+        if anchors:
+            known = F.from_json(F.lit(json.dumps(anchors)), "array<string>")
+            found = F.array_union(found, F.array_intersect(_text_grams(F.col(text), _first_characters(anchors), size), known))
+    out = settle(docs.withColumn("_anchors", found), "_anchors")
     near = F.filter(_literal(rows), lambda f: f["short"] | F.arrays_overlap(f["anchors"], F.col("_anchors")))
     worth = F.lit(any(r["short"] for r in rows)) | (F.size("_anchors") > 0)
     found = F.when(F.col(text).isNotNull() & worth, _matches(near, F.col(text), encoding_resistant))
     return settle(out.withColumn("hits", F.coalesce(found, none)), "hits").drop("_anchors")
 
 
-def _bit_map(forms: DataFrame) -> tuple[Column, int]:
-    """A constant bit map of all anchors' hashes, and its number of bits (a power of two)."""
-    anchors = forms.select(F.explode("anchors").alias("a")).distinct()
+def _bit_map(keys: DataFrame) -> Callable[[Column], Column]:
+    """A test of a string: false means it is not among ``keys`` (one column ``a``). A Bloom filter of fixed size."""
     bits = 1 << 16
-    while bits < min(MAP_BITS, 64 * anchors.count()):
+    while bits < min(MAP_BITS, 64 * keys.count()):
         bits *= 2
     words = (
-        anchors.select(F.explode(_places(F.col("a"), bits)).alias("p"))
+        keys.select(F.explode(_places(F.col("a"), bits)).alias("p"))
         .groupBy(F.shiftright("p", 6).alias("w"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("v"))
         .collect()
     )
     values = dict(words)
-    text = ",".join(str(values.get(w, 0)) for w in range(bits // 64))
-    return F.split(F.lit(text), ",").cast("array<bigint>"), bits
+    held = F.split(F.lit(",".join(str(values.get(w, 0)) for w in range(bits // 64))), ",").cast("array<bigint>")
 
+    def on(p: Column) -> Column:
+        return F.getbit(F.get(held, F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1
 
-def _places(gram: Column, bits: int) -> Column:
-    h = F.xxhash64(gram)
-    return F.array(h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1)))
+    return lambda key: F.forall(_places(key, bits), on)
 
 
-def _joined_hits(docs, forms, text, encoding_resistant) -> DataFrame:
-    """Hits of a registry too large for the plan: one scan of the documents, one join on anchors."""
-    forms = forms.withColumn("f", F.struct(*[c.split(":")[0] for c in _form_fields()]))
-    table, bits = _bit_map(forms)
-    short = forms.where("short").select("f").collect()  # tokens of under GRAM characters
+def _places(key: Column, bits: int) -> Column:
+    hashes = [F.xxhash64(F.lit(seed), key) for seed in range(2)]
+    return F.array(*[part.bitwiseAND(F.lit(bits - 1)) for h in hashes for part in (h, F.shiftrightunsigned(h, 32))])
 
-    def marked(gram: Column) -> Column:
-        def on(p: Column) -> Column:
-            return F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1
 
-        return F.forall(_places(gram, bits), on)
+def _excerpts(text: Column, longest: int) -> Column:
+    """The text in pieces that overlap by ``longest`` characters, so that each form lies whole in one of them."""
+    size = max(EXCERPT, 2 * longest)
 
-    held = docs.withColumn("_row", F.monotonically_increasing_id()).withColumn(
-        "_anchors", F.array_distinct(F.filter(_grams(_view(F.col(text))), marked))
-    )
-    whole = F.struct(*[F.col(c) for c in docs.columns])
-    runs = settle(held, "_anchors").select("_row", whole.alias("_doc"), F.posexplode_outer("_anchors").alias("_i", "_gram"))
-    runs = runs.withColumn("_doc", F.when(F.coalesce("_i", F.lit(0)) == 0, F.col("_doc")))
-    anchored = forms.select(F.explode("anchors").alias("_gram"), "f")
-    met = runs.join(anchored, "_gram", "left").groupBy("_row").agg(
-        F.first("_doc", ignorenulls=True).alias("_doc"), F.collect_set("f").alias("_near")
-    )
-    near = F.col("_near")
-    if short:
-        near = F.array_union(near, F.transform(_literal([r["f"] for r in short]), lambda f: F.struct(*[f[c.split(":")[0]].alias(c.split(":")[0]) for c in _form_fields()])))
-    ordered = F.array_sort(near)
-    own = F.col(f"_doc.{text}")
-    found = F.when(own.isNotNull(), _matches(ordered, own, encoding_resistant))
-    return settle(met.withColumn("hits", found), "hits").select("_doc.*", "hits")
+    def overlapping(parts: Column) -> Column:
+        return F.transform(parts, lambda c, i: F.concat(c, F.coalesce(F.left(F.get(parts, i + 1), F.lit(longest)), F.lit(""))))
+
+    cut = let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{size}}}"), F.lit(0)), overlapping)
+    # the lower case of a capital sigma depends on what follows it: such texts stay whole
+    whole = (F.length(text) <= size) | F.contains(text, F.lit("Σ"))
+    return F.when(whole, F.array(text)).otherwise(cut)
+
+
+def leak_pairs(
+    docs: DataFrame, registry: DataFrame, id: str = "doc_id", text: str = "text", encoding_resistant: bool = True
+) -> DataFrame:
+    """``(id, ord, source_name, token, kind)``: one row per document and token it leaks, for a registry of any size.
+
+    Rows with equal ids count as one document. Tokens with a form of under ``SHORT_GRAM``
+    characters have no anchor and are tried on every document; they travel in the plan.
+    """
+    require_string(docs, text)
+    require_string(registry, "token")
+    pairs = _pairs(docs.select(F.col(id).alias("_id"), F.col(text).alias("_text")), registry, encoding_resistant)
+    return pairs.select(F.col("_id").alias(id), "ord", "source_name", "token", "kind")
+
+
+def _pairs(docs: DataFrame, registry: DataFrame, encoding_resistant: bool) -> DataFrame:
+    """As :func:`leak_pairs`, of ``(_id, _text)``."""
+    forms = _forms(registry, encoding_resistant)
+    names = [part.split(":")[0] for part in _form_fields() if not part.startswith(("anchors", "short"))]
+    table = forms.select(F.struct(*names).alias("f"), "anchors", "short")
+    anchored = table.select("f", F.explode("anchors").alias("_gram"))
+    # a spaced form has up to three separators between its characters
+    size = F.greatest(4 * F.length("token"), F.length("b64"), F.length("hexed"))
+    told = forms.agg(F.max(size).alias("longest"), F.count_if("short").alias("n_short")).first()
+    longest = told["longest"] or 1
+    firsts = anchored.groupBy(F.length("_gram").alias("size")).agg(F.collect_set(F.left("_gram", F.lit(1))).alias("firsts")).collect()
+    marked = _bit_map(anchored.select(F.col("_gram").alias("a")).distinct())
+
+    def candidates(t: Column) -> Column:
+        grams = [_text_grams(t, _first_characters(r["firsts"]), r["size"]) for r in firsts]
+        return F.array_distinct(F.filter(F.concat(*grams), marked)) if grams else F.array().cast("array<string>")
+
+    near = docs.where(F.size(candidates(F.col("_text"))) > 0)
+    parts = near.select("_id", F.explode(_excerpts(F.col("_text"), longest)).alias("_part"))
+    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).alias("_salt")
+    runs = parts.select("_id", "_part", salt, F.explode(candidates(F.col("_part"))).alias("_gram"))
+    salted = anchored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    met = runs.join(salted, ["_gram", "_salt"])
+    text = F.col("_part")
+    kind = K.match_kind(F.col("f"), text, F.lower(text), K.squeezed(text), encoding_resistant)
+    found = settle(met.select("_id", F.struct("f.ord", "f.source_name", "f.token").alias("t"), kind.alias("kind")), "kind")
+    if told["n_short"]:
+        tiny = _literal([r["f"] for r in table.where("short").select("f").collect()])
+        tried = docs.where("_text IS NOT NULL").select("_id", F.explode_outer(_matches(tiny, F.col("_text"), encoding_resistant)).alias("h"))
+        found = found.unionByName(tried.select("_id", F.struct("h.ord", "h.source_name", "h.token").alias("t"), "h.kind"))
+    order = F.array_position(F.array(*[F.lit(k) for k in K.KINDS]), F.col("kind"))
+    first = found.where("kind IS NOT NULL").groupBy("_id", "t").agg(F.min(F.struct(order.alias("o"), "kind")).alias("k"))
+    return first.select("_id", "t.*", "k.kind")
+
+
+def _joined_hits(docs: DataFrame, registry: DataFrame, text: str, encoding_resistant: bool) -> DataFrame:
+    """Hits of a registry too large for the plan, brought back by the digest of the text.
+
+    Texts are read once for the pairs. A second Bloom filter, of the digests that have hits, keeps
+    documents without any out of the join.
+    """
+    digest = F.sha2(F.col(text), 256)
+    pairs = _pairs(docs.where(F.col(text).isNotNull()).select(digest.alias("_id"), F.col(text).alias("_text")), registry, encoding_resistant)
+    path = scratch(docs.sparkSession, "leaks")
+    pairs.write.parquet(path)
+    kept = docs.sparkSession.read.schema(pairs.schema).parquet(path)
+    hit = F.struct("ord", "source_name", "token", "kind")
+    hits = kept.groupBy("_id").agg(F.array_sort(F.collect_list(hit)).cast(HIT_TYPE).alias("hits"))
+    may = F.coalesce(_bit_map(kept.select(F.col("_id").alias("a")).distinct())(digest), F.lit(False))
+    none = F.when(F.col(text).isNotNull(), F.array().cast(HIT_TYPE))
+    clean = docs.where(~may).withColumn("hits", none)
+    rest = docs.where(may).withColumn("_id", digest).join(hits, "_id", "left")
+    return clean.unionByName(rest.withColumn("hits", F.coalesce("hits", none)).drop("_id"))
 
 
 def _form_fields() -> list[str]:

@@ -151,8 +151,7 @@ def leak_check_thousands(spark, sf):
         .otherwise("tk_none")
     )
     planted = docs.join(a, "a", "left").join(b, "b", "left").select("doc_id", F.concat("text", F.lit(" "), extra).alias("text"))
-    hits = leaks.leak_hits(planted.where(F.col("text").isNotNull()), keys.select("source_name", "token"))
-    return leaks.hit_rows(hits).select("doc_id", "token", "kind")
+    return leaks.leak_pairs(planted, keys.select("source_name", "token")).select("doc_id", "token", "kind")
 
 
 @PLAN.add(

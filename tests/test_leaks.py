@@ -51,6 +51,51 @@ def test_every_path_matches_brute_force(spark, texts, sample, plan_bytes):
         assert row["leaked"] == bool(want)
 
 
+ODD_TOKENS = [*TOKENS, "İstanbul", "ΟΔΟΣ ΑΣ", "x.y", "ab", "Kelvin\u212a-sign", "abc-d", "q" * 40, "z9" * 300]
+
+
+def test_pairs_of_a_large_registry(spark):
+    """No text leaves its row, no row has a null key, documents are read once; long texts and odd characters included."""
+    rng = random.Random(8)
+    filler = [f"word{i}" for i in range(300)]
+    rows = []
+    for k in range(250):
+        parts = [rng.choice(filler) for _ in range(rng.choice([3, 30, 1500]))]
+        for _ in range(rng.randrange(4)):
+            parts.insert(rng.randrange(len(parts)), encoded(rng.choice(ODD_TOKENS), rng))
+        rows.append((k, " ".join(parts)))
+    rows += [(250, None), (251, ""), (252, "ΟΔΟΣ ΑΣ " + "word " * 800), (253, "hot " + TOKENS[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = [(i, f"s{i}", t) for i, t in enumerate(ODD_TOKENS)]
+    registry = spark.createDataFrame([*names, *[(100 + i, f"t{i}", f"unseen-token-{i:05d}") for i in range(2000)]], "ord int, source_name string, token string")
+    got = leaks.leak_pairs(docs, registry)
+    want = {(k, i, kind) for k, text in rows if text is not None for i, t in enumerate(ODD_TOKENS) if (kind := leak_kind(text, t))}
+    found = [(r["doc_id"], r["ord"], r["kind"]) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == want and len(want) > 200
+    hits = leaks.hit_rows(leaks.leak_hits(docs, registry, plan_bytes=0)).collect()
+    assert {(r["doc_id"], r["ord"], r["kind"]) for r in hits} == want
+
+
+def test_pairs_shuffle_no_text_and_read_documents_once(spark, tmp_path):
+    spark.range(500).selectExpr("id AS doc_id", "concat('plain words ', id) AS text").write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    registry = spark.createDataFrame([(i, f"t{i}", f"some-token-{i:05d}") for i in range(300)], "ord int, source_name string, token string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = leaks.leak_pairs(docs, registry)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("Scan parquet") == 1
+    joins = [line for line in plan.splitlines() if "Join" in line and "_gram" in line]
+    assert joins and all("_salt" in line and "Inner" in line for line in joins)
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning" in line:
+            assert "_text" not in line and "text#" not in line
+    assert "_text#" in plan or "text#" in plan
+    assert out.count() == 0
+
+
 def test_encodings_can_be_switched_off(spark, texts):
     registry = spark.createDataFrame([(0, "a", "secret-token")], "ord int, source_name string, token string")
     df = texts(["secret-token", "SECRET-TOKEN"])
