@@ -55,6 +55,13 @@ def micros(when: datetime) -> int:
     return (when - datetime(1970, 1, 1)) // timedelta(microseconds=1)
 
 
+def tally(weight: str | None, when: Column | None = None) -> Column:
+    """Rows, or what the column ``weight`` says rows stand for, where ``when`` holds."""
+    if weight is None:
+        return F.count(F.lit(1)) if when is None else F.count_if(when)
+    return F.coalesce(F.sum(weight if when is None else F.when(when, F.col(weight))), F.lit(0).cast("long"))
+
+
 def query_events(
     log: DataFrame,
     layer: str | None = None,
@@ -85,14 +92,17 @@ def _recent(log: DataFrame, as_of: datetime, hours: float, ts: str) -> DataFrame
     return log.where(since(log, ts, as_of - timedelta(hours=hours)))
 
 
-def metrics(log: DataFrame, as_of: datetime, hours: float = 24, ts: str = "ts") -> DataFrame:
-    """Counts by layer, by verdict and overall from one pass: ``(level, key, total, blocked)``."""
-    rows = _recent(log, as_of, hours, ts).select("layer", "verdict")
+def metrics(log: DataFrame, as_of: datetime, hours: float = 24, ts: str = "ts", weight: str | None = None) -> DataFrame:
+    """Counts by layer, by verdict and overall from one pass: ``(level, key, total, blocked)``.
+
+    Here and below ``weight`` names a column that says how many events a row stands for.
+    """
+    rows = _recent(log, as_of, hours, ts).select("layer", "verdict", *([weight] if weight else []))
     out = rows.groupingSets([["layer"], ["verdict"], []], "layer", "verdict").agg(
         F.grouping("layer").alias("_gl"),
         F.grouping("verdict").alias("_gv"),
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("verdict") == "blocked").alias("blocked"),
+        tally(weight).alias("total"),
+        tally(weight, F.col("verdict") == "blocked").alias("blocked"),
     )
     counted = out.select(
         F.when(F.col("_gl") == 0, "layer")
@@ -131,6 +141,7 @@ def timeseries(
     buckets: int = 24,
     layer: str | None = None,
     ts: str = "ts",
+    weight: str | None = None,
 ) -> DataFrame:
     """``buckets`` equal half-open buckets up to ``as_of``, zero-filled.
 
@@ -147,9 +158,9 @@ def timeseries(
         rows = rows.where(F.col("layer") == layer)
     slot = F.floor((epoch_us(log, ts) - F.lit(start)) / F.lit(size)).cast("int")
     counts = rows.groupBy(slot.alias("bucket")).agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("verdict") == "blocked").alias("blocked"),
-        F.count_if(F.col("verdict") == "modified").alias("modified"),
+        tally(weight).alias("total"),
+        tally(weight, F.col("verdict") == "blocked").alias("blocked"),
+        tally(weight, F.col("verdict") == "modified").alias("modified"),
     )
     zero = F.lit(0).cast("long")
     return _spine(log, start, size, buckets).join(counts, "bucket", "left").select(
@@ -210,7 +221,7 @@ def normal_layer(layer: Column) -> Column:
     )
 
 
-def reshape(log: DataFrame, ts: str = "ts") -> DataFrame:
+def reshape(log: DataFrame, ts: str = "ts", *keep: str) -> DataFrame:
     """Events as the dashboard reads them: epoch milliseconds, normal layer, filled defaults."""
     blank = F.lit("")
     return log.select(
@@ -222,6 +233,7 @@ def reshape(log: DataFrame, ts: str = "ts") -> DataFrame:
         F.coalesce("detail", blank).alias("detail"),
         F.round(F.coalesce("duration_ms", F.lit(0.0)), 0).cast("long").alias("duration_ms"),
         F.coalesce("layer", blank).alias("raw_layer"),
+        *keep,
     )
 
 
@@ -243,8 +255,8 @@ def search(
     return out
 
 
-def verdict_facets(events: DataFrame) -> DataFrame:
-    return events.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+def verdict_facets(events: DataFrame, weight: str | None = None) -> DataFrame:
+    return events.groupBy("verdict").agg(tally(weight).alias("n"))
 
 
 def timeline(log: DataFrame, as_of: datetime, ts: str = "ts") -> DataFrame:
@@ -252,7 +264,7 @@ def timeline(log: DataFrame, as_of: datetime, ts: str = "ts") -> DataFrame:
     return timeseries(log, as_of, hours=2, buckets=24, ts=ts).select("bucket", "total", "blocked")
 
 
-def layer_sparks(log: DataFrame, as_of: datetime, ts: str = "ts") -> DataFrame:
+def layer_sparks(log: DataFrame, as_of: datetime, ts: str = "ts", weight: str | None = None) -> DataFrame:
     """Counts per normal layer over the last fourteen minutes, on a full layer x minute grid.
 
     Ages run from ``as_of`` backwards: age 0 belongs to the last minute, fourteen is outside.
@@ -265,7 +277,7 @@ def layer_sparks(log: DataFrame, as_of: datetime, ts: str = "ts") -> DataFrame:
     counts = rows.groupBy(
         normal_layer(F.col("layer")).alias("layer"),
         (F.lit(13) - F.floor(age / F.lit(60 * US))).cast("int").alias("bucket"),
-    ).agg(F.count(F.lit(1)).alias("n"))
+    ).agg(tally(weight).alias("n"))
     grid = log.sparkSession.range(14).select(
         F.explode(F.array(*[F.lit(x) for x in LAYERS])).alias("layer"),
         F.col("id").cast("int").alias("bucket"),
@@ -275,11 +287,11 @@ def layer_sparks(log: DataFrame, as_of: datetime, ts: str = "ts") -> DataFrame:
     )
 
 
-def incident(log: DataFrame, as_of: datetime, ts: str = "ts") -> DataFrame:
+def incident(log: DataFrame, as_of: datetime, ts: str = "ts", weight: str | None = None) -> DataFrame:
     """Whether anything was blocked in the last thirty minutes, and how much."""
     window = since(log, ts, as_of - timedelta(minutes=30), inclusive=False)
     recent = log.where((F.col("verdict") == "blocked") & window)
-    return recent.agg(F.count(F.lit(1)).alias("blocked_recent")).select(
+    return recent.agg(tally(weight).alias("blocked_recent")).select(
         (F.col("blocked_recent") > 0).alias("incident"), "blocked_recent"
     )
 
@@ -289,20 +301,18 @@ def latest(log: DataFrame, n: int = 500, ts: str = "ts", id: str = "id") -> Data
 
 
 def layer_counts(
-    log: DataFrame, as_of: datetime, hours: float = 24, ts: str = "ts"
+    log: DataFrame, as_of: datetime, hours: float = 24, ts: str = "ts", weight: str | None = None
 ) -> DataFrame:
     rows = log.where(since(log, ts, as_of - timedelta(hours=hours), inclusive=False))
-    return rows.groupBy(normal_layer(F.col("layer")).alias("layer")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    return rows.groupBy(normal_layer(F.col("layer")).alias("layer")).agg(tally(weight).alias("n"))
 
 
-def stat_tiles(log: DataFrame, as_of: datetime, hours: float = 24, ts: str = "ts") -> DataFrame:
+def stat_tiles(log: DataFrame, as_of: datetime, hours: float = 24, ts: str = "ts", weight: str | None = None) -> DataFrame:
     layer = normal_layer(F.col("layer"))
     bad = F.col("verdict") == "blocked"
     return _recent(log, as_of, hours, ts).agg(
-        F.count(F.lit(1)).alias("processed"),
-        F.count_if(bad).alias("blocked"),
-        F.count_if(bad & (layer == "canary")).alias("canary"),
-        F.count_if(bad & (layer == "detection")).alias("detection"),
+        tally(weight).alias("processed"),
+        tally(weight, bad).alias("blocked"),
+        tally(weight, bad & (layer == "canary")).alias("canary"),
+        tally(weight, bad & (layer == "detection")).alias("detection"),
     )

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType
 
-from siftgate.plans import detection, evaluation, leaks, logs, stores, texts
+from siftgate.plans import detection, evaluation, event_store, leaks, logs, stores, texts
 from siftgate.sources.storage import ship
 
 PLANS = (
@@ -18,6 +18,7 @@ PLANS = (
     detection.PLAN,
     evaluation.PLAN,
     logs.PLAN,
+    event_store.PLAN,
 )
 
 
