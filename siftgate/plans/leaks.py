@@ -8,6 +8,8 @@ from siftgate.functions import tokens as K
 from siftgate.functions.text import WS
 from siftgate.operators import leaks
 from siftgate.plans.inputs import SEED, Plan, documents, registry, table, text_literal
+from siftgate.sources.registry_log import RegistryLog
+from siftgate.sources.storage import scratch
 
 PLAN = Plan()
 
@@ -317,3 +319,36 @@ def upsert(spark, sf):
     merged = leaks.upsert_registry(old, _requests(spark, sf), SEED)
     gone = events.where((F.col("event_type") == "signup") & (F.pmod("event_id", F.lit(97)) == 0))
     return leaks.delete_from_registry(merged, gone.select(name.alias("label")).distinct())
+
+
+@PLAN.add(
+    "C12_registry_versions",
+    f"WITH {REQUESTS}, good AS (SELECT seq % 3 AS part, label, token FROM judged WHERE violation IS NULL QUALIFY row_number() "
+    "OVER (PARTITION BY part, label ORDER BY seq DESC) = 1), "
+    "ch AS (SELECT DISTINCT 0 AS v, 'u' || user_id AS label, 'before' AS token FROM events "
+    "UNION ALL SELECT 1, label, token FROM good WHERE part = 0 "
+    "UNION ALL SELECT DISTINCT 2, 'u' || user_id, NULL FROM events WHERE event_type = 'signup' AND event_id % 97 = 0 "
+    "UNION ALL SELECT 3, label, token FROM good WHERE part = 1 UNION ALL SELECT 4, label, token FROM good WHERE part = 2), "
+    "at AS (SELECT r.version, label, token FROM range(5) r(version) JOIN ch ON ch.v <= r.version "
+    "QUALIFY row_number() OVER (PARTITION BY r.version, label ORDER BY v DESC) = 1) "
+    "SELECT version, label AS source_name, token FROM at WHERE token IS NOT NULL",
+)
+def registry_versions(spark, sf):
+    """Five versions of a registry, two of them put together; all are read after the last change."""
+    events = table(spark, sf, "events")
+    name = F.concat(F.lit("u"), F.col("user_id").cast("string"))
+    log = RegistryLog(spark, scratch(spark, "registry"))
+    asked, part = _requests(spark, sf), F.pmod("seq", F.lit(3))
+    log.put(events.select(name.alias("source_name"), F.lit("before").alias("token")).distinct())
+    log.upsert(asked.where(part == 0), SEED)
+    gone = events.where((F.col("event_type") == "signup") & (F.pmod("event_id", F.lit(97)) == 0))
+    log.remove(gone.select(name.alias("label")))
+    log.upsert(asked.where(part == 1), SEED)
+    log.compact(1)
+    log.compact()
+    log.upsert(asked.where(part == 2), SEED)
+    out = None
+    for v in range(5):
+        one = log.read(v).select(F.lit(v).alias("version"), "source_name", "token")
+        out = one if out is None else out.unionByName(one)
+    return out
