@@ -329,9 +329,9 @@ def upsert(spark, sf):
     "UNION ALL SELECT 1, label, token FROM good WHERE part = 0 "
     "UNION ALL SELECT DISTINCT 2, 'u' || user_id, NULL FROM events WHERE event_type = 'signup' AND event_id % 97 = 0 "
     "UNION ALL SELECT 3, label, token FROM good WHERE part = 1 UNION ALL SELECT 4, label, token FROM good WHERE part = 2), "
-    "at AS (SELECT r.version, label, token FROM range(5) r(version) JOIN ch ON ch.v <= r.version "
+    "held AS (SELECT r.version, label, token FROM range(5) r(version) JOIN ch ON ch.v <= r.version "
     "QUALIFY row_number() OVER (PARTITION BY r.version, label ORDER BY v DESC) = 1) "
-    "SELECT version, label AS source_name, token FROM at WHERE token IS NOT NULL",
+    "SELECT version, label AS source_name, token FROM held WHERE token IS NOT NULL",
 )
 def registry_versions(spark, sf):
     """Five versions of a registry, two of them put together; all are read after the last change."""
