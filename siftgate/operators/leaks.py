@@ -89,27 +89,28 @@ def _first_characters(anchors: Iterable[str]) -> list[str] | None:
 def _forms(registry: DataFrame, encoding_resistant: bool) -> DataFrame:
     """One row per token: its forms, an anchor for each that is long enough, and whether one is not."""
     ord = F.col("ord") if "ord" in registry.columns else F.lit(0)
-    forms = registry.where(F.length("token") > 0).select(
-        K.forms(ord, F.col("source_name"), F.col("token")).alias("f")
-    )
+    token = ["ord", "source_name", "token"]
+    rows = registry.where(F.length("token") > 0).select(ord.cast("int").alias("ord"), "source_name", "token")
+    form = K.forms(F.col("ord"), F.col("source_name"), F.col("token"))
     names = ("token", "b64", "hexed", "backwards") if encoding_resistant else ("token",)
-    needles = F.array(*[F.col(f"f.{n}") for n in names])
-    views = forms.select("f", F.posexplode(needles).alias("i", "needle")).withColumn("view", _view(F.col("needle")))
-    size = F.when(F.length("view") >= GRAM, F.lit(GRAM)).otherwise(F.lit(SHORT_GRAM))
-    grams = F.when(size == GRAM, _grams(F.col("view"), GRAM)).otherwise(_grams(F.col("view"), SHORT_GRAM))
+    views = rows.select(*token, F.posexplode(F.array(*[_view(form[n]) for n in names])).alias("i", "view"))
+    long = F.length("view") >= GRAM
+    grams = F.when(long, _grams(F.col("view"), GRAM)).otherwise(_grams(F.col("view"), SHORT_GRAM))
     # a dot that lower-casing has added begins no run of a text, nor does half of a character
-    usable = F.filter(F.array_distinct(grams), lambda g: ~F.startswith(g, F.lit("\u0307")) & F.contains("view", g))
-    runs = views.select("f", "i", F.explode_outer(usable).alias("gram"))
+    plain = F.octet_length("view") == F.length("view")
+    usable = F.when(plain, grams).otherwise(F.filter(grams, lambda g: ~F.startswith(g, F.lit("\u0307")) & F.contains("view", g)))
+    ranked = F.transform(usable, lambda g: F.struct(F.instr(F.lit(SELDOM), F.left(g, F.lit(1))).alias("rank"), g.alias("gram")))
+    seldom = let(ranked, lambda r: let(F.array_min(r)["rank"], lambda least: F.filter(r, lambda x: x["rank"] == least)))
+    runs = views.select(*token, "i", F.explode_outer(F.array_distinct(seldom)).alias("r")).select(*token, "i", "r.gram")
     counts = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.instr(F.lit(SELDOM), F.left("gram", F.lit(1)))
-    best = runs.join(counts, "gram", "left").groupBy("f", "i").agg(
-        F.min(F.when(F.col("gram").isNotNull(), F.struct(rank.alias("rank"), "n", "gram"))).getField("gram").alias("anchor")
+    best = runs.join(counts, "gram", "left").groupBy(*token, "i").agg(
+        F.min(F.when(F.col("gram").isNotNull(), F.struct("n", "gram"))).getField("gram").alias("anchor")
     )
-    found = best.groupBy("f").agg(
+    found = best.groupBy(*token).agg(
         F.collect_set("anchor").alias("anchors"),
         (F.count(F.lit(1)) > F.count("anchor")).alias("short"),
     )
-    return found.select("f.*", "anchors", "short")
+    return found.select(form.alias("f"), "anchors", "short").select("f.*", "anchors", "short")
 
 
 def _matches(forms: Column, text: Column, encoding_resistant: bool) -> Column:
@@ -223,7 +224,11 @@ def leak_pairs(
 
 def _pairs(docs: DataFrame, registry: DataFrame, encoding_resistant: bool) -> DataFrame:
     """As :func:`leak_pairs`, of ``(_id, _text)``."""
-    forms = _forms(registry, encoding_resistant)
+    # asked several questions below: worked out once
+    path = scratch(docs.sparkSession, "registry")
+    made = _forms(registry, encoding_resistant)
+    made.write.parquet(path)
+    forms = docs.sparkSession.read.schema(made.schema).parquet(path)
     names = [part.split(":")[0] for part in _form_fields() if not part.startswith(("anchors", "short"))]
     table = forms.select(F.struct(*names).alias("f"), "anchors", "short")
     anchored = table.select("f", F.explode("anchors").alias("_gram"))
@@ -245,7 +250,8 @@ def _pairs(docs: DataFrame, registry: DataFrame, encoding_resistant: bool) -> Da
     salted = anchored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
     met = runs.join(salted, ["_gram", "_salt"])
     text = F.col("_part")
-    kind = K.match_kind(F.col("f"), text, F.lower(text), K.squeezed(text), encoding_resistant)
+    # bound once: spelt out, both views are evaluated again in every branch
+    kind = let(F.lower(text), lambda low: let(K.squeezed(text), lambda tight: K.match_kind(F.col("f"), text, low, tight, encoding_resistant)))
     found = settle(met.select("_id", F.struct("f.ord", "f.source_name", "f.token").alias("t"), kind.alias("kind")), "kind")
     if told["n_short"]:
         tiny = _literal([r["f"] for r in table.where("short").select("f").collect()])
