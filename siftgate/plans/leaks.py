@@ -352,3 +352,13 @@ def registry_versions(spark, sf):
         one = log.read(v).select(F.lit(v).alias("version"), "source_name", "token")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+@PLAN.add("C12_check_as_of", f"{HITS} SELECT doc_id, source_name, kind, 0 AS registry_version FROM hits")
+def check_as_of(spark, sf):
+    """A check against a version whose tokens have been removed since."""
+    log = RegistryLog(spark, scratch(spark, "registry"))
+    held = tokens(spark, sf)
+    log.put(held)
+    log.remove(held.select(F.col("source_name").alias("label")))
+    return log.check(leaky(spark, sf), 0).select("doc_id", "source_name", "kind", "registry_version")

@@ -380,6 +380,17 @@ def latest_feed(spark, sf):
     return _event(jobs.read_latest(spark, path, last))
 
 
+@PLAN.add(
+    "R8_latest_feed_by_layer",
+    f"WITH {LOG} SELECT {EVENT} FROM log QUALIFY row_number() OVER (PARTITION BY layer ORDER BY ts DESC, id DESC) <= 50",
+)
+def latest_feed_by_layer(spark, sf):
+    path, mark = scratch(spark, "latest"), scratch(spark, "latest-checkpoint")
+    query = jobs.latest_feed(streamed_log(spark, sf), path, mark, n=50, by=["layer"])
+    query.awaitTermination()
+    return _event(jobs.read_latest(spark, path, query.lastProgress["batchId"]))
+
+
 @PLAN.add(
     "R9_late_events",
     f"WITH {LOG}, m AS (SELECT max(epoch_us(ts)) AS top FROM log), "
