@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark import TaskContext
@@ -30,12 +31,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from siftgate.llm.common import Recent, column_text, mapped, units
+from siftgate.llm.common import Recent, mapped, slices, units
 from siftgate.sources.storage import scratch
 
 BLOCK = 1 << 16
 CHUNK_IDS = 1 << 20
 UNITS_KEPT = 500_000
+SLICE_BYTES = 8 << 20
 LEVEL = 3
 
 #: The published pre-tokenization pattern of byte-level vocabularies, and the letters that stand for bytes in them.
@@ -82,6 +84,9 @@ def unpack(index: list[list[int]], payload: bytes) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, "<u4")
 
 
+#: A space before white space or the end, in the syntax of Arrow's patterns.
+ODD_SPACE = r" (?:[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|$)"
+
 #: A space in those letters, and marks that the pattern gives a piece of their own after a word.
 SPACE = LETTERS[32]
 CLOSING = ".,:;!?"
@@ -125,11 +130,15 @@ class Ids:
         """The ids of a space and ``word``; plain letters, alone or before a closing mark, need no pattern."""
         if word.isascii():
             if word.isalpha():
-                return self.piece(" " + word)
-            if word[-1] in CLOSING and word[:-1].isalpha():
-                return self.piece(" " + word[:-1]) + self.piece(word[-1])
+                return self.tokens(SPACE + word)
+            if word[-1] in CLOSING and (plain := word[:-1]).isalpha():
+                ids = self.recent.get(plain) or self.recent.find(plain) or self.recent.put(plain, self.tokens(SPACE + plain))
+                return ids + self.piece(word[-1])
         return self.unit(" " + word)
 
+    def tokens(self, spelt: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
     def piece(self, piece: str) -> bytes:
         ids = self.known.get(piece)
         if ids is None and (ids := self.known.find(piece)) is None:
@@ -138,7 +147,7 @@ class Ids:
                 spelt = piece.replace(" ", SPACE)
             else:
                 spelt = piece.encode().decode("latin-1").translate(LETTERS)
-            ids = self.known.put(piece, array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes())
+            ids = self.known.put(piece, self.tokens(spelt))
         return ids
 
     def encode(self, text: str | None) -> bytes:
@@ -154,13 +163,45 @@ class Ids:
         if not text:
             return b""
         first, rest = units(text)
-        found = list(map(self.recent.get, rest))
+        return self.unit(first) + b"".join(self.look_up(rest))
+
+    def look_up(self, words: list[str]) -> list[bytes]:
+        found = list(map(self.recent.get, words))
         if None in found:
             find, put, word = self.recent.find, self.recent.put, self.word
             for k, ids in enumerate(found):
                 if ids is None:
-                    found[k] = find(rest[k]) or put(rest[k], word(rest[k]))
-        return self.unit(first) + b"".join(found)
+                    found[k] = find(words[k]) or put(words[k], word(words[k]))
+        return found
+
+    def encode_many(self, texts: pa.Array) -> list[bytes]:
+        """As :meth:`encode` of each text; a stretch that several of them hold is looked up once.
+
+        Texts in which a space is not followed by a word, or which hold an added token, go one by one.
+        """
+        texts = pc.fill_null(texts, "")
+        odd = pc.match_substring_regex(texts, ODD_SPACE)
+        for mark in self.added:
+            odd = pc.or_(odd, pc.match_substring(texts, mark))
+        split = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+        stops = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        flat = split.flatten()
+        head = np.zeros(len(flat), bool)
+        head[stops[:-1]] = True
+        coded = flat.filter(pa.array(~head)).dictionary_encode()
+        found = self.look_up(coded.dictionary.to_pylist())
+        index = np.empty(len(flat), np.int64)
+        index[~head] = coded.indices.to_numpy()
+        index[head] = len(found) + np.arange(len(stops) - 1)
+        found += map(self.unit, flat.filter(pa.array(head)).to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at, n = (np.cumsum(size) - size)[index], size[index]
+        ends = np.append(0, np.cumsum(n))
+        ids = np.frombuffer(b"".join(found), "<u4")[np.repeat(at - ends[:-1], n) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[stops]).tolist()
+        plain = iter([ids[a:b] for a, b in zip(cuts, cuts[1:])])
+        alone = iter(map(self.encode, texts.filter(odd).to_pylist()))
+        return [next(alone if o else plain) for o in odd.to_pylist()]
 
 
 def write(docs: DataFrame, description: str, path: str, *, key: str = "doc_id", text: str = "text", end: int = 0, bits: bool = False, shards: int | None = None) -> None:
@@ -186,9 +227,8 @@ def write(docs: DataFrame, description: str, path: str, *, key: str = "doc_id",
             return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([chunk], pa.int32()), pa.array([start], pa.int64()), pa.array([sum(lengths)], pa.int64()), pa.array([keys], pa.list_(batch.schema.field("key").type)), pa.array([lengths], pa.list_(pa.int64())), pa.array([index], pa.list_(pa.list_(pa.int32()))), pa.array([payload], pa.binary())], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for k, body in zip(part.column("key").to_pylist(), map(ids.encode, column_text(part, "text"))):
+            for part in slices(batch, "text", SLICE_BYTES):
+                for k, body in zip(part.column("key").to_pylist(), ids.encode_many(part.column("text"))):
                     keys.append(k)
                     bodies.append(body + tail)
                     size += len(body) // 4 + 1

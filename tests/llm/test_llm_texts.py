@@ -13,6 +13,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import zstandard
@@ -325,7 +326,6 @@ def test_files_give_the_librarys_ids_back(spark, monkeypatch, bits, chunk):
     with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
         description = f.read()
     library = Tokenizer.from_str(description)
-    library.encode_special_tokens = True
     rng = random.Random(9)
     extra = [(i, random_text(rng, rng.randint(0, 90))) for i in range(100, 400)]
     rows = token_files.round_trip(odd_docs(spark, extra).repartition(5), description, bits=bits).collect()
@@ -337,6 +337,18 @@ def test_files_give_the_librarys_ids_back(spark, monkeypatch, bits, chunk):
     assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in rows) == [(b, a, c, d, e) for a, b, c, d, e in want]
 
 
+def test_slices_encode_as_texts_one_by_one():
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as f:
+        description = f.read()
+    rng = random.Random(14)
+    texts = [None, "", " ", "a", " a", "a ", "a  b", "a \n b", "a \u180e", "a \u3000b", "x\u00a0 y", "é 漢 字", "\n", "<|endoftext|> a b", *[random_text(rng, rng.randint(0, 60)) for _ in range(400)]]
+    ids, library = token_files.Ids(description), Tokenizer.from_str(description)
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for array in (pa.array(texts, pa.string()), pa.array(["zz z", *texts], pa.string()).slice(1)):
+        assert [np.frombuffer(b, "<u4").tolist() for b in ids.encode_many(array)] == want
+    assert ids.encode_many(pa.array([], pa.string())) == []
+
+
 MARK = "<|endoftext|>"
 MARKED = [f"end {MARK} of", MARK, f"{MARK}{MARK} x", f"a{MARK}b", f"  {MARK}  {MARK}\n\n", f"end<|endoftext|{MARK}", f"{LONG[:500]}{MARK} {LONG[:500]}", "<|endoftext", "<pad> a<pad><pad>b  <pad>\n", "a <mask> b <|endo", ""]
 MORE = [{"content": "<pad>"}, {"content": "<|endo"}, {"content": "<pad><pad>"}]
