@@ -7,10 +7,11 @@ document only the runs that begin with such a character are looked at; those tha
 the few tokens worth a full look, which :func:`siftgate.functions.tokens.match_kind` then takes.
 
 A registry of at most ``PLAN_BYTES`` of forms travels in the plan and nothing is shuffled. Any
-other stays a table (:func:`leak_pairs`): a Bloom filter of all anchors, built by an aggregate,
-leaves out documents without a candidate before anything is exploded; of the rest, excerpts around
-candidates, bounded by the longest form, meet the registry on salted anchors. No document's text and
-no row without an anchor is shuffled, and documents are read once.
+other stays a table (:func:`leak_pairs`): a Bloom filter of all anchors, built by an aggregate and
+broadcast as bits (never as part of a plan), leaves out documents without a candidate before anything
+is exploded; only hashes of their runs cross to Python. Of the rest, excerpts around candidates,
+bounded by the longest form, meet the registry on salted anchors. No document's text and no row
+without an anchor is shuffled, and documents are read once.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ import json
 from collections.abc import Callable, Iterable, Sequence
 from functools import cache
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,10 +34,11 @@ from siftgate.sources.storage import scratch
 
 GRAM, SHORT_GRAM = 8, 3
 PLAN_BYTES = 1024 * 1024
-MAP_BITS = 1 << 24  # at most; 64 bits per anchor below that
+MAP_BITS = 1 << 28  # at most (32 MiB); 16 bits per anchor and more below that
 MANY_FIRSTS = 64  # with more first characters than this, every run is looked at
+TRIED = 6  # runs of a form that are looked up in the registry to choose its anchor
 EXCERPT = 1024
-SALTS = 16
+SALTS, SALTED_ROWS = 16, 1 << 22  # a registry is repeated per salt; up to so many rows
 #: Letters from the seldom to the common; runs that begin with anything else are seldom still.
 SELDOM = "qzjxkvbpgwyfmculdrhsnioate"
 HIT_TYPE = T.ArrayType(
@@ -90,7 +94,8 @@ def _forms(registry: DataFrame, encoding_resistant: bool) -> DataFrame:
     """One row per token: its forms, an anchor for each that is long enough, and whether one is not."""
     ord = F.col("ord") if "ord" in registry.columns else F.lit(0)
     token = ["ord", "source_name", "token"]
-    rows = registry.where(F.length("token") > 0).select(ord.cast("int").alias("ord"), "source_name", "token")
+    # a registry in one small file is one task otherwise, and its forms are many times its size
+    rows = registry.where(F.length("token") > 0).select(ord.cast("int").alias("ord"), "source_name", "token").repartition(*token)
     form = K.forms(F.col("ord"), F.col("source_name"), F.col("token"))
     names = ("token", "b64", "hexed", "backwards") if encoding_resistant else ("token",)
     views = rows.select(*token, F.posexplode(F.array(*[_view(form[n]) for n in names])).alias("i", "view"))
@@ -101,7 +106,15 @@ def _forms(registry: DataFrame, encoding_resistant: bool) -> DataFrame:
     usable = F.when(plain, grams).otherwise(F.filter(grams, lambda g: ~F.startswith(g, F.lit("\u0307")) & F.contains("view", g)))
     ranked = F.transform(usable, lambda g: F.struct(F.instr(F.lit(SELDOM), F.left(g, F.lit(1))).alias("rank"), g.alias("gram")))
     seldom = let(ranked, lambda r: let(F.array_min(r)["rank"], lambda least: F.filter(r, lambda x: x["rank"] == least)))
-    runs = views.select(*token, "i", F.explode_outer(F.array_distinct(seldom)).alias("r")).select(*token, "i", "r.gram")
+    # of a long list, runs spread from its first to its last: any of them serves, and tails tell tokens of one shape apart
+    last = F.lit(TRIED - 1)
+    spread = let(
+        F.array_distinct(seldom),
+        lambda r: F.when(F.size(r) <= TRIED, r).otherwise(
+            F.transform(F.sequence(F.lit(0), last), lambda k: F.get(r, F.floor(k * (F.size(r) - 1) / last).cast("int")))
+        ),
+    )
+    runs = views.select(*token, "i", F.explode_outer(spread).alias("r")).select(*token, "i", "r.gram")
     counts = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     best = runs.join(counts, "gram", "left").groupBy(*token, "i").agg(
         F.min(F.when(F.col("gram").isNotNull(), F.struct("n", "gram"))).getField("gram").alias("anchor")
@@ -170,29 +183,43 @@ def leak_hits(
     return settle(out.withColumn("hits", F.coalesce(found, none)), "hits").drop("_anchors")
 
 
-def _bit_map(keys: DataFrame) -> Callable[[Column], Column]:
-    """A test of a string: false means it is not among ``keys`` (one column ``a``). A Bloom filter of fixed size."""
+def _bit_map(keys: DataFrame, n: int) -> Callable[[Column], Column]:
+    """Of an array of strings, those that may be among ``keys`` (one column ``a``, ``n`` rows): a Bloom filter of two hashes.
+
+    Its bits are broadcast to the Python workers. As a constant of the plan they would be spelt out
+    in every description of it that the driver keeps.
+    """
     bits = 1 << 16
-    while bits < min(MAP_BITS, 64 * keys.count()):
+    while bits < min(MAP_BITS, 16 * n):
         bits *= 2
+    mask = F.lit(bits - 1)
+    hashed = F.xxhash64("a")
+    places = F.array(hashed.bitwiseAND(mask), F.shiftrightunsigned(hashed, 32).bitwiseAND(mask))
     words = (
-        keys.select(F.explode(_places(F.col("a"), bits)).alias("p"))
-        .groupBy(F.shiftright("p", 6).alias("w"))
+        keys.select(F.explode(places).alias("p"))
+        .groupBy(F.shiftright("p", 6).cast("int").alias("w"))
         .agg(F.expr("bit_or(shiftleft(1L, cast(p % 64 AS int)))").alias("v"))
-        .collect()
+        .toArrow()
     )
-    values = dict(words)
-    held = F.split(F.lit(",".join(str(values.get(w, 0)) for w in range(bits // 64))), ",").cast("array<bigint>")
-
-    def on(p: Column) -> Column:
-        return F.getbit(F.get(held, F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(64)).cast("int")) == 1
+    held = np.zeros(bits // 64, np.int64)
+    held[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    shared = keys.sparkSession.sparkContext.broadcast(held)
 
-    return lambda key: F.forall(_places(key, bits), on)
+    @F.pandas_udf("array<boolean>")
+    def marks(hashes: pd.Series) -> pd.Series:
+        sizes = [0 if h is None else len(h) for h in hashes]
+        h = np.concatenate([np.zeros(0, np.int64), *[x for x in hashes if x is not None]]).astype(np.int64)
+        found = np.ones(len(h), bool)
+        for p in (h & (bits - 1), (h >> 32) & (bits - 1)):
+            found &= (shared.value[p >> 6] >> (p & 63)) & 1 == 1
+        return pd.Series(np.split(found, np.cumsum(sizes)[:-1]) if sizes else [])
 
+    def among(strings: Column) -> Column:
+        told = marks(F.transform(strings, lambda g: F.xxhash64(g)))
+        kept = F.filter(F.arrays_zip(strings.alias("s"), told.alias("m")), lambda z: z["m"])
+        return F.transform(kept, lambda z: z["s"])
 
-def _places(key: Column, bits: int) -> Column:
-    hashes = [F.xxhash64(F.lit(seed), key) for seed in range(2)]
-    return F.array(*[part.bitwiseAND(F.lit(bits - 1)) for h in hashes for part in (h, F.shiftrightunsigned(h, 32))])
+    return among
 
 
 def _excerpts(text: Column, longest: int) -> Column:
@@ -237,17 +264,21 @@ def _pairs(docs: DataFrame, registry: DataFrame, encoding_resistant: bool) -> Da
     told = forms.agg(F.max(size).alias("longest"), F.count_if("short").alias("n_short")).first()
     longest = told["longest"] or 1
     firsts = anchored.groupBy(F.length("_gram").alias("size")).agg(F.collect_set(F.left("_gram", F.lit(1))).alias("firsts")).collect()
-    marked = _bit_map(anchored.select(F.col("_gram").alias("a")).distinct())
+    n = anchored.count()
+    marked = _bit_map(anchored.select(F.col("_gram").alias("a")), n)
 
     def candidates(t: Column) -> Column:
         grams = [_text_grams(t, _first_characters(r["firsts"]), r["size"]) for r in firsts]
-        return F.array_distinct(F.filter(F.concat(*grams), marked)) if grams else F.array().cast("array<string>")
-
-    near = docs.where(F.size(candidates(F.col("_text"))) > 0)
-    parts = near.select("_id", F.explode(_excerpts(F.col("_text"), longest)).alias("_part"))
-    salt = F.pmod(F.xxhash64("_id"), F.lit(SALTS)).alias("_salt")
-    runs = parts.select("_id", "_part", salt, F.explode(candidates(F.col("_part"))).alias("_gram"))
-    salted = anchored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+        return F.array_distinct(F.concat(*grams)) if grams else F.array().cast("array<string>")
+
+    seen = settle(docs.withColumn("_grams", candidates(F.col("_text"))), "_grams")
+    near = settle(seen.withColumn("_near", marked(F.col("_grams"))).drop("_grams"), "_near").where(F.size("_near") > 0)
+    parts = near.select("_id", "_near", F.explode(_excerpts(F.col("_text"), longest)).alias("_part"))
+    # the more anchors, the less the copies may cost; a crowded anchor is then left to Spark's skew join
+    salts = max(1, min(SALTS, SALTED_ROWS // max(1, n)))
+    salt = F.pmod(F.xxhash64("_id"), F.lit(salts)).alias("_salt")
+    runs = parts.select("_id", "_part", salt, F.explode(F.array_intersect(candidates(F.col("_part")), F.col("_near"))).alias("_gram"))
+    salted = anchored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
     met = runs.join(salted, ["_gram", "_salt"])
     text = F.col("_part")
     # bound once: spelt out, both views are evaluated again in every branch
@@ -275,11 +306,13 @@ def _joined_hits(docs: DataFrame, registry: DataFrame, text: str, encoding_resis
     kept = docs.sparkSession.read.schema(pairs.schema).parquet(path)
     hit = F.struct("ord", "source_name", "token", "kind")
     hits = kept.groupBy("_id").agg(F.array_sort(F.collect_list(hit)).cast(HIT_TYPE).alias("hits"))
-    may = F.coalesce(_bit_map(kept.select(F.col("_id").alias("a")).distinct())(digest), F.lit(False))
+    leaky = kept.select(F.col("_id").alias("a")).distinct()
+    may = _bit_map(leaky, leaky.count())
     none = F.when(F.col(text).isNotNull(), F.array().cast(HIT_TYPE))
-    clean = docs.where(~may).withColumn("hits", none)
-    rest = docs.where(may).withColumn("_id", digest).join(hits, "_id", "left")
-    return clean.unionByName(rest.withColumn("hits", F.coalesce("hits", none)).drop("_id"))
+    told = docs.withColumn("_may", F.size(may(F.array(F.coalesce(digest, F.lit(""))))) > 0)
+    clean = told.where(~F.col("_may")).withColumn("hits", none)
+    rest = told.where("_may").withColumn("_id", digest).join(hits, "_id", "left")
+    return clean.unionByName(rest.withColumn("hits", F.coalesce("hits", none)).drop("_id")).drop("_may")
 
 
 def _form_fields() -> list[str]:

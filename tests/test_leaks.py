@@ -96,6 +96,13 @@ def test_pairs_shuffle_no_text_and_read_documents_once(spark, tmp_path):
     assert out.count() == 0
 
 
+def test_a_large_registry_is_no_part_of_the_plan(spark, texts):
+    """What finds candidates grows with the registry; the driver keeps every plan's description."""
+    registry = spark.range(3000).selectExpr("cast(id AS string) AS source_name", "concat('tk_', md5(cast(id AS string))) AS token")
+    out = leaks.leak_pairs(texts(["none"]), registry)
+    assert len(out._jdf.queryExecution().analyzed().toString()) < 50_000
+
+
 def test_encodings_can_be_switched_off(spark, texts):
     registry = spark.createDataFrame([(0, "a", "secret-token")], "ord int, source_name string, token string")
     df = texts(["secret-token", "SECRET-TOKEN"])
