@@ -14,12 +14,15 @@ no session waits longer for its end than the watermark makes it.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 from datetime import datetime, timedelta, timezone
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +34,7 @@ from siftgate.sources.storage import ship
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 EDGE = -(1 << 62)  # the key under which pieces at bucket edges meet; no bucket has this number
 GAPS_PER_BUCKET = 24
+HELD_ROWS = 50_000  # rows a task holds before it lets go of those that are not among the newest
 
 
 def use_keyed_state(spark: SparkSession) -> None:
@@ -200,7 +204,8 @@ class Newest(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = list(map(tuple, self.events.get()))
-        kept = sorted([*held, *[tuple(r[c] for c in self.names) for r in rows]], key=self.rank, reverse=True)[: self.n]
+        came = (tuple(r[c] for c in self.names) for r in rows)
+        kept = heapq.nlargest(self.n, chain(held, came), key=self.rank)
         if self.idle and (newest := self.newest(kept)) is not None:
             self.handle.registerTimer(newest + 1)
         if sorted(held, key=self.rank, reverse=True) != kept:
@@ -225,10 +230,47 @@ class Newest(StatefulProcessor):
         pass
 
 
+def newest_of(table: pa.Table, keys: Sequence[str], order: Sequence[str], n: int) -> pa.Table:
+    """The ``n`` rows of each key that are largest by ``order``, nulls last."""
+    codes = [table.column(k).combine_chunks().dictionary_encode("encode").indices for k in keys]
+    sorting = pa.table([*codes, *[table.column(c) for c in order]], names=[str(k) for k in range(len(keys) + len(order))])
+    ways = [(str(k), "ascending" if k < len(keys) else "descending") for k in range(len(keys) + len(order))]
+    at = pc.sort_indices(sorting, sort_keys=ways, null_placement="at_end").to_numpy()
+    first = np.ones(len(at), bool)
+    first[1:] = False
+    for code in codes:
+        sorted_code = code.to_numpy()[at]
+        first[1:] |= sorted_code[1:] != sorted_code[:-1]
+    begin = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+    return table.take(pa.array(at[np.arange(len(at)) - begin < n]))
+
+
+def newest_of_task(keys: Sequence[str], order: Sequence[str], n: int):
+    """A map of Arrow batches: each task passes on the newest ``n`` rows of each key, holding few others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows > HELD_ROWS:
+                held = newest_of(pa.Table.from_batches(held), keys, order, n).to_batches()
+                rows = sum(b.num_rows for b in held)
+                if rows > HELD_ROWS // 2:  # keys so many that holding them gains nothing
+                    yield from held
+                    held, rows = [], 0
+        if rows:
+            yield from newest_of(pa.Table.from_batches(held), keys, order, n).to_batches()
+
+    return run
+
+
 def newest_per_key(events: DataFrame, by: Sequence[str], n: int = 500, ts: str = "ts", id: str = "id", idle: str | None = None) -> DataFrame:
     """``(by, events)`` in update mode: after a micro-batch, the newest ``n`` events of each key that changed, newest first.
 
-    State is ``n`` events per key whatever the stream holds. With ``idle``, events that are so much
+    State is ``n`` events per key whatever the stream holds, and each task passes on only the newest
+    ``n`` of a key among its own rows. With ``idle``, events that are so much
     older than the stream's newest are not taken in, and a key whose newest event has become as old
     is let go: its last row has an empty list.
     """
@@ -238,7 +280,9 @@ def newest_per_key(events: DataFrame, by: Sequence[str], n: int = 500, ts: str =
     times = [f.name for f in events.schema.fields if isinstance(f.dataType, T.TimestampType)]
     if ts not in times:
         raise OptionError(f"column {ts!r} must be a timestamp")
-    rows = events if idle is None else events.withWatermark(ts, f"{microseconds(idle)} microseconds")
+    # the newest event of all is among these, so the watermark is the same
+    rows = events.mapInArrow(newest_of_task(list(by), (ts, id), n), events.schema)
+    rows = rows if idle is None else rows.withWatermark(ts, f"{microseconds(idle)} microseconds")
     rows = rows.select(F.col(ts).alias("_seen"), *[F.unix_micros(c).alias(c) if c in times else c for c in events.columns])
     kinds = {c: rows.schema[c].dataType.simpleString() for c in events.columns}
     keys = ", ".join(f"`{c}` {kinds[c]}" for c in by)

@@ -1,11 +1,13 @@
 import os
 import random
+import weakref
 from datetime import datetime, timedelta
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from siftgate.operators import events as ev
-from siftgate.streaming import jobs
+from siftgate.streaming import jobs, stateful
 from siftgate.streaming.stateful import stream_wide_sessions
 
 START = datetime(2024, 3, 1)
@@ -137,6 +139,45 @@ def test_latest_feed_equals_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_a_task_passes_on_the_newest_of_each_key(monkeypatch):
+    monkeypatch.setattr(stateful, "HELD_ROWS", 40)
+    rng = random.Random(2)
+    rows = [{"k": rng.choice(["a", "b", None]), "ts": rng.choice([None, *range(50)]), "id": i} for i in range(1000)]
+    batches = [pa.RecordBatch.from_pylist(rows[i : i + 17]) for i in range(0, 1000, 17)]
+    out = [r for b in stateful.newest_of_task(["k"], ("ts", "id"), 5)(iter(batches)) for r in b.to_pylist()]
+    rank = lambda r: (r["ts"] is not None, r["ts"] or 0, r["id"])
+    want = [r for k in ("a", "b", None) for r in sorted((r for r in rows if r["k"] == k), key=rank, reverse=True)[:5]]
+    assert sorted(r["id"] for r in out) == sorted(r["id"] for r in want)
+
+
+def test_state_holder_reads_its_rows_one_by_one():
+    holder = stateful.Newest(["ts", "id"], [], "ts long, id long", ("ts", "id"), 3, False)
+    alive, most = weakref.WeakSet(), 0
+
+    class Number(float):
+        __hash__ = float.__hash__
+
+    def rows():
+        nonlocal most
+        for i in range(2000):
+            number = Number(i)
+            alive.add(number)
+            most = max(most, len(alive))
+            yield {"ts": i, "id": number}
+            del number
+
+    class State:
+        def get(self):
+            return []
+
+        def put(self, rows):
+            self.kept = rows
+
+    holder.events = State()
+    list(holder.handleInputRows((), rows(), None))
+    assert [e[0] for e in holder.events.kept] == [1999, 1998, 1997] and most < 10
+
+
 def test_fan_out_and_callback(spark, tmp_path):
     feed = Feed(spark, tmp_path)
     feed.push(events(spark, [1, 2]).unionByName(events(spark, [3], "passed")))
