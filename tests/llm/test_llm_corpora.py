@@ -226,6 +226,43 @@ def test_learning_helps_and_order_does_not_matter(spark):
     assert lm_scoring.score(df.limit(0), learning).count() == 0
 
 
+def test_weights_come_from_every_learning_document(spark, monkeypatch):
+    """Documents of any length teach, and no other weights of a gate fit all their words better."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("aeioutnrs") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    long = [(i, " ".join(rng.choice(vocabulary) for _ in range(14_000))) for i in range(4)]  # each beyond 64 KiB
+    assert min(len(t) for _, t in long) > 1 << 16
+    fits = []
+    fit = lm_scoring.fit
+    monkeypatch.setattr(lm_scoring, "fit", lambda *a: fits.append((fit(*a), a)) or fits[-1][0])
+    assert lm_scoring.score(spark.createDataFrame(long, "doc_id long, text string"), F.lit(True)).count() == 4
+    mixer, (slots, counted) = fits[0]
+    assert (np.abs(mixer.weights - 0.4) > 0.01).any()
+    rows = counted.collect()
+    words_, n, own = [bytes(r.word) for r in rows], np.array([r.n for r in rows]), np.array([r.own for r in rows])
+    assert all(abs(o - k / sum(w.decode() in t.split() or w == b"\n" for _, t in long)) <= 0.5 for w, k, o in list(zip(words_, n, own))[:40])
+    whole = Counter(w for _, t in long for w in [*words(t), "\n"])
+    assert {w.decode(): int(k) for w, k in zip(words_, n)} == whole
+    table = np.zeros((lm_scoring.SLOTS, 2), np.float32)
+    for r in slots.collect():
+        table[r.slot] = r.n, r.ones
+    bits, merged = lm_scoring.Bits(words_), lm_scoring.Bits(words_, own)
+    assert len(merged.bit) < len(bits.bit) and (merged.bit.reshape(-1, 8)[merged.byte].reshape(-1) == bits.bit).all()
+    assert all((m.reshape(-1, 8)[merged.byte].reshape(-1) == s).all() for m, s in zip(merged.slots, bits.slots))
+    assert merged.added(n).sum() == 8 * (n * bits.bytes_of_token).sum()
+    assert np.allclose(mixer.bits_of_tokens(words_), np.concatenate([mixer.bits_of_tokens([w]) for w in words_]), rtol=1e-12)
+    times, own = (np.repeat(x.astype(np.float32), bits.bytes_of_token * 8) for x in (n, own))
+    told = lm_scoring.others(bits, table, own)
+    loss = lambda w: lm_scoring.sums(bits, times, *told, w)[: lm_scoring.GATES].sum()
+    least = loss(mixer.weights)
+    assert least < loss(np.full_like(mixer.weights, 0.4))
+    for k in range(lm_scoring.ORDERS):
+        for change in (-0.05, 0.05):
+            moved = mixer.weights.copy()
+            moved[:, k] += change
+            assert loss(moved) > least
+
+
 # --- languages ----------------------------------------------------------------------------------
 
 SPOKEN = {
