@@ -212,11 +212,9 @@ def stat_tiles(spark, sf):
 
 
 def stream(spark, sf, name):
-    """The driver table as a file stream."""
+    """The driver table, one file or a folder of files, as a file stream (which takes one file by a pattern only)."""
     schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-    )
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parque[t]")
 
 
 class _Streamed:

@@ -222,3 +222,25 @@ def test_rolling_windows_overlap(spark, tmp_path):
     jobs.to_files(jobs.rolling_metrics(feed.stream()), feed.out, feed.mark).awaitTermination()
     rows = spark.read.parquet(feed.out)
     assert rows.count() == 24 and rows.agg(F.sum("total")).first()[0] == 24
+
+
+def streamed_documents(spark, tmp_path, build):
+    """``build`` over a folder's documents as a stream and as a table: the rows, and how many parts the stream's are in."""
+    from siftgate.plans.logs import _Streamed
+
+    home = str(tmp_path)
+    rows = [(i, "en", f"src{i % 3}", f"text {i} " * 5) for i in range(500)] + [(None, None, None, None)]
+    schema = "doc_id long, lang string, source string, text string"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{home}/documents.parquet")
+    with_part = build(_Streamed(spark, home), home).withColumn("part", F.spark_partition_id())
+    jobs.to_files(with_part, f"{home}/out", f"{home}/mark").awaitTermination()
+    got = spark.read.schema(with_part.schema).parquet(f"{home}/out")
+    texts = lambda df: sorted(map(str, df.select("doc_id", "lang", "source", "text").collect()))
+    return texts(got), texts(build(spark, home)), got.select("part").distinct().count()
+
+
+def test_planted_documents_stream(spark, tmp_path):
+    from siftgate.plans.inputs import planted
+
+    got, want, parts = streamed_documents(spark, tmp_path, planted)
+    assert got == want and len(want) == 501 and parts >= spark.sparkContext.defaultParallelism
