@@ -244,3 +244,10 @@ def test_planted_documents_stream(spark, tmp_path):
 
     got, want, parts = streamed_documents(spark, tmp_path, planted)
     assert got == want and len(want) == 501 and parts >= spark.sparkContext.defaultParallelism
+
+
+def test_documents_with_the_payload_in_front_stream(spark, tmp_path):
+    from siftgate.plans.inputs import heads
+
+    got, want, parts = streamed_documents(spark, tmp_path, heads)
+    assert got == want and len(want) == 501 and parts >= spark.sparkContext.defaultParallelism
