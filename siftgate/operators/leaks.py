@@ -30,7 +30,7 @@ from siftgate.functions import tokens as K
 from siftgate.functions.text import WS, let, require_string, strip
 from siftgate.operators.layout import settle
 from siftgate.options import OptionError
-from siftgate.sources.storage import scratch
+from siftgate.sources.storage import drop_scratch, scratch
 
 GRAM, SHORT_GRAM = 8, 3
 PLAN_BYTES = 1024 * 1024
@@ -90,12 +90,15 @@ def _first_characters(anchors: Iterable[str]) -> list[str] | None:
     return firsts if len(firsts) <= MANY_FIRSTS else None
 
 
-def _forms(registry: DataFrame, encoding_resistant: bool) -> DataFrame:
-    """One row per token: its forms, an anchor for each that is long enough, and whether one is not."""
+def _forms(registry: DataFrame, encoding_resistant: bool, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """One row per token: its forms, an anchor for each that is long enough, and whether one is not.
+
+    The runs are used twice: ``kept`` may store them, so that they are cut once.
+    """
     ord = F.col("ord") if "ord" in registry.columns else F.lit(0)
     token = ["ord", "source_name", "token"]
     # a registry in one small file is one task otherwise, and its forms are many times its size
-    rows = registry.where(F.length("token") > 0).select(ord.cast("int").alias("ord"), "source_name", "token").repartition(*token)
+    rows = registry.where(F.length("token") > 0).select(ord.cast("int").alias("ord"), "source_name", "token").repartition(4 * registry.sparkSession.sparkContext.defaultParallelism, *token)
     form = K.forms(F.col("ord"), F.col("source_name"), F.col("token"))
     names = ("token", "b64", "hexed", "backwards") if encoding_resistant else ("token",)
     views = rows.select(*token, F.posexplode(F.array(*[_view(form[n]) for n in names])).alias("i", "view"))
@@ -114,9 +117,10 @@ def _forms(registry: DataFrame, encoding_resistant: bool) -> DataFrame:
             F.transform(F.sequence(F.lit(0), last), lambda k: F.get(r, F.floor(k * (F.size(r) - 1) / last).cast("int")))
         ),
     )
-    runs = views.select(*token, "i", F.explode_outer(spread).alias("r")).select(*token, "i", "r.gram")
+    runs = kept(views.select(*token, "i", F.explode_outer(spread).alias("r")).select(*token, "i", "r.gram"))
     counts = runs.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    best = runs.join(counts, "gram", "left").groupBy(*token, "i").agg(
+    # the optimizer takes the runs for as small as the registry's file: neither side may be broadcast
+    best = runs.join(counts.hint("merge"), "gram", "left").groupBy(*token, "i").agg(
         F.min(F.when(F.col("gram").isNotNull(), F.struct("n", "gram"))).getField("gram").alias("anchor")
     )
     found = best.groupBy(*token).agg(
@@ -251,11 +255,18 @@ def leak_pairs(
 
 def _pairs(docs: DataFrame, registry: DataFrame, encoding_resistant: bool) -> DataFrame:
     """As :func:`leak_pairs`, of ``(_id, _text)``."""
+    spark = docs.sparkSession
+
+    def stored(df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
     # asked several questions below: worked out once
-    path = scratch(docs.sparkSession, "registry")
-    made = _forms(registry, encoding_resistant)
-    made.write.parquet(path)
-    forms = docs.sparkSession.read.schema(made.schema).parquet(path)
+    cut = scratch(spark, "runs")
+    try:
+        forms = stored(_forms(registry, encoding_resistant, lambda runs: stored(runs, cut)), scratch(spark, "registry"))
+    finally:
+        drop_scratch(spark, cut)
     names = [part.split(":")[0] for part in _form_fields() if not part.startswith(("anchors", "short"))]
     table = forms.select(F.struct(*names).alias("f"), "anchors", "short")
     anchored = table.select("f", F.explode("anchors").alias("_gram"))
@@ -279,7 +290,8 @@ def _pairs(docs: DataFrame, registry: DataFrame, encoding_resistant: bool) -> Da
     salt = F.pmod(F.xxhash64("_id"), F.lit(salts)).alias("_salt")
     runs = parts.select("_id", "_part", salt, F.explode(F.array_intersect(candidates(F.col("_part")), F.col("_near"))).alias("_gram"))
     salted = anchored.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>")))
-    met = runs.join(salted, ["_gram", "_salt"])
+    # as above: salts and anchors multiply the registry, unseen by the optimizer
+    met = runs.join(salted.hint("merge"), ["_gram", "_salt"])
     text = F.col("_part")
     # bound once: spelt out, both views are evaluated again in every branch
     kind = let(F.lower(text), lambda low: let(K.squeezed(text), lambda tight: K.match_kind(F.col("f"), text, low, tight, encoding_resistant)))

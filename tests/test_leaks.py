@@ -1,4 +1,5 @@
 import base64
+import hashlib
 import random
 
 import pytest
@@ -154,3 +155,39 @@ def test_matching_shuffles_nothing(spark, texts):
     registry = spark.createDataFrame([(0, "a", "secret-token")], "ord int, source_name string, token string")
     plan = leaks.leak_check(texts(["x"]), registry)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_no_side_that_grows_with_the_registry_is_broadcast(spark, texts, monkeypatch):
+    """The optimizer takes a registry's runs for as small as its file; broadcast, they filled the driver."""
+    plans = []
+    told = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df
+    forms = leaks._forms
+    monkeypatch.setattr(leaks, "_forms", lambda *a: told(forms(*a)))
+    registry = spark.createDataFrame([(f"s{i}", f"tk_{i:030d}x") for i in range(50)], "source_name string, token string")
+    docs = texts([f"see tk_{i:030d}x" for i in range(0, 100, 10)] + ["", None])
+    found = told(leaks.leak_pairs(docs, registry))
+    assert sorted((r.doc_id, r.source_name, r.kind) for r in found.collect()) == [(i, f"s{10 * i}", "exact") for i in range(5)]
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans) and all("SortMergeJoin" in p for p in plans)
+
+
+def test_orders_that_no_document_can_name_stay_where_they_are(spark, tmp_path, monkeypatch):
+    from siftgate.plans import leaks as plans
+
+    planted = []
+    monkeypatch.setattr(plans.leaks, "leak_pairs", lambda docs, keys: planted.append(docs) or docs.selectExpr("doc_id", "'' AS token", "'' AS kind"))
+    keys = [(k,) for k in [*range(0, 3000, 2), -2, None]]
+    spark.createDataFrame(keys, "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(i, f"d{i}") for i in [*range(0, 3000, 7), None, -5]], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plans.PLAN.queries["C7_leak_check_thousands"](spark, str(tmp_path))
+    told = lambda k: hashlib.md5(str(k).encode()).hexdigest() if k % 2 == 0 else None
+    got = {r.doc_id: r.text for r in planted[0].collect()}
+    assert len(got) == planted[0].count() == 431
+    for i, text in got.items():
+        if i is not None and i % 3 == 0:
+            want = told(i % 997)
+            assert text == (want and f"d{i} tk_{want}")
+        elif i is not None and i % 3 == 1:
+            a, b = told(i % 997), told(i % 991)
+            assert text == (a and b and f"d{i} TK_{a.upper()}.tk_{b}")
+    plan = planted[0]._jdf.queryExecution().executedPlan().toString()
+    assert "996" in plan and "990" in plan
