@@ -226,6 +226,63 @@ def test_learning_helps_and_order_does_not_matter(spark):
     assert lm_scoring.score(df.limit(0), learning).count() == 0
 
 
+def test_running_contexts_reach_across_words():
+    """Bits share a slot if and only if their contexts are the same: four bytes, or the previous word and the word so far."""
+    texts = [lm_scoring.tokens(t) for t in (b"the cat sat on the mat", b"The cat ate the cat sat", b"", b"a a a", "ça va ça".encode(), b"the")]
+    plain = []
+    for words_ in texts:
+        body, before = b"\0\0\0\0" + b" ".join(words_), b""
+        at = 4
+        for w in words_:
+            told = w if w == b"\n" else w + b" "
+            for k, y in enumerate(told):
+                plain.append((y, body[at - 4 : at], (before, told[:k])))
+                at += 1
+            before = told
+    run = lm_scoring.Running(texts)
+    assert [p[0] for p in plain] == run.byte.tolist() and [p[1][-1] for p in plain] == run.last.tolist()
+    (bits,) = run.blocks()
+    for context, slots in zip((1, 2), bits.slots):
+        names = [(p[context], f"{p[0]:08b}"[:k]) for p in plain for k in range(8)]
+        assert len(set(names)) == len(set(slots.tolist())) == len(set(zip(names, slots.tolist())))
+    assert "".join(map(str, bits.bit)) == "".join(f"{p[0]:08b}" for p in plain)
+
+
+def test_scores_tell_the_order_of_words(spark, monkeypatch):
+    """The same words in the order of the learning documents are likelier than in any other; slices and blocks do not show."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("aeioutnrs") for _ in range(rng.randint(2, 6))) for _ in range(40)]
+    after = {w: rng.sample(vocabulary, 2) for w in vocabulary}
+
+    def walk():
+        out = [rng.choice(vocabulary)]
+        while len(out) < 25:
+            out.append(rng.choice(after[out[-1]]))
+        return out
+
+    learned = [(i, " ".join(walk())) for i in range(300)]
+    told = [walk() for _ in range(20)]
+    mixed = [rng.sample(t, len(t)) for t in told]
+    rows = learned + [(1000 + i, " ".join(t)) for i, t in enumerate(told)] + [(2000 + i, " ".join(t)) for i, t in enumerate(mixed)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    a = {r.doc_id: r for r in lm_scoring.score(df, F.col("doc_id") < 1000).collect()}
+    assert all(math.isclose(a[1000 + i].base_score, a[2000 + i].base_score) for i in range(20))
+    assert all(a[1000 + i].score > a[2000 + i].score + 10 for i in range(20))
+    b = {r.doc_id: r for r in lm_scoring.score(df.repartition(5), F.col("doc_id") < 1000).collect()}
+    assert all(math.isclose(a[k].score, b[k].score, rel_tol=1e-9) for k in a)
+    some = np.random.default_rng(4)
+    words_ = lm_scoring.Mixer(some.integers(0, 40, (lm_scoring.SLOTS, 2)).astype(float))
+    found = np.zeros((lm_scoring.RUN_CELLS, 2), np.float32)
+    found[some.integers(0, len(found), 2000)] = some.integers(0, 50, (2000, 2))
+    running = lm_scoring.RunningMixer(some.integers(0, 9, (lm_scoring.RUN_SLOTS, 2)).astype(np.float32), found)
+    texts = [lm_scoring.tokens(t.encode()) for _, t, *_ in rows[:30]] + [[lm_scoring.END]]
+    whole = running.bits_of_texts(texts, lm_scoring.WordOdds(words_))
+    monkeypatch.setattr(lm_scoring, "BLOCK", 64)
+    monkeypatch.setattr(lm_scoring, "WORDS_KEPT", 10)
+    odds = lm_scoring.WordOdds(words_)
+    assert np.allclose(whole, [running.bits_of_texts([t], odds)[0] for t in texts], rtol=1e-9)
+
+
 def test_weights_come_from_every_learning_document(spark, monkeypatch):
     """Documents of any length teach, and no other weights of a gate fit all their words better."""
     rng = random.Random(8)
